@@ -2,5 +2,59 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions.typed import ref_of
+from factloom.llm import components, formatting, leaks, quality
+from factloom.runtime import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = table(spark, sf_dir, "datoms").where("a = 'same_as'").select("e", ref_of(F.col("v")).alias("other"))
+    return components.components(same, "e", "other").select(F.col("first").alias("e_first"), F.col("member").alias("e_other"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.datom_copies(table(spark, sf_dir, "datoms"))[1]
+
+
+def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.datom_copies(table(spark, sf_dir, "datoms"))[0]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.found(leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "probes")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "documents"))
+
+
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_stats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p6_found": p6_found, "p6_copies": p6_copies, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats,
+}
+
+_RECORDS = r"""
+WITH r AS (SELECT id, a, lower(upper(coalesce(v, ''))) AS v, regexp_split_to_array(lower(upper(coalesce(quote.text, ''))), '[;|\r\n]+') AS parts FROM datoms WHERE a IN ('defined_as', 'caution') AND id IS NOT NULL),
+c AS (SELECT id, a, regexp_replace(v, '[\s\p{Z}\p{P}\p{C}`~^|]+', '', 'g') AS body,
+             list_sort(list_distinct(list_filter(list_transform(parts, lambda p:
+               (CASE WHEN regexp_matches(p, '[:=]') THEN regexp_replace(regexp_extract(p, '^([^:=]*)', 1), '[\s\p{Z}\p{P}\p{C}`~^|]+', '', 'g') ELSE '' END) || chr(1) ||
+               regexp_replace(regexp_replace(p, '^[^:=]*[:=]', ''), '[\s\p{Z}\p{P}\p{C}`~^|]+', '', 'g')), lambda x: x <> chr(1)))) AS f FROM r),
+o AS (SELECT id, min(a || chr(2) || body || chr(2) || array_to_string(f, chr(3))) AS k FROM c GROUP BY id),
+g AS (SELECT k, min(id) AS id_first, count(*) AS copies FROM o GROUP BY k)
+"""
+
+SQL = {
+    "p3_found": """
+WITH RECURSIVE l AS (SELECT e AS u, json_extract_string(v, '$.ref') AS w FROM datoms WHERE a = 'same_as'),
+b AS (SELECT u, w FROM l WHERE u <> w UNION SELECT w, u FROM l WHERE u <> w),
+r AS (SELECT u AS e, u AS m FROM b UNION SELECT b.u, r.m FROM r JOIN b ON b.w = r.e WHERE r.m < b.u)
+SELECT min(m) AS e_first, e AS e_other FROM r GROUP BY e HAVING min(m) <> e""",
+    "p6_found": _RECORDS + "SELECT id_first, id AS id_other FROM o JOIN g USING (k) WHERE id <> id_first",
+    "p6_copies": _RECORDS + "SELECT id_first, copies FROM g",
+}
