@@ -5,4 +5,11 @@ state is an aggregate or a window keyed by a replay key, so it can be computed
 in any order, in batch or incrementally.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

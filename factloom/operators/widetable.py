@@ -52,7 +52,9 @@ def wide_table(datoms: DataFrame, types: dict[str, str], tier: str = "culture")
     schema = T.StructType([T.StructField("e", T.StringType()), *(T.StructField(a, COLUMN[t]) for a, t in types.items())])
     if not types:
         return spark.createDataFrame([], schema)
-    rows = datoms.where((F.col("tier") == tier) & F.col("a").isin(*types) & F.col("e").isNotNull()).select(
+    own = datoms.where((F.col("tier") == tier) & F.col("a").isin(*types) & F.col("e").isNotNull())
+    parts = runtime.shuffle_partitions(spark, own.count())
+    rows = own.select(
         "e", "a", "vf", F.coalesce("id", F.lit("")).alias("id"), canonical(F.col("v"), F.col("a"), types).alias("val")
     ).where("val is not null")
     width, kinds = len(types), list(types.values())
@@ -75,7 +77,7 @@ def wide_table(datoms: DataFrame, types: dict[str, str], tier: str = "culture")
         return (row[0], *(None if r is None else read.get(k, str)(r[2]) for r, k in zip(row[1], kinds)))
 
     keyed = rows.rdd.map(lambda r: (r[0], (slots[r[1]], (r[2], r[3], r[4]))))
-    wide = keyed.combineByKey(create, add, merge, runtime.shuffle_partitions(spark)).map(encode)
+    wide = keyed.combineByKey(create, add, merge, parts).map(encode)
     return spark.createDataFrame(wide, schema, verifySchema=False)
 
 
