@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.typed import ref_of
-from factloom.llm import components, formatting, leaks, quality
+from factloom.llm import components, formatting, leaks, packing, quality, resolution
 from factloom.runtime import table
 
 
@@ -15,6 +15,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.components(same, "e", "other").select(F.col("first").alias("e_first"), F.col("member").alias("e_other"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.pairs(resolution.resolve(table(spark, sf_dir, "datoms")))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.resolve(table(spark, sf_dir, "datoms"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.datom_copies(table(spark, sf_dir, "datoms"))[1]
 
@@ -23,6 +31,10 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.datom_copies(table(spark, sf_dir, "datoms"))[0]
 
 
+def p8_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.contexts(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.found(leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "probes")))
 
@@ -36,7 +48,7 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p6_found": p6_found, "p6_copies": p6_copies, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats,
+    "p3_found": p3_found, "p5_found": p5_found, "p5_clusters": p5_clusters, "p8_contexts": p8_contexts, "p6_found": p6_found, "p6_copies": p6_copies, "p9_found": p9_found, "p10_found": p10_found, "p10_stats": p10_stats,
 }
 
 _RECORDS = r"""

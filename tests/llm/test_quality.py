@@ -15,7 +15,7 @@ def test_statistics(spark):
 
 
 def test_prose_and_junk(spark):
-    rows = [(1, PROSE), (2, TABLE), (3, PROSE + "\n" + TABLE), (4, PROSE.upper()), (5, None), (6, ""), (7, PROSE * 400), (8, "accept all " * 60), (9, PROSE + "\n- a | treats | b\n- a | date | 1901"), (2, TABLE)]
+    rows = [(1, PROSE), (2, TABLE), (3, PROSE + "\n" + TABLE), (4, PROSE.upper()), (5, None), (6, ""), (7, " ".join(PROSE.replace("20", str(i)).replace("week", f"w{chr(97 + i % 26)}rd{chr(97 + i % 17)}") for i in range(300))), (8, "accept all " * 60), (9, PROSE + "\n- a | treats | b\n- a | date | 1901"), (2, TABLE)]
     got = sorted(r[0] for r in quality.not_prose(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == [2, 2, 3, 8]
     assert [d for d, t in rows if reading(t)] == [2, 3, 8, 2]
