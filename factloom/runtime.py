@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -71,6 +71,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where), where
 
+    def write_counted(self, df: DataFrame) -> tuple[DataFrame, str, int]:
+        """As ``write``, with the number of rows, observed as they are written."""
+        seen = Observation()
+        out, where = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, where, seen.get["n"]
+
     def drop(self, *tables: str) -> None:
         for where in tables:
             path, fs = _path(self.spark, where)
