@@ -27,6 +27,8 @@ from factloom.operators.skew import hot_keys, lookup
 #: Edges that a cell may hold.
 CELL_EDGES = 200_000
 MOST_ROUNDS = 200
+#: Rows from which a join looks for hot keys.
+HOT_FROM = 1_000_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,19 +75,21 @@ def _rank(c: str, seed: int) -> Column:
     return F.xxhash64(F.col(c), F.lit(seed))
 
 
-def components(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_EDGES) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_EDGES, rows: int | None = None) -> DataFrame:
     """(first, member): the members of each group, its smallest id left out of ``member``.
 
     Edges count in both directions; edges with a null end, loops and repetitions
     add nothing. An empty table gives an empty one. Ids are compared by bytes.
+    ``rows``: given where ``edges`` is a written table, with at most so many rows.
     """
     spark = edges.sparkSession
     scratch = runtime.Scratch(spark, "components")
     cur = edges.select(F.col(u).cast("string").alias("u"), F.col(v).cast("string").alias("v")).where("u is not null and v is not null and u <> v")
-    cur, where = scratch.write(cur)
-    retired: list[DataFrame] = []
+    where, n = None, rows
+    if rows is None:
+        cur, where, n = scratch.write_counted(cur)
+    retired: list[tuple[DataFrame, int]] = []
     for seed in range(MOST_ROUNDS):
-        n = cur.count()
         if n == 0:
             break
         blocks = max(1, math.ceil(math.sqrt(2 * n / cell_edges)))
@@ -95,25 +99,32 @@ def components(edges: DataFrame, u: str, v: str, cell_edges: int = CELL_EDGES) -
         gridded = cur.select("u", "v", _rank("u", seed).alias("ru"), _rank("v", seed).alias("rv"), cell.alias("cell"))
         gridded = gridded.repartitionById(blocks * (blocks + 1) // 2, F.col("cell")).drop("cell")
         local = gridded.mapInArrow(_union_find, "v string, root string")
+        if blocks == 1:  # one cell holds all edges that are left, so its forest is the whole one
+            own, _, k = scratch.write_counted(local.where("v <> root").select("v", F.col("root").alias("up")))
+            retired.append((own, k))
+            break
         best = F.struct(_rank("root", seed).alias("r"), F.col("root").alias("root"))
         met = local.groupBy("v").agg(F.min(best).alias("best"), F.collect_set("root").alias("roots"))
-        met, met_at = scratch.write(met.select("v", F.col("best.root").alias("up"), "roots"))
-        retired.append(met.where(~F.array_contains("roots", F.col("v"))).select("v", "up"))
+        met, _, k = scratch.write_counted(met.select("v", F.col("best.root").alias("up"), "roots"))
+        retired.append((met.where(~F.array_contains("roots", F.col("v"))).select("v", "up"), k))
         nxt = met.where(F.size("roots") > 1).select("up", F.explode("roots").alias("u")).where("u <> up").select("u", F.col("up").alias("v")).distinct()
-        nxt, nxt_at = scratch.write(nxt)
-        scratch.drop(where)
+        nxt, nxt_at, n = scratch.write_counted(nxt)
+        if where:
+            scratch.drop(where)
         cur, where = nxt, nxt_at
     else:
         raise RuntimeError(f"components: not stable after {MOST_ROUNDS} rounds")
     if not retired:
-        return edges.sparkSession.createDataFrame([], "first string, member string")
-    labels = retired.pop()
-    for own in reversed(retired):
+        return spark.createDataFrame([], "first string, member string")
+    labels, size = retired.pop()
+    for own, k in reversed(retired):
         above = labels.select(F.col("v").alias("up"), F.col("up").alias("root"))
-        down = lookup(own, above, "up", []).select("v", F.coalesce("root", "up").alias("up"))
-        labels, _ = scratch.write(down.unionByName(labels))
+        hot = hot_keys(own, "up") if k > HOT_FROM else []
+        down = lookup(own, above, "up", hot).select("v", F.coalesce("root", "up").alias("up"))
+        labels, _, size = scratch.write_counted(down.unionByName(labels))
     labels = labels.withColumnRenamed("up", "root")
     firsts = labels.groupBy("root").agg(F.min("v").alias("m")).select("root", F.least("m", "root").alias("first"))
-    firsts, _ = scratch.write(firsts)
-    members = lookup(labels, firsts, "root", hot_keys(labels, "root")).select("first", F.col("v").alias("member"))
+    if size > HOT_FROM:
+        firsts, _ = scratch.write(firsts)
+    members = lookup(labels, firsts, "root", hot_keys(labels, "root") if size > HOT_FROM else []).select("first", F.col("v").alias("member"))
     return members.unionByName(firsts.select("first", F.col("root").alias("member"))).where("first <> member")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom import runtime
@@ -27,8 +27,8 @@ MOST_ROUNDS = 30
 def _keyed(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cid, key = [], []
-            for c, scope, forms in zip(f["cid"], f["scope"], f["forms"]):
+            cid, key, fresh = [], [], []
+            for c, scope, forms, new in zip(f["cid"], f["scope"], f["forms"], f["fresh"]):
                 own: set[str] = set()
                 for form in forms:
                     word, _, rest = form.partition("|")
@@ -43,7 +43,8 @@ def _keyed(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                 for k in own:
                     cid.append(c)
                     key.append(f"{scope}:{k}")
-            yield pd.DataFrame({"key": key, "cid": cid})
+                    fresh.append(new)
+            yield pd.DataFrame({"key": key, "cid": cid, "fresh": fresh})
 
     return run
 
@@ -57,7 +58,7 @@ def _judged(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
             for a, b, fa, fb in zip(f["a"], f["b"], f["fa"], f["fb"]):
                 said = {same(x, y) for x in fa for y in fb}
                 out.append(0 if -1 in said else max(said))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "fit": out})
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "fit": out, "full_a": f["full_a"], "full_b": f["full_b"]})
 
     return run
 
@@ -66,26 +67,28 @@ def _full(forms: str):
     return F.exists(forms, lambda x: F.length(F.split(F.split(x, r"\|")[1], " ")[0]) > 1)
 
 
-def _merged(profiles: DataFrame, edges: DataFrame, members: DataFrame, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """Profiles and (e, cid) after the edges (a, b) between profiles; merged ones are marked to enter blocking again."""
-    to = components(edges, "a", "b").select(F.col("member").alias("cid"), F.col("first").alias("into"))
+def _merged(profiles: DataFrame, edges: DataFrame, rows: int, members: DataFrame, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Profiles and (e, cid) after the written edges (a, b) between profiles; merged ones are marked to enter blocking again."""
+    to = components(edges, "a", "b", rows=rows).select(F.col("member").alias("cid"), F.col("first").alias("into"))
     to, _ = scratch.write(to)
     p = profiles.join(to, "cid", "left").select(F.coalesce("into", "cid").alias("cid"), "scope", "forms", F.col("into").isNotNull().alias("moved"))
     p = p.groupBy("cid").agg(F.max("scope").alias("scope"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"), F.max("moved").alias("fresh"))
     m = members.join(to, "cid", "left").select("e", F.coalesce("into", "cid").alias("cid"))
-    return scratch.write(p)[0], scratch.write(m)[0]
+    return scratch.write(p)[0], m
 
 
-def _compared(profiles: DataFrame, kind: str, scratch: runtime.Scratch) -> DataFrame:
-    """(a, b, fit, full_a, full_b) of profiles that share a key, one of them new or merged since they last met."""
-    keyed, _ = scratch.write(profiles.select("cid", "scope", "forms").mapInPandas(_keyed(kind), "key string, cid string").join(profiles.select("cid", "fresh"), "cid"))
+def _compared(profiles: DataFrame, kind: str, scratch: runtime.Scratch, everyone: bool = False) -> tuple[DataFrame, int]:
+    """(a, b, fit, full_a, full_b) of profiles that share a key, one of them fresh unless ``everyone``; and how many pairs are one for sure."""
+    keyed = profiles.select("cid", "scope", "forms", "fresh").mapInPandas(_keyed(kind), "key string, cid string, fresh boolean")
     x, y = keyed.select("key", F.col("cid").alias("a"), F.col("fresh").alias("na")), keyed.select("key", F.col("cid").alias("b"), F.col("fresh").alias("nb"))
-    pairs = x.join(y, "key").where("a < b and (na or nb)").select("a", "b").distinct()
+    pairs = x.join(y, "key").where("a < b" if everyone else "a < b and (na or nb)").select("a", "b").distinct()
     p = profiles.select("cid", "forms")
     both = pairs.join(p.select(F.col("cid").alias("a"), F.col("forms").alias("fa")), "a").join(p.select(F.col("cid").alias("b"), F.col("forms").alias("fb")), "b")
-    judged = both.select("a", "b", "fa", "fb").mapInPandas(_judged(kind), "a string, b string, fit int").where("fit > 0")
-    full = profiles.select("cid", _full("forms").alias("full"))
-    return scratch.write(judged.join(full.select(F.col("cid").alias("a"), F.col("full").alias("full_a")), "a").join(full.select(F.col("cid").alias("b"), F.col("full").alias("full_b")), "b"))[0]
+    both = both.select("a", "b", "fa", "fb", _full("fa").alias("full_a"), _full("fb").alias("full_b"))
+    seen = Observation()
+    judged = both.mapInPandas(_judged(kind), "a string, b string, fit int, full_a boolean, full_b boolean").where("fit > 0")
+    judged, _ = scratch.write(judged.observe(seen, F.count_if(F.col("fit") == 2).alias("sure")))
+    return judged, seen.get["sure"]
 
 
 def _weak_edges(judged: DataFrame) -> DataFrame:
@@ -103,19 +106,17 @@ def _weak_edges(judged: DataFrame) -> DataFrame:
 def merge_and_rematch(profiles: DataFrame, members: DataFrame, kind: str, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
     """Merge profiles (cid, scope, forms) of one scope until nothing merges; members: (e, cid)."""
     profiles, _ = scratch.write(profiles.withColumn("fresh", F.lit(True)))
-    known: DataFrame | None = None
     for _ in range(MOST_ROUNDS):
-        judged = _compared(profiles, kind, scratch)
-        if known is not None:  # pairs judged before, neither of which has changed since
-            still = known.join(profiles.where("not fresh").select(F.col("cid").alias("a")), "a", "left_semi").join(profiles.where("not fresh").select(F.col("cid").alias("b")), "b", "left_semi")
-            judged, _ = scratch.write(judged.unionByName(still))
+        judged, n = _compared(profiles, kind, scratch)
         edges = judged.where("fit = 2").select("a", "b")
-        if edges.isEmpty():
-            edges = _weak_edges(judged)
-            if kind != "person" or edges.isEmpty():
+        if not n:
+            if kind != "person":
                 break
-        known = judged
-        profiles, members = _merged(profiles, edges, members, scratch)
+            judged, _ = _compared(profiles, kind, scratch, everyone=True)
+            edges, _, n = scratch.write_counted(_weak_edges(judged))
+            if not n:
+                break
+        profiles, members = _merged(profiles, edges, n, members, scratch)
     else:
         raise RuntimeError("resolution: still merging after the last round")
     return profiles, members
@@ -124,21 +125,20 @@ def merge_and_rematch(profiles: DataFrame, members: DataFrame, kind: str, scratc
 def _join_scopeless(profiles: DataFrame, members: DataFrame, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
     """Profiles without a scope join the one profile of any scope that fits them best, and none where several do."""
     loose = profiles.where("scope = ''")
-    if loose.isEmpty():
-        return profiles, members
     everywhere = profiles.select("cid", F.lit("").alias("scope"), "forms", (F.col("scope") == "").alias("fresh"))
-    judged = _compared(everywhere, "person", scratch)
+    judged, _ = _compared(everywhere, "person", scratch)
     s = profiles.select("cid", F.col("scope"))
     ends = judged.select(F.col("a").alias("x"), F.col("b").alias("y"), "fit").unionByName(judged.select(F.col("b").alias("x"), F.col("a").alias("y"), "fit"))
     ends = ends.join(loose.select(F.col("cid").alias("x")), "x", "left_semi").join(s.select(F.col("cid").alias("y"), F.col("scope").alias("sy")), "y")
     scoped = ends.where("sy <> ''")
     best = scoped.groupBy("x").agg(F.max("fit").alias("top"))
-    one = scoped.join(best, "x").where("fit = top").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"))
+    one, _ = scratch.write(scoped.join(best, "x").where("fit = top").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")))
     edges = one.where("n = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
     free = loose.select("cid").join(one.select(F.col("x").alias("cid")), "cid", "left_anti")
     alone = judged.join(free.select(F.col("cid").alias("a")), "a", "left_semi").join(free.select(F.col("cid").alias("b")), "b", "left_semi")
     edges = edges.unionByName(alone.where("fit = 2").select("a", "b")).unionByName(_weak_edges(alone))
-    return _merged(profiles, edges, members, scratch)
+    edges, _, n = scratch.write_counted(edges)
+    return _merged(profiles, edges, n, members, scratch) if n else (profiles, members)
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,45 +157,39 @@ def resolve(datoms: DataFrame, person: str = "person", body: str = "organisation
     null e or v are not read; an empty table gives an empty one.
     """
     scratch = runtime.Scratch(datoms.sparkSession, "resolution")
-    d = datoms.where("e is not null and v is not null").select("e", "a", "v")
-    names, _ = scratch.write(d.where("a = 'name'").select("e", "v").distinct())
-    links, _ = scratch.write(d.where("a in ('is_a', 'part_of')").select("e", "a", ref_of(F.col("v")).alias("o")).where("o is not null").distinct())
+    d = datoms.where("e is not null and v is not null and a in ('name', 'is_a', 'part_of')")
+    d, _ = scratch.write(d.select("e", "a", F.when(F.col("a") == "name", F.col("v")).otherwise(ref_of(F.col("v"))).alias("v")).where("v is not null").distinct())
+    names, links = d.where("a = 'name'").select("e", "v"), d.where("a <> 'name'").select("e", "a", F.col("v").alias("o"))
     classes = names.select(F.col("e").alias("o"), F.lower(F.trim("v")).alias("c")).where(F.col("c").isin(person, body)).distinct()
-    typed = links.where("a = 'is_a'").join(classes, "o", "left").groupBy("e").agg(F.max(F.coalesce("c", F.lit("other"))).alias("typed"))
-    # a class name decides over others that an entity has besides
-    typed = links.where("a = 'is_a'").join(classes, "o").groupBy("e").agg(F.min("c").alias("typed")).unionByName(
-        typed.where("typed = 'other'").join(links.where("a = 'is_a'").join(classes, "o").select("e"), "e", "left_anti")
-    )
+    # person or organisation decides over other classes that an entity has besides
+    typed = links.where("a = 'is_a'").join(classes, "o", "left").groupBy("e").agg(F.coalesce(F.min("c"), F.lit("other")).alias("typed"))
     named = names.join(typed, "e", "left").where(F.coalesce("typed", F.lit("")) != "other")
     parsed, _ = scratch.write(named.mapInPandas(_parsed, "e string, typed string, capital boolean, person string, body string"))
     bodies = parsed.where((F.col("typed") == body) | (F.col("typed").isNull() & F.col("body").isNotNull()))
     bodies, _ = scratch.write(bodies.groupBy("e").agg(F.collect_set("body").alias("forms")))
-    by_form = bodies.where(F.size("forms") > 0).select("e", F.explode("forms").alias("form")).groupBy("form").agg(F.min("e").alias("cid"))
-    start, members = _start(bodies, by_form, F.lit(""), scratch)
+    start, members = _start(bodies, F.lit(""), scratch)
     _, body_of = merge_and_rematch(start, members, "body", scratch)
+    body_of, _ = scratch.write(body_of)
     houses = links.where("a = 'part_of'").join(body_of.select(F.col("e").alias("o"), "cid"), "o").groupBy("e").agg(F.min("cid").alias("scope"))
     people = parsed.where((F.col("typed") == person) | (F.col("typed").isNull() & F.col("body").isNull() & F.col("capital"))).join(bodies.select("e"), "e", "left_anti")
     people = people.groupBy("e").agg(F.collect_set("person").alias("forms"), F.max(F.col("typed").isNotNull()).alias("sure")).join(houses, "e", "left")
     people, _ = scratch.write(people.withColumns({"sure": F.col("sure") | F.col("scope").isNotNull(), "scope": F.coalesce("scope", F.lit(""))}))
-    by_form = people.where(F.size("forms") > 0).select("e", "scope", F.explode("forms").alias("form")).groupBy("scope", "form").agg(F.min("e").alias("cid"))
-    start, members = _start(people, by_form, F.col("scope"), scratch)
+    start, members = _start(people, F.col("scope"), scratch)
     loose = start.where("scope = ''").withColumn("fresh", F.lit(True))
     profiles, person_of = merge_and_rematch(start.where("scope <> ''"), members, "person", scratch)
     profiles, person_of = _join_scopeless(profiles.unionByName(loose), person_of, scratch)
+    person_of, _ = scratch.write(person_of)
     sure = person_of.join(people.where("sure").select("e"), "e", "left_semi").select("cid").distinct()
     return body_of.unionByName(person_of.join(sure, "cid", "left_semi").select("e", "cid")).withColumnRenamed("cid", "cluster")
 
 
-def _start(entities: DataFrame, by_form: DataFrame, scope, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """First profiles: entities that share a form (of one scope) are one, whatever their number."""
-    e = entities.select("e", scope.alias("scope"), "forms")
-    exploded = e.where(F.size("forms") > 0).select("e", "scope", F.explode("forms").alias("form"))
-    on = ["form", "scope"] if "scope" in by_form.columns else ["form"]
-    linked = components(exploded.join(by_form, on).select("e", "cid"), "e", "cid").select(F.col("member").alias("e"), F.col("first").alias("cid"))
-    linked, _ = scratch.write(linked)
-    members, _ = scratch.write(e.join(linked, "e", "left").select("e", "scope", "forms", F.coalesce("cid", "e").alias("cid")))
-    profiles = members.groupBy("cid").agg(F.max("scope").alias("scope"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
-    return profiles.where(F.size("forms") > 0), members.select("e", "cid")
+def _start(entities: DataFrame, scope, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
+    """First profiles: entities with the same smallest form in one scope are one, whatever their number."""
+    e = entities.select("e", scope.alias("scope"), "forms", F.array_min("forms").alias("form"))
+    first = e.where("form is not null").groupBy("scope", "form").agg(F.min("e").alias("cid"))
+    members, _ = scratch.write(e.join(first, ["scope", "form"], "left").select("e", "scope", "forms", F.coalesce("cid", "e").alias("cid")))
+    profiles = members.where(F.size("forms") > 0).groupBy("cid").agg(F.max("scope").alias("scope"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
+    return profiles, members.select("e", "cid")
 
 
 def pairs(clusters: DataFrame) -> DataFrame:
