@@ -15,10 +15,12 @@ def text(c: Column) -> Column:
     """A JSON string: null as null, control characters and line separators as lower-case escapes."""
     s = F.to_json(F.array(c))
     s = F.substring(s, F.lit(2), F.length(s) - 2)
+    exact = s
     for h in "ABCDEF":
-        s = F.regexp_replace(s, rf"(?<!\\)((?:\\\\)*\\u00[01]){h}", f"$1{h.lower()}")
-    s = F.replace(F.replace(s, F.lit(" "), F.lit("\\u2028")), F.lit(" "), F.lit("\\u2029"))
-    return F.when(c.isNull(), F.lit("null")).otherwise(s)
+        exact = F.regexp_replace(exact, rf"(?<!\\)((?:\\\\)*\\u00[01]){h}", f"$1{h.lower()}")
+    exact = F.replace(F.replace(exact, F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029"))
+    odd = c.rlike("[\\x00-\\x1f\u2028\u2029]")
+    return F.when(c.isNull(), F.lit("null")).when(odd, exact).otherwise(s)
 
 
 def number(c: Column) -> Column:

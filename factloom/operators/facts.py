@@ -11,19 +11,26 @@ from factloom.operators.log import once, replay_key
 GATE_K = 2
 
 
-def located(datoms: DataFrame, tx: DataFrame) -> DataFrame:
+COLUMNS = ("e", "a", "v", "ctx", "nu", "vf", "vt", "quote", "support", "tier", "t", "source", "tx")
+
+
+def located(datoms: DataFrame, tx: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Facts with keys and replay order: each id once, as its last transaction has it.
 
+    Of ``columns`` those that are not needed to tell facts apart can be left out.
     Adds ``key`` (of the fact's own tier), ``culture_key`` and ``at`` (replay key).
     Facts of a transaction that the log lacks are left out.
     """
     at = once(tx).select(F.col("id").alias("tx"), replay_key().alias("at"))
-    d = datoms.where("id is not null").select("id", "e", "a", "v", "ctx", "nu", "vf", "vt", "quote", "support", "tier", "t", "source", "tx")
-    d = d.join(at, "tx")
+    kept = [c for c in COLUMNS if c in columns or c in ("e", "a", "v", "ctx", "tier", "tx")]
+    d = datoms.where("id is not null").select("id", *kept).join(at, "tx")
     cols = [c for c in d.columns if c not in ("id", "at")]
     last = d.groupBy("id").agg(F.max_by(F.struct(*cols), "at").alias("x"), F.max("at").alias("at")).select("id", "x.*", "at")
-    own = lambda tier: canon.fact_key(tier, F.col("e"), F.col("a"), F.col("v"), F.col("ctx"))
-    return last.withColumns({"key": own(F.col("tier")), "culture_key": own(F.lit("culture"))})
+    tail = F.concat(F.lit(","), canon.text(F.col("e")), F.lit(","), canon.text(F.col("a")), F.lit(","), canon.value(F.col("v")), F.lit(","), canon.text(F.col("ctx")), F.lit("]"))
+    key = lambda tier: F.concat(F.lit("k:"), F.substring(canon.h(F.concat(F.lit("["), tier, F.col("_tail"))), 1, 32))
+    last = last.withColumn("_tail", tail).withColumn("culture_key", key(F.lit('"culture"')))
+    own = F.when(F.col("tier") == "culture", F.col("culture_key")).otherwise(key(canon.text(F.col("tier"))))
+    return last.withColumn("key", own).drop("_tail")
 
 
 def last_events(facts: DataFrame, retracted: DataFrame) -> DataFrame:
@@ -32,9 +39,21 @@ def last_events(facts: DataFrame, retracted: DataFrame) -> DataFrame:
     return events.groupBy("key").agg(F.max_by("op", "at").alias("op"), F.max("at").alias("event_at"))
 
 
-def alive(facts: DataFrame, events: DataFrame) -> DataFrame:
-    """Facts whose last event is an assert, with ``event_at``."""
-    return facts.join(events.where("op = 'assert'").select("key", "event_at"), "key")
+def alive(facts: DataFrame, retracted: DataFrame) -> DataFrame:
+    """Facts whose last event is an assert: those whose key no later transaction retracted.
+
+    Only keys with a retraction are looked at more closely, so the facts themselves
+    are not moved for this.
+    """
+    gone = retracted.select("key", F.col("at").alias("gone_at"))
+    dead = facts.select("key", "at").join(gone, "key").groupBy("key").agg(F.max("at").alias("last"), F.max("gone_at").alias("gone_at")).where("gone_at > last")
+    return facts.join(dead.select("key"), "key", "left_anti")
+
+
+def with_event_times(evidence: DataFrame, retracted: DataFrame) -> DataFrame:
+    """Adds ``event_at``, the last assert of each fact's own key, where its culture key was retracted (null elsewhere)."""
+    near = evidence.join(retracted.select(F.col("key").alias("culture_key")).distinct(), "culture_key", "left_semi")
+    return evidence.join(near.groupBy("key").agg(F.max("at").alias("event_at")), "key", "left")
 
 
 def in_tier(live: DataFrame, tier: str) -> DataFrame:
@@ -78,9 +97,11 @@ def gate(evidence: DataFrame, promoted: DataFrame, approved: DataFrame, retracte
     A key is promoted when ``k`` distinct sources hold it or it was approved, and
     it is not promoted already. After a retraction only later evidence and later
     approvals count; with a later approval alone the old evidence still supplies
-    the row and the support. ``evidence`` (culture_key, id, source, event_at),
+    the row and the support. ``evidence`` (culture_key, id, source, and event_at, or key and at),
     ``promoted`` (key), ``approved`` and ``retracted`` (key, at).
     """
+    if "event_at" not in evidence.columns:
+        evidence = with_event_times(evidence, retracted)
     r = retracted.select(F.col("key").alias("culture_key"), F.col("at").alias("after"))
     fresh = F.col("after").isNull() | (F.col("event_at") > F.col("after"))
     e = evidence.join(r, "culture_key", "left").withColumn("fresh", fresh)

@@ -153,6 +153,17 @@ def _under_circles(above: DataFrame, kept: DataFrame, circles: DataFrame) -> Dat
     )
 
 
+def parent_links(nodes: DataFrame, id: str, parent: str, near: list[str], per_task: int, spread: int | None) -> tuple[DataFrame, list[str], int, int]:
+    """One link a node (id, parent, near columns, w, least, top), the names of the near columns, rows and partitions."""
+    marks = [f"near{i}" for i in range(len(near))]
+    n = nodes.select(F.col(id).cast("string").alias("id"), F.nullif(F.col(parent).cast("string"), F.lit("")).alias("parent"), *(F.col(c).alias(m) for c, m in zip(near, marks)))
+    first = F.min(F.struct(F.col("parent").isNull().alias("no"), "parent", *marks))
+    links = n.where("id is not null").groupBy("id").agg(first.alias("x")).select("id", "x.parent", *(f"x.{m}" for m in marks))
+    links = links.withColumns({"w": F.lit(1).cast("bigint"), "least": F.col("id"), "top": F.col("id")})
+    rows = nodes.count()
+    return links, marks, rows, spread or max(runtime.shuffle_partitions(nodes.sparkSession), math.ceil(2 * rows / per_task))
+
+
 def hierarchy(nodes: DataFrame, id: str, parent: str, near: list[str], per_task: int = PER_TASK, spread: int | None = None) -> DataFrame:
     """(id, root, depth) of every distinct id of a table of parent links.
 
@@ -163,18 +174,17 @@ def hierarchy(nodes: DataFrame, id: str, parent: str, near: list[str], per_task:
     parent, a missing one last. ``near``: columns along which parent and child
     mostly lie close together; they steer the partitions and never the result.
     """
-    spark = nodes.sparkSession
-    marks = [f"near{i}" for i in range(len(near))]
-    n = nodes.select(F.col(id).cast("string").alias("id"), F.nullif(F.col(parent).cast("string"), F.lit("")).alias("parent"), *(F.col(c).alias(m) for c, m in zip(near, marks)))
-    first = F.min(F.struct(F.col("parent").isNull().alias("no"), "parent", *marks))
-    links = n.where("id is not null").groupBy("id").agg(first.alias("x")).select("id", "x.parent", *(f"x.{m}" for m in marks))
-    links = links.withColumns({"w": F.lit(1).cast("bigint"), "least": F.col("id"), "top": F.col("id")})
-    rows = nodes.count()
-    parts = spread or max(runtime.shuffle_partitions(spark), math.ceil(2 * rows / per_task))
-    return _solve(links, [*marks, "id"], rows, parts, runtime.Scratch(spark, "hierarchy"), per_task)
+    links, marks, rows, parts = parent_links(nodes, id, parent, near, per_task, spread)
+    return _solve(links, [*marks, "id"], rows, parts, runtime.Scratch(nodes.sparkSession, "hierarchy"), per_task)
+
+
+NEAR = ["portal", "wall", "counter"]
+
+
+def tx_links(tx: DataFrame) -> DataFrame:
+    return tx.select("id", "prev", "portal", F.get("hlc", F.lit(0)).alias("wall"), F.get("hlc", F.lit(1)).alias("counter"))
 
 
 def tx_hierarchy(tx: DataFrame, **how) -> DataFrame:
     """Trees of the log: a portal's transactions in the order of their clocks lie close together."""
-    t = tx.select("id", "prev", "portal", F.get("hlc", F.lit(0)).alias("wall"), F.get("hlc", F.lit(1)).alias("counter"))
-    return hierarchy(t, "id", "prev", ["portal", "wall", "counter"], **how)
+    return hierarchy(tx_links(tx), "id", "prev", NEAR, **how)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom import runtime
 from factloom.functions import canon, text
 from factloom.operators import bulk, extract, facts, feed, hierarchy, log, replay, search
 from factloom.runtime import table
@@ -34,21 +35,23 @@ def _tx(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tx")
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return facts.located(table(spark, d, "datoms"), _tx(spark, d))
+def _facts(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
+    columns = ("nu", "vf", "support", "source") + (("quote",) if quotes else ())
+    return facts.located(table(spark, d, "datoms"), _tx(spark, d), columns)
 
 
-def _live(spark: SparkSession, d: str) -> DataFrame:
-    f = _facts(spark, d)
-    return facts.alive(f, facts.last_events(f, replay.retractions(_tx(spark, d))))
+def _live(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
+    """Live facts; the located ones are written once, as most queries read them several times."""
+    located, _ = runtime.Scratch(spark, "facts").write(_facts(spark, d, quotes))
+    return facts.alive(located, replay.retractions(_tx(spark, d)))
 
 
 def _promoted(live: DataFrame) -> DataFrame:
     return facts.in_tier(live, "culture").select(F.col("culture_key").alias("key"))
 
 
-def _shown(spark: SparkSession, d: str) -> DataFrame:
-    live = _live(spark, d)
+def _shown(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
+    live = _live(spark, d, quotes)
     return facts.displayed(live, facts.names(live))
 
 
@@ -402,7 +405,8 @@ def gate_with_approvals(spark, d):
 SELECT key, min(id) AS rep, count(DISTINCT source) AS support, 'auto' AS rule FROM x WHERE event_at > after GROUP BY key HAVING count(DISTINCT source) >= 2""")
 def gate_after_retract(spark, d):
     """The gate where every key was retracted at its first evidence, so that only later evidence counts."""
-    ev = facts.in_episodes(_live(spark, d))
+    live = facts.in_episodes(_live(spark, d))
+    ev = live.join(live.groupBy("key").agg(F.max("at").alias("event_at")), "key")
     retracted = ev.groupBy(F.col("culture_key").alias("key")).agg(F.min("event_at").alias("at"))
     none = retracted.where("false")
     return facts.gate(ev, none.select("key"), none, retracted)
@@ -505,7 +509,7 @@ SELECT entity, a, value, support, nu, CASE WHEN pool = 0 THEN 'settled' ELSE 'he
 
 
 def _recalled(spark, d):
-    shown = _shown(spark, d)
+    shown = _shown(spark, d, quotes=True)
     return search.recall(facts.in_tier(shown, "culture"), facts.in_episodes(shown), _promoted(shown), QUESTION, 8)
 
 

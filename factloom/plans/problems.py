@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import changefeed, hierarchy, latedata, widetable
+from factloom.operators import changefeed, hierarchy, latedata, lineage, widetable
 from factloom.runtime import table
 
 CELLS = ["dose_mg", "half_life_min", "shelf_months", "otc", "date", "form"]
@@ -37,7 +37,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.tx_hierarchy(table(spark, sf_dir, "tx"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found}
+def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.descendants(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
+
+
+def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.path_index(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found, "p7_descendants": p7_descendants, "p7_paths": p7_paths}
 
 _ARRIVED = """
 WITH f AS (SELECT id, min(seq) AS seq, arg_min(portal, seq) AS portal, arg_min(hlc[1], seq) AS wall FROM tx GROUP BY id),
@@ -84,4 +92,10 @@ walk AS (SELECT id, id AS cur, 0 AS n FROM rest
          UNION ALL SELECT walk.id, rest.prev, n + 1 FROM walk JOIN rest ON rest.id = walk.cur WHERE n < 2 * (SELECT count(*) FROM rest))
 SELECT id, root, depth FROM down
 UNION ALL SELECT id, min(cur) AS root, -1::BIGINT AS depth FROM walk WHERE n >= (SELECT count(*) FROM rest) GROUP BY id""",
+    "p7_descendants": """
+WITH RECURSIVE t AS (SELECT id, min(nullif(prev, '')) AS prev FROM tx GROUP BY id),
+down AS (SELECT t.id, t.prev FROM t WHERE prev IS NULL OR prev NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, t.prev FROM down JOIN t ON t.prev = down.id),
+up AS (SELECT id, prev AS above FROM down WHERE prev IN (SELECT id FROM t) UNION ALL SELECT up.id, t.prev FROM up JOIN t ON t.id = up.above WHERE t.prev IN (SELECT id FROM t))
+SELECT down.id, coalesce(n, 0)::BIGINT AS descendants FROM down LEFT JOIN (SELECT above, count(*) AS n FROM up GROUP BY above) u ON u.above = down.id
+UNION ALL SELECT id, NULL FROM t WHERE id NOT IN (SELECT id FROM down)""",
 }
