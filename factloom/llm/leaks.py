@@ -24,8 +24,8 @@ from factloom import runtime
 
 #: Words in a seed, and the share of documents beyond which a seed is common.
 GRAM, RARE = 3, 0.005
-#: Seeds that a stretch has at least, and how far they may lie off one diagonal.
-SEEDS, DRIFT = 2, 12
+#: Different seeds that a stretch has at least (of items under so many words: the fewer), and how far they may lie off one diagonal.
+SEEDS, SHORT, SHORT_SEEDS, DRIFT = 3, 30, 2, 12
 #: Least share of the item's words in one stretch, and of matches within the stretch.
 SHARE, IDENTITY = 0.5, 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -120,17 +120,17 @@ def align(item: list[str], stretch: list[str]) -> tuple[int, int, int]:
     return matches, int(i), end
 
 
-def _stretches(at: list[int], in_item: list[int]) -> list[tuple[int, int]]:
+def _stretches(at: list[int], in_item: list[int], need: int) -> list[tuple[int, int]]:
     """Ranges of diagonals (document position less item position) with enough different seeds."""
     pairs = sorted(zip((p - q for p, q in zip(at, in_item)), in_item))
     out, first, seen = [], 0, []
     for k, (d, q) in enumerate(pairs):
         if k and d - pairs[k - 1][0] > DRIFT:
-            if len(set(seen)) >= SEEDS:
+            if len(set(seen)) >= need:
                 out.append((pairs[first][0], pairs[k - 1][0]))
             first, seen = k, []
         seen.append(q)
-    if len(set(seen)) >= SEEDS:
+    if len(set(seen)) >= need:
         out.append((pairs[first][0], pairs[-1][0]))
     return out
 
@@ -145,7 +145,7 @@ def _verify(items: dict[int, list[str]]):
                     item = items[x["item_id"]]
                     w = words(text) if w is None else w
                     best = (0, 0, 0)
-                    for lo, hi in _stretches(x["at"], x["q"]):
+                    for lo, hi in _stretches(x["at"], x["q"], SEEDS if len(item) >= SHORT else SHORT_SEEDS):
                         start, end = max(0, lo - DRIFT), min(len(w), hi + len(item) + DRIFT)
                         best = max(best, align(item, w[start:end]))
                     matches, i, j = best
@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, items: DataFrame, rare: float = RARE) -> DataFrame:
     seeds = hits.distinct().groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).where(F.col("df") <= often).select("gram")
     where = spark.createDataFrame(pa.table({"gram": pa.array([p[0] for p in postings], pa.int32()), "item_id": pa.array([p[1] for p in postings], pa.int64()), "q": pa.array([p[2] for p in postings], pa.int32())}))
     pairs = hits.join(seeds.join(where, "gram"), "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "q")).alias("s"))
-    pairs = pairs.where(F.size(F.array_distinct(F.col("s.q"))) >= SEEDS)
+    pairs = pairs.where(F.size(F.array_distinct(F.col("s.q"))) >= SHORT_SEEDS)
     found = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("s.at").alias("at"), F.col("s.q").alias("q"))).alias("found"))
 
     return texts.join(found, "doc_id").mapInPandas(_verify(passage), out).groupBy("doc_id", "item_id").agg(
