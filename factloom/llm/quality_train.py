@@ -21,7 +21,7 @@ from factloom import runtime
 from factloom.llm import quality, rules
 
 #: Most labelled documents that a fit reads.
-MOST = 12_000
+MOST = 40_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ITEM = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|\[.?\]\s|[a-z]\)\s|<\w|\||#\s)")
