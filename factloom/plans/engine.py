@@ -175,7 +175,13 @@ def skill_violations(spark, d):
     return log.skill_violations(_tx(spark, d))
 
 
-@query()
+_GENESIS = f"""WITH {_T} SELECT id, 'V3' AS "check", 'the log must start with a genesis transaction' AS reason FROM (SELECT id, kind FROM t ORDER BY lk LIMIT 1) WHERE kind <> 'genesis'
+UNION ALL SELECT id, 'V4', 'genesis must be signed by the steward it names' FROM t WHERE kind = 'genesis' AND NOT coalesce(signer = {_P.format('steward')} AND json_extract_string(payload, '$.roles."' || signer || '"') = 'steward', false)
+UNION ALL SELECT id, 'V5', 'this log already has a genesis; the transaction belongs to another network' FROM t WHERE kind = 'genesis' AND lk > (SELECT min(lk) FROM t WHERE kind = 'genesis')"""
+_ALL = " UNION ALL ".join(f"SELECT id, \"check\", reason FROM ({x})" for x in (_GENESIS, *(SQL[k] for k in ("row_violations", "chain_violations", "closing_violations", "skill_violations"))))
+
+
+@query(f'SELECT "check", reason, count(*) AS n FROM ({_ALL}) GROUP BY ALL')
 def log_violations(spark, d):
     return log.violations(_tx(spark, d), table(spark, d, "datoms")).groupBy("check", "reason").agg(F.count(F.lit(1)).alias("n"))
 

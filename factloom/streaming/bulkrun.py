@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import bulk
-from factloom.streaming.tables import Versioned
+from factloom.streaming.tables import Deltas
 
 
 class Paused(RuntimeError):
     """The run paused itself: too many sources failed in a row."""
 
 
-def start(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], steps: Versioned, checkpoint: str, skip: DataFrame | None = None, most_fails: int = bulk.MAX_FAILS_IN_A_ROW):
+def start(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], steps: Deltas, checkpoint: str, skip: DataFrame | None = None, most_fails: int = bulk.MAX_FAILS_IN_A_ROW):
     """Run ``extract`` (sources -> (id, outcome, kept, refused)) on each batch of sources (id, hash, name, text).
 
     ``skip`` (source, hash): sources already extracted with that content. Ends by
@@ -35,9 +35,8 @@ def start(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], steps: V
             skipped = df.join(skip, on, "left_semi").select("id", F.lit("skipped").alias("outcome"), F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("refused"))
         done = extract(todo).select("id", "outcome", F.col("kept").cast("bigint"), F.col("refused").cast("bigint")).unionByName(skipped)
         done = done.withColumn("i", F.concat_ws("/", F.lpad(F.lit(str(n)), 12, "0"), "id")).withColumn("run", F.lit("run"))
-        old = steps.before(n)
-        steps.write(n, done if old is None else old.unionByName(done))
-        last = bulk.failure_runs(steps.before(n + 1), "run", "i").orderBy(F.desc("i")).limit(1).collect()
+        steps.write(n, done)
+        last = bulk.failure_runs(steps.read(n + 1), "run", "i").orderBy(F.desc("i")).limit(1).collect()
         if last and last[0]["fails"] >= most_fails:
             raise Paused(f"{last[0]['fails']} sources failed in a row")
 

@@ -1,41 +1,58 @@
-"""Versioned tables kept by micro-batches: a batch writes the next version once, whatever is tried again."""
+"""Tables kept by micro-batches: each batch writes its own part once, whatever is tried again."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.runtime import _path
 
 
-class Versioned:
-    """A table of which batch ``b`` writes version ``b``; readers and later batches see the last one that is complete.
+def union(parts: DataFrame) -> DataFrame:
+    return parts
+
+
+class Deltas:
+    """A table as the merge of what its batches wrote.
 
-    A version is written to a path of its own and marked by Spark's _SUCCESS file,
-    so a batch that is run again after a failure starts from the version before it
-    and replaces its own.
+    Batch ``b`` writes ``d=b``, so its cost follows the batch and not the table;
+    every ``compact`` batches the parts are merged into ``base=b`` and go. A part
+    counts once its _SUCCESS file is there. A batch that runs again replaces its
+    part; ``merge`` must be associative.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame] = union, compact: int = 16):
+        self.spark, self.root, self.merge, self.compact = spark, root.rstrip("/"), merge, compact
 
-    def versions(self) -> list[int]:
+    def _parts(self, kind: str) -> list[int]:
         path, fs = _path(self.spark, self.root)
         if not fs.exists(path):
             return []
-        found = []
-        for s in fs.listStatus(path):
-            name = s.getPath().getName()
-            if name.startswith("v=") and fs.exists(_path(self.spark, f"{self.root}/{name}/_SUCCESS")[0]):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def before(self, batch: int | None = None) -> DataFrame | None:
-        """The last version, or the last before a batch; None where there is none."""
-        own = [v for v in self.versions() if batch is None or v < batch]
-        return self.spark.read.parquet(f"{self.root}/v={own[-1]}") if own else None
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(kind + "=") and fs.exists(_path(self.spark, f"{self.root}/{n}/_SUCCESS")[0]))
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The table, or as it was before a batch; None where nothing is written."""
+        ok = lambda b: before is None or b < before
+        bases = [b for b in self._parts("base") if ok(b)]
+        base = bases[-1] if bases else -1
+        paths = [f"{self.root}/base={base}"] * bool(bases) + [f"{self.root}/d={b}" for b in self._parts("d") if ok(b) and b > base]
+        if not paths:
+            return None
+        out = self.spark.read.parquet(paths[0])
+        for p in paths[1:]:
+            out = out.unionByName(self.spark.read.parquet(p))
+        return self.merge(out)
 
     def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={batch}")
-        for v in [v for v in self.versions() if v <= batch][: -self.keep]:
-            path, fs = _path(self.spark, f"{self.root}/v={v}")
-            fs.delete(path, True)
+        df.write.mode("overwrite").parquet(f"{self.root}/d={batch}")
+        parts, bases = self._parts("d"), self._parts("base")
+        since = [b for b in parts if b > (bases[-1] if bases else -1)]
+        if len(since) >= self.compact:
+            self.read(batch + 1).write.mode("overwrite").parquet(f"{self.root}/base={batch}")
+            # the batch before may run again, so what it reads stays: the base before this one, and the parts after it
+            if bases:
+                for name in [f"d={b}" for b in parts if b <= bases[-1]] + [f"base={b}" for b in bases[:-1]]:
+                    path, fs = _path(self.spark, f"{self.root}/{name}")
+                    fs.delete(path, True)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.operators import changefeed, latedata
-from factloom.streaming.tables import Versioned
+from factloom.streaming.tables import Deltas
 
 
 def log_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -29,45 +29,48 @@ def once_each(stream: DataFrame, id: str = "id") -> DataFrame:
     return stream.dropDuplicates([id])
 
 
-def apply_changes(stream: DataFrame, key: str, sequence: list, op: Column | str, columns: list[str], state: Versioned) -> DataStreamWriter:
-    """Keep the registers of a changed table in ``state``; ``changefeed.current_rows`` reads them as rows.
+def change_table(spark: SparkSession, root: str, key: str, columns: list[str], compact: int = 16) -> Deltas:
+    """The registers of a changed table; ``changefeed.current_rows`` reads them as rows."""
+    return Deltas(spark, root, lambda parts: changefeed.merge_states(parts, key, columns), compact)
 
-    Each batch is replayed by itself and merged with what is there, which gives
-    the same as a replay of everything, in any order and with repetitions.
+
+def apply_changes(stream: DataFrame, key: str, sequence: list, op: Column | str, columns: list[str], state: Deltas) -> DataStreamWriter:
+    """Keep the registers of a changed table in ``state`` (``change_table``).
+
+    Each batch is replayed by itself; its registers merge with those of all others
+    to the same as a replay of everything, in any order and with repetitions.
     """
+    return stream.writeStream.foreachBatch(lambda df, n: state.write(n, changefeed.replay_states(df, key, sequence, op, columns)))
 
-    def batch(df: DataFrame, n: int) -> None:
-        new = changefeed.replay_states(df, key, sequence, op, columns)
-        old = state.before(n)
-        state.write(n, new if old is None else changefeed.merge_states(old.unionByName(new), key, columns))
 
-    return stream.writeStream.foreachBatch(batch)
+class LateCounts:
+    """Where ``late_counts`` keeps its counts, watermarks, the ids counted and the rows dropped."""
+
+    def __init__(self, spark: SparkSession, root: str, compact: int = 16):
+        total = lambda by, agg: lambda parts: parts.groupBy(*by).agg(agg)
+        self.counts = Deltas(spark, f"{root}/counts", total(["key", "period"], F.sum("n").alias("n")), compact)
+        self.marks = Deltas(spark, f"{root}/marks", total(["key"], F.max("wall").alias("wall")), compact)
+        self.seen, self.late = Deltas(spark, f"{root}/seen", compact=compact), Deltas(spark, f"{root}/late", compact=compact)
 
 
-def late_counts(stream: DataFrame, id: str, key: str, arrival: str, event_time: Column, counts: Versioned, marks: Versioned, seen: Versioned, late: Versioned,
-                allowed_ms: int = latedata.ALLOWED_MS, period_ms: int = latedata.HOUR_MS) -> DataStreamWriter:
-    """Counts per key and period, corrected by late rows; rows beyond the cut-off are diverted to ``late``.
+def late_counts(stream: DataFrame, id: str, key: str, arrival: str, event_time: Column, tables: LateCounts, allowed_ms: int = latedata.ALLOWED_MS, period_ms: int = latedata.HOUR_MS) -> DataStreamWriter:
+    """Counts per key and period, corrected by late rows; rows beyond the cut-off are diverted.
 
-    Batches come in the order of ``arrival``. Kept are each key's watermark
-    (``marks``), the ids counted (``seen``), the counts, and the dropped rows.
+    Batches come in the order of ``arrival``.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         first = latedata.first_arrivals(df, id, key, arrival, event_time)
-        known = seen.before(n)
+        known = tables.seen.read(n)
         if known is not None:
             first = first.join(known, "id", "left_anti")
-        first = first.persist()
-        marked = latedata.with_watermark(first, carried=marks.before(n))
-        fresh = latedata.period_counts(marked.where(~latedata.is_late(allowed_ms)), period_ms)
-        out = marked.where(latedata.is_late(allowed_ms)).select("id", "key", "seq", "wall", "mark")
-        top = first.groupBy("key").agg(F.max("wall").alias("wall"))
-        merged = lambda old, new, by, agg: new if old is None else old.unionByName(new).groupBy(*by).agg(agg)
-        counts.write(n, merged(counts.before(n), fresh, ["key", "period"], F.sum("n").alias("n")))
-        late.write(n, out if late.before(n) is None else late.before(n).unionByName(out))
-        marks.write(n, merged(marks.before(n), top, ["key"], F.max("wall").alias("wall")))
-        seen.write(n, first.select("id") if known is None else known.unionByName(first.select("id")))
-        first.unpersist()
+        marked = latedata.with_watermark(first, carried=tables.marks.read(n)).persist()
+        late = latedata.is_late(allowed_ms)
+        tables.counts.write(n, latedata.period_counts(marked.where(~late), period_ms))
+        tables.late.write(n, marked.where(late))
+        tables.marks.write(n, marked.groupBy("key").agg(F.max("wall").alias("wall")))
+        tables.seen.write(n, marked.select("id"))
+        marked.unpersist()
 
     return stream.writeStream.foreachBatch(batch)
 

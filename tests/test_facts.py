@@ -53,8 +53,8 @@ def facts_df(spark, rows):
 
 
 ROWS = [
-    ("n1", "e:1", "name", "Aspirin", "culture", 1, None, 1, ""), ("n2", "e:2", "name", "fever", "episode:x", 1, "s1", 1, ""), ("f1", "e:1", "treats", '{"ref": "e:2"}', "culture", 2, None, 2, "Aspirin treats fever."),
-    ("h1", "e:1", "causes", "stomach irritation", "episode:x", 1, "s1", 3, "it irritates"), ("h2", "e:1", "causes", "stomach irritation", "episode:y", 1, "s2", 4, "irritates the stomach of some who take it for fever"),
+    ("n1", "e:1", "name", "Ginger", "culture", 1, None, 1, ""), ("n2", "e:2", "name", "gout", "episode:x", 1, "s1", 1, ""), ("f1", "e:1", "treats", '{"ref": "e:2"}', "culture", 2, None, 2, "Ginger treats gout."),
+    ("h1", "e:1", "causes", "mouth burning", "episode:x", 1, "s1", 3, "it burns"), ("h2", "e:1", "causes", "mouth burning", "episode:y", 1, "s2", 4, "burns the mouth of some who take it for gout"),
     ("h3", "e:1", "treats", '{"ref":"e:2"}', "episode:y", 1, "s2", 5, "a held twin of a settled fact"),
 ]
 
@@ -67,19 +67,19 @@ def shown(spark):
 def test_recall_orders_settled_and_held(spark):
     x = shown(spark)
     promoted = facts.in_tier(x, "culture").select(F.col("culture_key").alias("key"))
-    got = search.recall(facts.in_tier(x, "culture"), facts.in_episodes(x), promoted, "Does aspirin cause stomach irritation or fever?", 8)
+    got = search.recall(facts.in_tier(x, "culture"), facts.in_episodes(x), promoted, "Does ginger cause mouth burning or gout?", 8)
     rows = got.collect()
-    assert [(r["status"], r["value"], r["support"], r["score"]) for r in rows] == [("held", "stomach irritation", 2, 9.0), ("settled", "fever", 2, 4.5)]
-    assert rows[0]["quote"] == "irritates the stomach of some who take it for fever"
+    assert [(r["status"], r["value"], r["support"], r["score"]) for r in rows] == [("held", "mouth burning", 2, 9.0), ("settled", "gout", 2, 4.5)]
+    assert rows[0]["quote"] == "burns the mouth of some who take it for gout"
     lines = [r["line"] for r in search.prompt_lines(got).orderBy("n").collect()]
-    assert lines[1] == '[2] Aspirin treats fever (2 sources) (source says: "Aspirin treats fever.")'
-    assert lines[0].startswith("[1] Aspirin causes stomach irritation (unconfirmed: 2 sources, not yet through the gate)")
+    assert lines[1] == '[2] Ginger treats gout (2 sources) (source says: "Ginger treats gout.")'
+    assert lines[0].startswith("[1] Ginger causes mouth burning (unconfirmed: 2 sources, not yet through the gate)")
     assert "general knowledge" in search.system_prompt([]) and "[1]" in search.system_prompt(lines)
 
 
 def test_memory_and_settled_values(spark):
     c = facts.in_tier(shown(spark), "culture")
-    assert [(r["entity"], r["value"]) for r in facts.memory(c, " TREATS Fever ").collect()] == [("Aspirin", "fever")]
+    assert [(r["entity"], r["value"]) for r in facts.memory(c, " TREATS Gout ").collect()] == [("Ginger", "gout")]
     assert facts.memory(c, "no%such_").count() == 0
     schema = spark.createDataFrame([("date", "one", "state"), ("defined_as", "one", "claim"), ("treats", "many", "claim")], "a string, card string, kind string")
     f = facts_df(spark, [("b", "e", "date", "1", "culture", 9, None, 1, ""), ("a", "e", "date", "2", "culture", 1, None, 5, ""), ("z", "e", "date", "3", "dream", 1, None, 9, ""), ("d", "e", "defined_as", "x", "culture", 1, None, 9, ""), ("c", "e", "defined_as", "y", "culture", 4, None, 1, "")])
@@ -88,13 +88,13 @@ def test_memory_and_settled_values(spark):
     assert {(r["a"], tuple(r["vals"])) for r in facts.settled_many(m, schema).collect()} == {("treats", ('"a"', '"b"')), ("odd", ('"q"',))}
 
 
-HANDBOOK = "# Notes\n\n- aspirin | treats | fever\r\n* willow bark | contains | salicin\nno fact | here\n aspirin | Derived From | x\na | b | c | d\n| treats | y\naspirin | treats | pain\n"
+HANDBOOK = "# Notes\n\n- ginger | treats | gout\r\n* elder bark | contains | sambucin\nno fact | here\n ginger | Derived From | x\na | b | c | d\n| treats | y\nginger | treats | pain\n"
 
 
 def test_pattern_facts_quote_their_lines(spark):
     docs = spark.createDataFrame([("d", HANDBOOK), ("n", None), ("e", "")], "id string, text string")
     got = extract.pattern_facts(docs, "id", "text").orderBy("start").collect()
-    assert [(r["entity"], r["a"], r["v"]) for r in got] == [("aspirin", "treats", "fever"), ("willow bark", "contains", "salicin"), ("aspirin", "derived_from", "x"), ("aspirin", "treats", "pain")]
+    assert [(r["entity"], r["a"], r["v"]) for r in got] == [("ginger", "treats", "gout"), ("elder bark", "contains", "sambucin"), ("ginger", "derived_from", "x"), ("ginger", "treats", "pain")]
     assert all(HANDBOOK[r["start"]:r["end"]] == r["quote"] for r in got) and not any("\r" in r["quote"] for r in got)
 
 
@@ -116,7 +116,7 @@ def test_admission_ladder_and_budget(spark):
     rows = extract.datom_rows(extract.admit(p, docs, "id", "text", schema(spark)), "id", "p-1", 7).collect()
     assert len(rows) == 9 and {r["nu"] for r in rows} == {800, 1000} and sum(r["a"] == "name" for r in rows) == 6
     names = {r["v"]: r["e"] for r in rows if r["a"] == "name"}
-    assert any(r["v"] == f'{{"ref":"{names["fever"]}"}}' and r["e"] == names["aspirin"] for r in rows)
+    assert any(r["v"] == f'{{"ref":"{names["gout"]}"}}' and r["e"] == names["ginger"] for r in rows)
 
 
 def test_passages_end_at_breaks():
@@ -132,14 +132,14 @@ class Fake:
 
     def generate(self, system, user, most):
         assert "treats" in system and user.startswith("Passage:\n")
-        return "- willow bark | treats | fever | \"used against fever\"\nNONE\nbad line\nwillow bark | TREATS | Fever | used against fever\nx | treats | y | invented quote|with pipe\na | b | c |\n"
+        return "- elder bark | treats | gout | \"used against gout\"\nNONE\nbad line\nelder bark | TREATS | Gout | used against gout\nx | treats | y | invented quote|with pipe\na | b | c |\n"
 
 
 def test_model_facts(spark):
-    docs = spark.createDataFrame([("d", "Willow bark was used against fever.")], "id string, text string")
+    docs = spark.createDataFrame([("d", "Elder bark was used against gout.")], "id string, text string")
     out = extract.generated(docs, "id", "text", Fake, ["name", "treats"])
     got = extract.model_facts(out).orderBy("i").collect()
-    assert [(r["entity"], r["a"], r["v"], r["start"], r["end"], r["quote"]) for r in got] == [("willow bark", "treats", "fever", 16, 34, "used against fever"), ("x", "treats", "y", -1, -1, "invented quote|with pipe")]
+    assert [(r["entity"], r["a"], r["v"], r["start"], r["end"], r["quote"]) for r in got] == [("elder bark", "treats", "gout", 15, 32, "used against gout"), ("x", "treats", "y", -1, -1, "invented quote|with pipe")]
 
 
 def test_text_sources(spark, tmp_path):

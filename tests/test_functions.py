@@ -32,18 +32,18 @@ def test_canonical_of_texts(spark):
 
 
 def test_ids(spark):
-    r = spark.createDataFrame([("  Willow \n Bark ", "e:1", '{"ref": "e:2"}')], "n string, e string, v string").select(
+    r = spark.createDataFrame([("  Elder \n Bark ", "e:1", '{"ref": "e:2"}')], "n string, e string, v string").select(
         canon.entity_id("name", F.col("n")).alias("i"), canon.fact_key(F.lit("culture"), F.col("e"), F.lit("treats"), F.col("v")).alias("k")
     ).first()
     h = lambda x: hashlib.sha256(canon.canon(x).encode()).hexdigest()
-    assert r["i"] == "e:" + h(["ident", "name", "willow bark"])[:24]
+    assert r["i"] == "e:" + h(["ident", "name", "elder bark"])[:24]
     assert r["k"] == "k:" + h(["culture", "e:1", "treats", {"ref": "e:2"}, None])[:32]
 
 
 def test_words_quotes_and_answers(spark):
-    df = spark.createDataFrame([("What treats the Fevers? It’s NSAIDs, gas gas", '“ quoted "x" ”', "<think>hm</think> It is [1], not [12].", "q" * 250)], "w string, q string, a string, l string")
+    df = spark.createDataFrame([("What treats the Cramps? It’s TONICs, gas gas", '“ quoted "x" ”', "<think>hm</think> It is [1], not [12].", "q" * 250)], "w string, q string, a string, l string")
     r = df.select(text.words(F.col("w")).alias("w"), text.unquoted(F.col("q")).alias("q"), *(c.alias(n) for c, n in zip(text.split_thinking(F.col("a")), "ta")), text.citations(F.col("a")).alias("c"), text.cut_quote(F.col("l")).alias("l")).first()
-    assert r["w"] == ["treat", "fever", "nsaid", "gas"] and r["q"] == 'quoted "x"' and (r["t"], r["a"]) == ("hm", "It is [1], not [12].") and r["c"] == [1, 12]
+    assert r["w"] == ["treat", "cramp", "tonic", "gas"] and r["q"] == 'quoted "x"' and (r["t"], r["a"]) == ("hm", "It is [1], not [12].") and r["c"] == [1, 12]
     assert len(r["l"]) == 200 and r["l"].endswith("…")
     assert [x[0] for x in spark.createDataFrame([(5,), (2048,), (3 << 20,), (5 << 30,)], "n bigint").select(text.size_text(F.col("n"))).collect()] == ["5 B", "2 KB", "3.0 MB", "5.00 GB"]
 

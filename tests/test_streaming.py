@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from factloom.operators import bulk, changefeed, feed, latedata
 from factloom.streaming import bulkrun, views
-from factloom.streaming.tables import Versioned
+from factloom.streaming.tables import Deltas
 
 
 def in_files(spark, rows, schema, path, n):
     for k in range(n):
-        spark.createDataFrame(rows[k::n] if n < 0 else rows[len(rows) * k // n : len(rows) * (k + 1) // n], schema).coalesce(1).write.mode("append").parquet(str(path))
+        spark.createDataFrame(rows[len(rows) * k // n : len(rows) * (k + 1) // n], schema).coalesce(1).write.mode("append").parquet(str(path))
     return views.log_stream(spark, str(path), spark.createDataFrame([], schema).schema)
 
 
@@ -27,11 +27,16 @@ def test_changes_applied_batch_by_batch(spark, tmp_path):
     rows += rows[:9]
     rng.shuffle(rows)
     stream = in_files(spark, rows, schema, tmp_path / "in", 3)
-    state = Versioned(spark, f"file://{tmp_path}/state")
+    state = views.change_table(spark, f"file://{tmp_path}/state", "k", ["x"], compact=2)
     run(views.apply_changes(stream, "k", ["w"], "op", ["x"], state), tmp_path / "cp")
     want = changefeed.replay_changes(spark.createDataFrame(rows, schema), "k", ["w"], "op", ["x"])
-    got = changefeed.current_rows(state.before(), "k", ["x"])
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and len(state.versions()) == 2
+    got = changefeed.current_rows(state.read(), "k", ["x"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert state._parts("base") == [1]
+    part = spark.read.parquet(f"file://{tmp_path}/state/d=2")
+    state.write(2, spark.createDataFrame(part.collect(), part.schema))  # a batch that runs again
+    again = changefeed.current_rows(state.read(), "k", ["x"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
 
 
 def test_late_counts_batch_by_batch(spark, tmp_path):
@@ -40,12 +45,12 @@ def test_late_counts_batch_by_batch(spark, tmp_path):
     rows = [(f"i{n}", rng.choice("ab"), n, n + rng.randrange(-60, 5)) for n in range(90)]
     rows += [(i, k, 90 + n, w) for n, (i, k, s, w) in enumerate(rows[:20])]
     stream = in_files(spark, rows, schema, tmp_path / "in", 3)
-    t = {n: Versioned(spark, f"file://{tmp_path}/{n}") for n in ("counts", "marks", "seen", "late")}
-    run(views.late_counts(stream, "id", "k", "s", F.col("w"), t["counts"], t["marks"], t["seen"], t["late"], 20, 10), tmp_path / "cp")
+    t = views.LateCounts(spark, f"file://{tmp_path}/out", compact=2)
+    run(views.late_counts(stream, "id", "k", "s", F.col("w"), t, 20, 10), tmp_path / "cp")
     fine, late = latedata.split_late(spark.createDataFrame(rows, schema), "id", "k", "s", F.col("w"), 20)
-    assert sorted(r["id"] for r in t["late"].before().collect()) == sorted(r["id"] for r in late.collect()) != []
+    assert sorted(r["id"] for r in t.late.read().collect()) == sorted(r["id"] for r in late.collect()) != []
     key = lambda df: sorted((r["key"], r["period"], r["n"]) for r in df.collect())
-    assert key(t["counts"].before()) == key(latedata.period_counts(fine, 10))
+    assert key(t.counts.read()) == key(latedata.period_counts(fine, 10))
 
 
 def test_last_writer_and_repeated_rows(spark, tmp_path):
@@ -73,7 +78,7 @@ def test_bulk_run_pauses_and_goes_on(spark, tmp_path):
     schema = "id string, hash string, name string, text string"
     rows = [(f"s{n}", f"h{n}", "n", "bad" if n in (3, 4, 5) else "good") for n in range(8)]
     stream = in_files(spark, rows, schema, tmp_path / "in", 8)
-    steps = Versioned(spark, f"file://{tmp_path}/steps")
+    steps = Deltas(spark, f"file://{tmp_path}/steps")
     work = lambda df: df.select("id", F.when(F.col("text") == "bad", "failed").otherwise("extracted").alias("outcome"), F.lit(2).alias("kept"), F.lit(1).alias("refused"))
     skip = spark.createDataFrame([("s1", "h1")], "source string, hash string").withColumnRenamed("hash", "h").withColumnRenamed("h", "hash")
     q = bulkrun.start(stream, work, steps, str(tmp_path / "cp"), skip)
@@ -83,7 +88,7 @@ def test_bulk_run_pauses_and_goes_on(spark, tmp_path):
     except Exception as e:  # noqa: BLE001
         failed = "in a row" in str(e)
     assert failed
-    t = bulk.totals(steps.before()).first()
+    t = bulk.totals(steps.read()).first()
     assert (t["skipped"], t["failed"]) == (1, 3) and t["kept"] == 2 * t["extracted"]
 
 
