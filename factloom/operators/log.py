@@ -140,7 +140,7 @@ def closing_violations(tx: DataFrame, datoms: DataFrame) -> DataFrame:
     t = once(tx).where(F.col("kind").isin(*CLOSING_KINDS))
     facts = datoms.where("a <> 'name' and tx is not null").groupBy("tx").agg(F.count_distinct("id").alias("facts")).select(F.col("tx").alias("id"), "facts")
     c = t.select("id", "kind", "portal", "directive", wall().alias("wall"), load_key().alias("at")).join(issued(tx), "directive", "left").join(facts, "id", "left")
-    again = F.row_number().over(Window.partitionBy("directive").orderBy("at")) > 1
+    again = F.row_number().over(Window.partitionBy(F.coalesce("directive", "id")).orderBy("at")) > 1  # rows that name no directive are no group
     c = c.withColumn("again", again)
     late = (F.col("kind") == "assert") & F.coalesce(F.col("wall") >= F.col("expires"), F.lit(False))
     early = (F.col("kind") == "expire") & F.coalesce(F.col("wall") < F.col("expires"), F.lit(True))

@@ -237,6 +237,30 @@ def hlc_assign(spark, d):
     return log.hybrid_clock(e, "now", "event_id", ["user_id"]).select("user_id", "event_id", "wall", "counter")
 
 
+@query(f"""WITH {_T}, {_ROLES}, z AS (SELECT portal, prev, signer, id, lk, row_number() OVER (PARTITION BY portal, prev, signer ORDER BY lk) AS n FROM t),
+y AS (SELECT portal, prev, signer, max(CASE WHEN n = 1 THEN id END) AS a, max(CASE WHEN n = 2 THEN id END) AS b, min(lk) AS lk FROM z WHERE n <= 2 GROUP BY ALL)
+SELECT portal, prev, a, b FROM (SELECT *, row_number() OVER (PARTITION BY portal, prev ORDER BY lk) AS k FROM y WHERE b IS NOT NULL) WHERE k = 1 AND signer IN (SELECT signer FROM roles)""")
+def checked_fork_proofs(spark, d):
+    t = _tx(spark, d)
+    return log.checked_proofs(log.fork_proofs(t).select("portal", "prev", "a", "b"), t)
+
+
+@query(f"WITH {_T}, h AS (SELECT id FROM t WHERE seq <= (SELECT max(seq) // 2 FROM tx)) SELECT id, kind FROM (SELECT * FROM tx WHERE seq > (SELECT max(seq) // 2 FROM tx) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) WHERE id NOT IN (SELECT id FROM h)")
+def log_append(spark, d):
+    """What a second delivery adds to the log: the later half of the arrivals against the earlier one."""
+    t = _tx(spark, d)
+    half = F.broadcast(t.agg(F.expr("max(seq) div 2").alias("half")))
+    early, late = t.join(half).where("seq <= half").drop("half"), t.join(half).where("seq > half").drop("half")
+    return log.append(early, late).select("id", "kind")
+
+
+@query(f"WITH {_T} SELECT id, payload FROM t WHERE id = (SELECT min(id) FROM tx)")
+def tx_lookup(spark, d):
+    t = _tx(spark, d)
+    first = F.broadcast(t.agg(F.min("id").alias("id")))
+    return log.once(t.join(first, "id", "left_semi")).select("id", "payload")
+
+
 # ---- replay
 
 
@@ -454,9 +478,21 @@ def memory_all(spark, d):
     return facts.memory(facts.in_tier(_shown(spark, d), "culture"))
 
 
+@query(f"{_SHOWN} SELECT id, entity, a, value FROM s")
+def displayed_facts(spark, d):
+    return _shown(spark, d).select("id", "entity", "a", "value")
+
+
 # ---- extraction and recall
 
 
+@query(r"""SELECT DISTINCT id, regexp_replace(regexp_replace(quote.text, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '') AS trimmed, CASE WHEN length(quote.text) > 200 THEN quote.text[1:199] || '…' ELSE quote.text END AS cut, regexp_replace(id, '^[a-z]+:', '')[1:10] AS short,
+lower(regexp_replace(regexp_replace(regexp_replace(v, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm FROM datoms""")
+def quote_functions(spark, d):
+    q = F.col("quote.text")
+    return table(spark, d, "datoms").select("id", text.trimmed(q).alias("trimmed"), text.cut_quote(q).alias("cut"), text.short_id(F.col("id")).alias("short"), text.norm(F.col("v")).alias("norm")).distinct()
+
+
 @query(r"""WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
 o AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start, regexp_replace(line, '\r$', '') AS raw FROM x),
 b AS (SELECT *, regexp_replace(regexp_replace(raw, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '') AS l FROM o), c AS (SELECT *, string_split(CASE WHEN starts_with(l, '- ') OR starts_with(l, '* ') THEN l[3:] ELSE l END, '|') AS p FROM b),
@@ -469,6 +505,12 @@ def pattern_extract(spark, d):
 _PATTERN = SQL["pattern_extract"]
 
 
+@query(f"WITH pf AS ({_PATTERN}) SELECT doc_id, i, entity, a, v FROM pf QUALIFY row_number() OVER (PARTITION BY doc_id, entity, a, lower(v) ORDER BY i) = 1")
+def proposal_dedupe(spark, d):
+    p = extract.pattern_facts(table(spark, d, "documents"), "doc_id", "text")
+    return extract.distinct_facts(p, "doc_id").select("doc_id", "i", "entity", "a", "v")
+
+
 @query(f"""WITH pf AS ({_PATTERN}), k AS (SELECT pf.*, q2.ref, CASE WHEN q2.a IS NULL THEN 'attribute not in the schema: ' || pf.a END AS no FROM pf LEFT JOIN attrs q2 ON q2.a = pf.a AND q2.a <> 'name'),
 z AS (SELECT *, sum(CASE WHEN no IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS kept FROM k) SELECT doc_id, i, a, coalesce(no, CASE WHEN kept > 50 THEN 'over budget' END) AS reason FROM z""")
 def admit_facts(spark, d):

@@ -34,10 +34,10 @@ def start(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], steps: D
             todo = df.join(skip, on, "left_anti")
             skipped = df.join(skip, on, "left_semi").select("id", F.lit("skipped").alias("outcome"), F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("refused"))
         done = extract(todo).select("id", "outcome", F.col("kept").cast("bigint"), F.col("refused").cast("bigint")).unionByName(skipped)
-        done = done.withColumn("i", F.concat_ws("/", F.lpad(F.lit(str(n)), 12, "0"), "id")).withColumn("run", F.lit("run"))
+        done = done.withColumn("i", F.concat_ws("/", F.lpad(F.lit(str(n)), 12, "0"), "id"))
         steps.write(n, done)
-        last = bulk.failure_runs(steps.read(n + 1), "run", "i").orderBy(F.desc("i")).limit(1).collect()
-        if last and last[0]["fails"] >= most_fails:
-            raise Paused(f"{last[0]['fails']} sources failed in a row")
+        last = steps.read(n + 1).where("outcome <> 'skipped'").orderBy(F.desc("i")).limit(most_fails).collect()
+        if len(last) == most_fails and all(r["outcome"] == "failed" for r in last):
+            raise Paused(f"{most_fails} sources failed in a row; the last: {last[0]['id']}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
