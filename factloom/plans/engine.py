@@ -540,7 +540,7 @@ _TOKENS = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower(
 
 @query(f"SELECT doc_id, len({_TOKENS.format('text')})::INT AS n, sha256(array_to_string(list_sort({_TOKENS.format('text')}), ' ')) AS tokens FROM documents WHERE text IS NOT NULL")
 def tokenize_docs(spark, d):
-    w = table(spark, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("w"))
+    w = runtime.spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", text.words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.sha2(F.array_join(F.array_sort("w"), " "), 256).alias("tokens"))
 
 

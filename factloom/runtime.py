@@ -89,6 +89,12 @@ def shuffle_partitions(spark: SparkSession, rows: int | None = None, per_task: i
     return least if rows is None else max(least, math.ceil(rows / per_task))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few splits over all cores, for work that costs far more than moving the rows; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
