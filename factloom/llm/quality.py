@@ -42,7 +42,7 @@ def _counted(line: Column) -> Column:
     return F.struct(line.alias("line"), words.alias("words"))
 
 
-def _line(x: Column) -> Column:
+def _line(x: Column, listed_too: bool = True) -> Column:
     line, words = x["line"], x["words"]
     n = F.length(line)
     size = F.size(words)
@@ -52,11 +52,11 @@ def _line(x: Column) -> Column:
     prose = (size >= PROSE_WORDS) & (common >= PROSE_COMMON * size) & (symbols <= PROSE_SYMBOLS * n)
     return F.struct(
         n.alias("n"), size.alias("w"), common.alias("c"), symbols.alias("s"), F.when(line.rlike(r"[.!?:;…»”\"]\s*$"), 1).otherwise(0).alias("e"),
-        F.when(prose, n).otherwise(0).alias("p"), F.when(listed & ~prose, n).otherwise(0).alias("l"),
+        F.when(prose, n).otherwise(0).alias("p"), (F.when(listed & ~prose, n).otherwise(0) if listed_too else F.lit(0)).alias("l"),
     )
 
 
-def text_stats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_stats(docs: DataFrame, id: str = "doc_id", text: str = "text", only: tuple[str, ...] = STATS) -> DataFrame:
     """(id, statistics) of every document; null and empty texts have zeros.
 
     words, mean_word (letters a word), common (share of words that are common in
@@ -66,28 +66,33 @@ def text_stats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     odd (a word: inner capitals, and punctuation inside words), distinct (different
     words over the square root of all), per_sentence (words a sentence end), upper
     (share of capitals among letters), long_words (share of characters in runs of
-    over 24 without a blank).
+    over 24 without a blank). ``only``: those wanted, of which nothing else is counted.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     zero = F.struct(*(F.lit(0).cast("bigint").alias(k) for k in "nwcsepl"), F.lit(0).cast("bigint").alias("k"))
     total = F.aggregate("lines", zero, lambda a, x: F.struct(*((a[k] + x[k]).alias(k) for k in "nwcsepl"), (a["k"] + 1).alias("k")))
-    d = docs.select(F.col(id).alias("id"), t.alias("t")).withColumn("lines", F.transform(lines_of(F.col("t")), _line)).select("id", "t", total.alias("x"))
-    letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
-    words = F.col("x.w")
-    out = d.select(
-        "id", "t", "x", letters.alias("letters"), F.length(F.regexp_replace("t", r"[^\p{Nd}]+", "")).alias("digits_n"), F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).alias("upper_n"),
-        F.regexp_count("t", F.lit(r"\p{Ll}\p{Lu}|[,;!?]\p{L}|(?<=\p{Ll})\.\p{L}|\s[,;.!?]")).alias("odd_n"), F.regexp_count("t", F.lit(r"[.!?…](?:\s|$|[\"”»'’)])")).alias("ends"),
-        F.size(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("different"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\S{25,}", ""))).alias("long_n"),
-    )
-    n = F.col("x.n")
-    return out.select(
-        F.col("id").alias(id), words.alias("words"), _share(F.col("letters"), words).alias("mean_word"), _share(F.col("x.c"), words).alias("common"),
-        _share(F.col("x.s"), n).alias("symbols"), _share(F.col("digits_n"), n).alias("digits"), _share(F.col("x.e"), F.col("x.k")).alias("punctuated_lines"),
-        _share(F.col("x.p"), n).alias("prose_lines"), _share(F.col("x.l"), n).alias("listed_lines"), _share(F.col("odd_n"), words).alias("odd"),
-        _share(F.col("different"), F.sqrt(words.cast("double"))).alias("distinct"), _share(words, F.greatest("ends", F.lit(1))).alias("per_sentence"),
-        _share(F.col("upper_n"), F.col("letters")).alias("upper"), _share(F.col("long_n"), n).alias("long_words"),
-    )
+    d = docs.select(F.col(id).alias("id"), t.alias("t")).withColumn("lines", F.transform(lines_of(F.col("t")), lambda x: _line(x, "listed_lines" in only))).select("id", "t", total.alias("x"))
+    counted = {
+        "letters": F.length(F.regexp_replace("t", r"[^\p{L}]+", "")),
+        "digits_n": F.length(F.regexp_replace("t", r"[^\p{Nd}]+", "")),
+        "upper_n": F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")),
+        "odd_n": F.regexp_count("t", F.lit(r"\p{Ll}\p{Lu}|[,;!?]\p{L}|(?<=\p{Ll})\.\p{L}|\s[,;.!?]")),
+        "ends": F.regexp_count("t", F.lit(r"[.!?…](?:\s|$|[\"”»'’)])")),
+        "different": F.size(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))),
+        "long_n": F.length("t") - F.length(F.regexp_replace("t", r"\S{25,}", "")),
+    }
+    words, n = F.col("x.w"), F.col("x.n")
+    stats = {
+        "words": ((), words), "mean_word": (("letters",), _share(F.col("letters"), words)), "common": ((), _share(F.col("x.c"), words)), "symbols": ((), _share(F.col("x.s"), n)),
+        "digits": (("digits_n",), _share(F.col("digits_n"), n)), "punctuated_lines": ((), _share(F.col("x.e"), F.col("x.k"))), "prose_lines": ((), _share(F.col("x.p"), n)), "listed_lines": ((), _share(F.col("x.l"), n)),
+        "odd": (("odd_n",), _share(F.col("odd_n"), words)), "distinct": (("different",), _share(F.col("different"), F.sqrt(words.cast("double")))), "per_sentence": (("ends",), _share(words, F.greatest("ends", F.lit(1)))),
+        "upper": (("upper_n", "letters"), _share(F.col("upper_n"), F.col("letters"))), "long_words": (("long_n",), _share(F.col("long_n"), n)),
+    }
+    need = {c for k in only for c in stats[k][0]}
+    # as the one element of an array: a filter on statistics would else be pushed below them, and count the text again for each
+    m = F.struct("x", *(v.alias(k) for k, v in counted.items() if k in need))
+    out = d.select("id", F.explode(F.array(m)).alias("m")).select("id", "m.*")
+    return out.select(F.col("id").alias(id), *(stats[k][1].alias(k) for k in STATS if k in only))
 
 
 def lines_of(t: Column) -> Column:
@@ -107,5 +112,7 @@ def case_expression(rules: dict) -> str:
 
 def not_prose(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: dict | None = None) -> DataFrame:
     """Ids of documents most of whose text is list, table or junk. Empty and null texts are none."""
-    s = text_stats(docs, id, text)
-    return s.where((F.expr(case_expression(rules or load_rules())) == 1) & (F.col("words") + F.col("symbols") + F.col("digits") > 0)).select(id)
+    rules = rules or load_rules()
+    only = tuple({"words", "common", "symbols", *(c for rule in rules["rules"] for c, _, _ in rule)})
+    seen = docs.where(F.length(F.trim(F.col(text))) > 0)
+    return text_stats(seen, id, text, only).where(F.expr(case_expression(rules)) == 1).select(id)

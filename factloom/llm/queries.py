@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions.typed import ref_of
 from factloom.llm import components, formatting, leaks, packing, quality, resolution
-from factloom.runtime import table
+from factloom.runtime import spread, table
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,19 +36,19 @@ def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.contexts(table(spark, sf_dir, "documents"))
+    return packing.contexts(_texts(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.found(leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "probes")))
+    return leaks.found(leaks.leaks(_texts(spark, sf_dir), table(spark, sf_dir, "probes")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.not_prose(table(spark, sf_dir, "documents"))
+    return quality.not_prose(_texts(spark, sf_dir))
 
 
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.text_stats(table(spark, sf_dir, "documents"))
+    return quality.text_stats(_texts(spark, sf_dir))
 
 
 QUERIES = {
