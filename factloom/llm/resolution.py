@@ -1,7 +1,8 @@
 """Spellings of one person or organisation, linked.
 
 Merge-and-rematch resolution: each entity starts as a profile with its spellings.
-Profiles that share a blocking key are compared; those that match are merged, and
+Profiles of close surnames or houses, found by blocking keys that all such words
+share, are compared; those that match are merged, and
 the merged profile has the spellings and initials of all, hence more keys and more
 that it can match. Merged profiles enter blocking again until a round merges
 nothing. Profiles with full given names are matched first; one with initials only
@@ -24,29 +25,15 @@ from factloom.llm.components import components
 MOST_ROUNDS = 30
 
 
-def _keyed(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cid, key, fresh = [], [], []
-            for c, scope, forms, new in zip(f["cid"], f["scope"], f["forms"], f["fresh"]):
-                own: set[str] = set()
-                for form in forms:
-                    word, _, rest = form.partition("|")
-                    if kind == "person":
-                        own.update(spelling.keys(word))
-                        word, initial = spelling.squashed(word), rest[:1]
-                        own.update((f"{initial}^{word[:4]}", f"{initial}${word[-5:]}"))
-                    else:
-                        own.update(spelling.keys(word))
-                        word = spelling.squashed(word)
-                        own.update((f"{rest.split('|')[0]}^{word[:4]}", f"{rest.split('|')[0]}${word[-5:]}"))
-                for k in own:
-                    cid.append(c)
-                    key.append(f"{scope}:{k}")
-                    fresh.append(new)
-            yield pd.DataFrame({"key": key, "cid": cid, "fresh": fresh})
+def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        keys = [spelling.keys(w) for w in f["word"]]
+        yield f.assign(key=keys).explode("key", ignore_index=True)[["scope", "word", "fresh", "key"]]
 
-    return run
+
+def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f[[spelling.close(u, v) for u, v in zip(f["u"], f["v"])]]
 
 
 def _judged(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -78,10 +65,17 @@ def _merged(profiles: DataFrame, edges: DataFrame, rows: int, members: DataFrame
 
 
 def _compared(profiles: DataFrame, kind: str, scratch: runtime.Scratch, everyone: bool = False) -> tuple[DataFrame, int]:
-    """(a, b, fit, full_a, full_b) of profiles that share a key, one of them fresh unless ``everyone``; and how many pairs are one for sure."""
-    keyed = profiles.select("cid", "scope", "forms", "fresh").mapInPandas(_keyed(kind), "key string, cid string, fresh boolean")
-    x, y = keyed.select("key", F.col("cid").alias("a"), F.col("fresh").alias("na")), keyed.select("key", F.col("cid").alias("b"), F.col("fresh").alias("nb"))
-    pairs = x.join(y, "key").where("a < b" if everyone else "a < b and (na or nb)").select("a", "b").distinct()
+    """(a, b, fit, full_a, full_b) of profiles with close surnames or houses, one of them fresh unless ``everyone``; and how many pairs are one for sure."""
+    new = F.lit(True) if everyone else F.col("fresh")
+    own = F.array_distinct(F.transform("forms", lambda x: F.split(x, r"\|")[0]))
+    words = profiles.select("cid", "scope", new.alias("fresh"), F.explode(own).alias("word"))
+    # words that are close share a key; the keys are hashed, as each pair of words is held against the rule
+    keyed = words.groupBy("scope", "word").agg(F.max("fresh").alias("fresh")).mapInPandas(_keyed, "scope string, word string, fresh boolean, key string")
+    keyed = keyed.select("scope", "word", "fresh", F.xxhash64("key").alias("key"))
+    x, y = keyed.where("fresh").select("scope", "key", F.col("word").alias("u")), keyed.select("scope", "key", F.col("word").alias("v"))
+    near = x.join(y, ["scope", "key"]).select("scope", "u", "v").distinct().mapInPandas(_close, "scope string, u string, v string")
+    x, y = words.where("fresh").select("scope", F.col("word").alias("u"), F.col("cid").alias("c")), words.select("scope", F.col("word").alias("v"), F.col("cid").alias("d"))
+    pairs = x.join(near, ["scope", "u"]).join(y, ["scope", "v"]).where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
     p = profiles.select("cid", "forms")
     both = pairs.join(p.select(F.col("cid").alias("a"), F.col("forms").alias("fa")), "a").join(p.select(F.col("cid").alias("b"), F.col("forms").alias("fb")), "b")
     both = both.select("a", "b", "fa", "fb", _full("fa").alias("full_a"), _full("fb").alias("full_b"))

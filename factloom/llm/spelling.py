@@ -28,6 +28,8 @@ _KINDS = {
 }
 _KIND_OF = {w: k for k, ws in _KINDS.items() for w in ws.split()}
 _LEGAL = frozenset("ltd gmbh inc llc ag plc co corp ev sa".split())
+#: Longer words are cut into pieces for their keys, as they have too many forms that lack two letters.
+LONG = 30
 _CONNECT = frozenset(("for", "of", "f", "-", "fur", "de", "pour", "–"))
 
 
@@ -68,7 +70,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 def close(a: str, b: str) -> bool:
     """Whether two words are one but for a typing error, or two in a long word."""
-    most = 0 if min(len(a), len(b)) < 4 else 1 if min(len(a), len(b)) < 7 else 2
+    most = edits(min(a, b, key=len))
     return distance(a, b, most) <= most or (("e" in a or "e" in b) and distance(squashed(a), squashed(b), most) <= most)
 
 
@@ -189,7 +191,38 @@ def same_body(f: str, g: str) -> int:
     return 0
 
 
+def edits(word: str) -> int:
+    """How many typing errors a word of this length may have."""
+    return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
+
+
+def _deletions(word: str, most: int) -> set[str]:
+    """The word and all forms that lack up to ``most`` letters."""
+    out = new = {word}
+    for _ in range(most):
+        new = {x[:i] + x[i + 1 :] for x in new for i in range(len(x))}
+        out = out | new
+    return out
+
+
+def _pieces(word: str) -> set[str]:
+    """For long words: fifths of a word of about this length, wherever two edits may have moved them.
+
+    Two edits, swaps over a border included, touch four of five pieces at most.
+    """
+    out = set()
+    for n in range(len(word) - 2, len(word) + 3):
+        cuts = [n * i // 5 for i in range(6)]
+        out.update(f"{n}.{i}.{word[max(0, lo + s) : hi + s]}" for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) for s in range(-2, 3))
+    return out
+
+
 def keys(word: str) -> list[str]:
-    """The word and all forms that lack one letter: words one edit apart share one."""
-    word = squashed(word)
-    return list({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) > 3 else [word]
+    """Keys of a word: any two that are ``close`` share one."""
+    most, out = edits(word), set()
+    for form in {word, squashed(word)}:
+        if len(form) <= LONG:
+            out |= _deletions(form, most)
+        if len(form) > LONG - 2:
+            out |= _pieces(form)
+    return list(out)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from factloom.llm import resolution, spelling
@@ -48,3 +50,25 @@ def test_persons(a, b, want):
 def test_names_that_cannot_be_taken_apart():
     assert spelling.person("") is None and spelling.person(None) is None and spelling.person("Solo") is None and spelling.body("no kind here") is None
     assert spelling.body("x " * 5000) is None
+
+
+def test_two_edits_in_head_and_tail_are_compared(spark):
+    bodies = [("o1", "Mevarundisk Society for Sleep Research"), ("o2", "Mxvarundxsk Society for Sleep Research"), ("o3", "Tolupik Academy for Wound Care")]
+    people = [
+        ("p1", "Eleanor von Ranogandez", True, "o1"), ("p2", "Eleanor von Rsnogsndez", True, "o2"), ("p3", "Lawrence Bovifulund", True, "o3"), ("p4", "Lawrence Boovifuulnd", True, "o3"),
+        ("p5", "Anna Kostavelir", True, "o3"), ("p6", "Anna Kxstavxlir", True, None), ("p7", "Anna " + "kostavelir" * 5, True, "o3"), ("p8", "Anna kxs" + "tavelirkos" * 4 + "tavexir", True, "o3"),
+    ]
+    got = {tuple(r) for r in resolution.pairs(resolution.resolve(datoms(spark, people, bodies))).collect()}
+    assert got == {("o1", "o2"), ("p1", "p2"), ("p3", "p4"), ("p5", "p6"), ("p7", "p8")}
+
+
+@pytest.mark.parametrize("size", [3, 4, 6, 7, 9, 12, 28, 30, 31, 32, 33, 60])
+def test_close_words_share_a_key(size):
+    rng = random.Random(size)
+    letter = lambda: rng.choice("aeourgndz")
+    for _ in range(60):
+        word = other = "".join(letter() for _ in range(size))
+        for _ in range(2):
+            i = rng.randrange(len(other))
+            other = rng.choice([other[:i] + other[i + 1 :], other[:i] + letter() + other[i:], other[:i] + letter() + other[i + 1 :], other[:i] + other[i + 1 : i + 2] + other[i : i + 1] + other[i + 2 :]])
+        assert not spelling.close(word, other) or set(spelling.keys(word)) & set(spelling.keys(other))
