@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import runtime
-from factloom.operators.hierarchy import PER_TASK, _compress, _out, parent_links
+from factloom.operators.hierarchy import PER_TASK, _compress, _out, _solve, parent_links
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +108,18 @@ def descendants(nodes: DataFrame, id: str, parent: str, near: list[str], per_tas
 def path_index(nodes: DataFrame, id: str, parent: str, near: list[str], per_task: int = PER_TASK, spread: int | None = None) -> DataFrame:
     """(id, segment, above, place): every node's place in its segment, counted from the top (1), and where the segment hangs.
 
-    In circles, and below them, segment is the smallest id on the circle where the
-    partition sees it, and place is -1.
+    In circles, and below them, segment is the smallest id on the circle, above is
+    null and place is -1, whichever partitions the circle runs through.
     """
-    links, marks, _, parts = parent_links(nodes, id, parent, near, per_task, spread)
-    seg = segments(links, [*marks, "id"], parts, runtime.Scratch(nodes.sparkSession, "lineage"))
-    return seg.select("id", "parent", "segment", "above", F.col("w").alias("place"))
+    links, marks, rows, parts = parent_links(nodes, id, parent, near, per_task, spread)
+    scratch = runtime.Scratch(nodes.sparkSession, "lineage")
+    links, _ = scratch.write(links)
+    seg = segments(links, [*marks, "id"], parts, scratch)
+    circles = _solve(links, [*marks, "id"], rows, parts, scratch, per_task).where("depth < 0").select("id", F.col("root").alias("circle"))
+    known = F.col("circle").isNull()
+    return seg.join(circles, "id", "left").select(
+        "id", "parent", F.coalesce("circle", "segment").alias("segment"), F.when(known, F.col("above")).alias("above"), F.when(known, F.col("w")).otherwise(-1).cast("bigint").alias("place")
+    )
 
 
 def paths(index: DataFrame, wanted: DataFrame, most: int = 100_000) -> DataFrame:

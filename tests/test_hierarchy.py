@@ -82,3 +82,16 @@ def test_descendants_and_paths(spark, per_task, spread):
     want = sorted(ok)[::25]
     spelled = {r["id"]: r["path"] for r in lineage.paths(index, spark.createDataFrame([(x,) for x in want], "id string")).collect()}
     assert spelled == {i: path[i] for i in want}
+
+
+@pytest.mark.parametrize("per_task, spread", [(100_000, 1), (60, 12), (25, 40)])
+def test_circles_cut_by_partitions_and_all_paths(spark, per_task, spread):
+    rows = forest(9)
+    tree = {i: (root, depth) for i, root, depth in brute(rows)}
+    parent = {}
+    for i, p in rows:
+        if i is not None and p:
+            parent[i] = min(p, parent.get(i, p))
+    index = lineage.path_index(spark.createDataFrame(rows, "id string, parent string"), "id", "parent", ["id"], per_task, spread)
+    broken = {r["id"]: (r["segment"], r["above"]) for r in index.where("place < 0").collect()}
+    assert broken == {i: (root, None) for i, (root, d) in tree.items() if d < 0}
