@@ -1,7 +1,7 @@
 """Paths and descendants of hierarchies, over the partition-local forests that ``hierarchy`` compresses.
 
-A path is kept as segments, not spelled out: in a chain of n nodes all paths
-together hold n * n / 2 ids. A segment is the part of a tree that one partition
+Paths are kept as segments, and spelled out by ``all_paths``: in a chain of n nodes
+all paths together hold n * n / 2 ids, for which the segments are the way out. A segment is the part of a tree that one partition
 holds below one top; ``above`` is the node that it hangs from. From a node, the
 path runs through its segment up to the top, then on from ``above``.
 
@@ -122,6 +122,54 @@ def path_index(nodes: DataFrame, id: str, parent: str, near: list[str], per_task
     )
 
 
+def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, parent, place) of whole segments -> (id, path): the ids from the top of the segment down to each."""
+    up, place = {}, {}
+    for b in batches:
+        for i, p, w in zip(*(c.to_pylist() for c in b.columns)):
+            up[i], place[i] = p, w
+    kind = pa.list_(pa.string())
+    ids, out, held = [], [], 0
+    for i, w in place.items():
+        path = [i]
+        while len(path) < w:
+            path.append(up[path[-1]])
+        ids.append(i)
+        out.append(path[::-1])
+        held += w
+        if held >= 200_000:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, kind)], names=["id", "path"])
+            ids, out, held = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, kind)], names=["id", "path"])
+
+
+def all_paths(index: DataFrame) -> DataFrame:
+    """(id, path): the ids from the root down to every node of a path index; nodes in and below circles have none.
+
+    Paths are spelled within segments, then those of the nodes that segments hang
+    from are joined by doubling up the tree of segments. The output has as many ids
+    as all depths together, which is n * n / 2 for one chain.
+    """
+    scratch = runtime.Scratch(index.sparkSession, "paths")
+    idx, _ = scratch.write(index.where("place > 0"))
+    width = runtime.shuffle_partitions(index.sparkSession)
+    local = idx.select("id", "parent", "place", "segment").repartition(width, "segment").select("id", "parent", "place")
+    local, _ = scratch.write(local.mapInArrow(_local_paths, "id string, path array<string>"))
+    none = F.array().cast("array<string>")
+    hang = idx.where("place = 1 and above is not null").select("segment", "above")
+    over = idx.select(F.col("id").alias("above"), F.col("segment").alias("up")).join(local.select(F.col("id").alias("above"), "path"), "above")
+    cur, _, n = scratch.write_counted(hang.join(over, "above").select("segment", "up", "path"))
+    for _ in range(math.ceil(math.log2(max(2, n))) + 2):
+        if cur.where("up is not null").isEmpty():
+            break
+        nxt = cur.select(F.col("segment").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
+        cur, _ = scratch.write(cur.join(nxt, "up", "left").select("segment", F.col("up2").alias("up"), F.concat(F.coalesce("head", none), "path").alias("path")))
+    else:
+        raise RuntimeError("paths: segments hang from one another without end")
+    head = cur.select("segment", F.col("path").alias("head"))
+    return local.join(idx.select("id", "segment"), "id").join(head, "segment", "left").select("id", F.concat(F.coalesce("head", none), "path").alias("path"))
+
+
 def paths(index: DataFrame, wanted: DataFrame, most: int = 100_000) -> DataFrame:
     """(id, path): the ids from the root down to each wanted node, by traversal of the index, a step of all at once.
 
@@ -138,4 +186,6 @@ def paths(index: DataFrame, wanted: DataFrame, most: int = 100_000) -> DataFrame
         known = step.join(up.select(F.col("at").alias("parent")), "parent", "left_semi")
         done, _ = scratch.write(done.unionByName(step.join(up.select(F.col("at").alias("parent")), "parent", "left_anti").select("id", "path")))
         cur, _, n = scratch.write_counted(known.select("id", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")))
+    if n:
+        raise RuntimeError(f"paths: {n} nodes have no root within {most} steps")
     return done

@@ -45,7 +45,16 @@ def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.path_index(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found, "p7_descendants": p7_descendants, "p7_paths": p7_paths}
+def p7_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.all_paths(p7_paths(spark, sf_dir))
+
+
+def p7_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p7_spelled(spark, sf_dir).select(F.explode("path").alias("id"), F.col("id").alias("descendant"))
+    return pairs.where("id <> descendant")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found, "p7_descendants": p7_descendants, "p7_paths": p7_paths, "p7_spelled": p7_spelled, "p7_below": p7_below}
 
 _ARRIVED = """
 WITH f AS (SELECT id, min(seq) AS seq, arg_min(portal, seq) AS portal, arg_min(hlc[1], seq) AS wall FROM tx GROUP BY id),

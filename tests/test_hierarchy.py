@@ -95,3 +95,17 @@ def test_circles_cut_by_partitions_and_all_paths(spark, per_task, spread):
     index = lineage.path_index(spark.createDataFrame(rows, "id string, parent string"), "id", "parent", ["id"], per_task, spread)
     broken = {r["id"]: (r["segment"], r["above"]) for r in index.where("place < 0").collect()}
     assert broken == {i: (root, None) for i, (root, d) in tree.items() if d < 0}
+    want = {}
+    for i, (root, d) in tree.items():
+        if d > 0:
+            p = [i]
+            while len(p) < d:
+                p.insert(0, parent[p[0]])
+            want[i] = p
+    assert {r["id"]: r["path"] for r in lineage.all_paths(index).collect()} == want
+
+
+def test_unfinished_paths_are_an_error(spark):
+    index = lineage.path_index(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string"), "id", "parent", ["id"])
+    with pytest.raises(RuntimeError):
+        lineage.paths(index, spark.createDataFrame([("c",)], "id string"), most=1)
