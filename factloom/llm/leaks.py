@@ -1,8 +1,7 @@
 """Passages of evaluation items in training documents.
 
-Rare n-gram seeds: the items' word n-grams are looked up in every document; those
-that few documents hold seed the join of documents with items. Seeds of one pair
-that lie on about the same diagonal mark a stretch of the document, and a
+N-gram seeds: the items' word n-grams are looked up in every document and join
+documents with items, however many documents hold them. Seeds of one pair that lie on about the same diagonal mark a stretch of the document, and a
 Smith-Waterman alignment of the item's words with that stretch decides, so changed
 and added words, mark-up, case, spacing and punctuation do not hide a copy.
 """
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 from factloom import runtime
 
-#: Words in a seed, and the share of documents beyond which a seed is common.
-GRAM, RARE = 3, 0.005
+#: Most words in a seed.
+GRAM = 3
 #: Different seeds that a stretch has at least (of items under so many words: the fewer), and how far they may lie off one diagonal.
 SEEDS, SHORT, SHORT_SEEDS, DRIFT = 3, 30, 2, 12
 #: Least share of the item's words in one stretch, and of matches within the stretch.
@@ -120,6 +119,18 @@ def align(item: list[str], stretch: list[str]) -> tuple[int, int, int]:
     return matches, int(i), end
 
 
+def in_common(item: list[str], stretch: list[str]) -> int:
+    """Words of the longest common subsequence, bit-parallel: no alignment matches more."""
+    masks: dict[str, int] = {}
+    for k, x in enumerate(item):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full = v = (1 << len(item)) - 1
+    for x in stretch:
+        if u := v & masks.get(x, 0):
+            v = ((v + u) | (v - u)) & full
+    return len(item) - v.bit_count()
+
+
 def _stretches(at: list[int], in_item: list[int], need: int) -> list[tuple[int, int]]:
     """Ranges of diagonals (document position less item position) with enough different seeds."""
     pairs = sorted(zip((p - q for p, q in zip(at, in_item)), in_item))
@@ -135,7 +146,7 @@ def _stretches(at: list[int], in_item: list[int], need: int) -> list[tuple[int,
     return out
 
 
-def _verify(items: dict[int, list[str]]):
+def _verify(items: dict[int, list[str]], least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
@@ -143,11 +154,12 @@ def _verify(items: dict[int, list[str]]):
                 w = None
                 for x in found:
                     item = items[x["item_id"]]
-                    w = words(text) if w is None else w
                     best = (0, 0, 0)
                     for lo, hi in _stretches(x["at"], x["q"], SEEDS if len(item) >= SHORT else SHORT_SEEDS):
+                        w = words(text) if w is None else w
                         start, end = max(0, lo - DRIFT), min(len(w), hi + len(item) + DRIFT)
-                        best = max(best, align(item, w[start:end]))
+                        if in_common(item, w[start:end]) >= least * len(item):
+                            best = max(best, align(item, w[start:end]))
                     matches, i, j = best
                     if not matches:
                         continue
@@ -157,15 +169,14 @@ def _verify(items: dict[int, list[str]]):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, rare: float = RARE) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = SHARE * IDENTITY) -> DataFrame:
     """(doc_id, item_id, matches, span, words): how much of an item's passage stands in a document as one stretch.
 
-    Every pair that shares rare seeds on a diagonal is aligned, over the whole
-    text. Items and documents with null ids or without words have no pair; an item
+    Every pair that shares enough seeds on a diagonal is aligned, over the whole
+    text, however many documents hold the seeds, unless the words in common are under
+    ``least`` of the item's, so that no alignment reaches the share and identity of ``found``. Items and documents with null ids or without words have no pair; an item
     or document given twice counts once. Items are broadcast (at most 200,000,
-    checked); documents are never collected. The document frequency of a seed is
-    counted over all documents; a seed is rare that at most ``rare`` of them hold,
-    or 20.
+    checked); documents are never collected.
     """
     spark = docs.sparkSession
     rows = runtime.bounded(items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id"), MOST_ITEMS, "the items")
@@ -179,14 +190,12 @@ def leaks(docs: DataFrame, items: DataFrame, rare: float = RARE) -> DataFrame:
     scratch = runtime.Scratch(spark, "leaks")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hits, _ = scratch.write(texts.mapInArrow(_seed_hits(known, vocabulary), "doc_id bigint, gram int, at int"))
-    often = max(20, int(rare * docs.count()))
-    seeds = hits.distinct().groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).where(F.col("df") <= often).select("gram")
     where = spark.createDataFrame(pa.table({"gram": pa.array([p[0] for p in postings], pa.int32()), "item_id": pa.array([p[1] for p in postings], pa.int64()), "q": pa.array([p[2] for p in postings], pa.int32())}))
-    pairs = hits.join(seeds.join(where, "gram"), "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "q")).alias("s"))
+    pairs = hits.join(where, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "q")).alias("s"))
     pairs = pairs.where(F.size(F.array_distinct(F.col("s.q"))) >= SHORT_SEEDS)
     found = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("s.at").alias("at"), F.col("s.q").alias("q"))).alias("found"))
 
-    return texts.join(found, "doc_id").mapInPandas(_verify(passage), out).groupBy("doc_id", "item_id").agg(
+    return texts.join(found, "doc_id").mapInPandas(_verify(passage, least), out).groupBy("doc_id", "item_id").agg(
         F.max_by(F.struct("matches", "span", "words"), "matches").alias("x")
     ).select("doc_id", "item_id", "x.matches", "x.span", "x.words")
 

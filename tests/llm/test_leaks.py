@@ -59,3 +59,32 @@ def test_empty(spark):
     i = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks.leaks(d, i).collect() == []
     assert leaks.leaks(d, spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).collect() == []
+
+
+def test_items_that_leak_often_are_found_in_every_copy(spark):
+    rng = random.Random(8)
+    items = {1: passage(rng, 40), 2: passage(rng, 36)}
+    docs = {k: " ".join(passage(rng, 30)) for k in range(100)}
+    docs |= {k: " ".join(["head", *items[1], "tail"]) for k in range(100, 160)}  # copies of one text
+    docs |= {k: " ".join(passage(rng, 20) + items[2][:20] + passage(rng, 20)) for k in range(160, 200)}  # one stretch in many texts
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {tuple(r) for r in leaks.found(leaks.leaks(d, i)).collect()}
+    assert got == {(k, 1) for k in range(100, 160)} | {(k, 2) for k in range(160, 200)}
+
+
+def test_words_in_common_bound_the_matches():
+    rng = random.Random(3)
+    for _ in range(40):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        assert leaks.in_common(a, b) == row[-1] >= leaks.align(a, b)[0]
+
+
+def _next(row, x, b):
+    out = [0]
+    for k, y in enumerate(b, 1):
+        out.append(row[k - 1] + 1 if x == y else max(row[k], out[-1]))
+    return out
