@@ -1,16 +1,22 @@
 """Passages of evaluation items in training documents.
 
-N-gram seeds: the items' word n-grams are looked up in every document and join
-documents with items, however many documents hold them. Seeds of one pair that lie on about the same diagonal mark a stretch of the document, and a
-Smith-Waterman alignment of the item's words with that stretch decides, so changed
-and added words, mark-up, case, spacing and punctuation do not hide a copy.
+N-gram seeds: the word n-grams of the items are joined with those of every
+document, however many documents or items hold them. Seeds of one pair on about
+one diagonal mark a stretch of the document, and a Smith-Waterman alignment of the
+item's words with that stretch decides, so changed and added words, mark-up, case,
+spacing and punctuation do not hide a copy.
+
+No pair is lost for its seeds: their length and the number that a stretch must show
+follow from the rule (``seeds``). A seed is never dropped for being common; common
+ones cost little, as a stretch must show several of one item, and enough words in
+common with it, before it is aligned. Items are worked off in blocks of bounded
+size, each one pass over the documents, which are neither moved nor collected.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +27,19 @@ from pyspark.sql import functions as F
 
 from factloom import runtime
 
-#: Most words in a seed.
-GRAM = 3
-#: Different seeds that a stretch has at least (of items under so many words: the fewer), and how far they may lie off one diagonal.
-SEEDS, SHORT, SHORT_SEEDS, DRIFT = 3, 30, 2, 12
+#: Most words in a seed, and how far seeds of a stretch may lie off one diagonal.
+GRAM, DRIFT = 3, 12
 #: Least share of the item's words in one stretch, and of matches within the stretch.
 SHARE, IDENTITY = 0.5, 0.75
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Most items in one driver-held set; the items of an evaluation are few, and this is checked.
-MOST_ITEMS = 200_000
+#: Words of the items of one pass over the documents, and characters of the documents looked through at a time.
+BLOCK_WORDS, BATCH_CHARS = 1_000_000, 2_000_000
 #: An opening sentence that so many items share is an instruction.
 SHARED = 3
 
 _WORD = re.compile(r"[^\W_]+")
-_MARK = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,8};|[­​-‏﻿]")
+_MARK = re.compile("<[^<>\\n]{1,80}>|&[a-z]{2,8};|[\u00ad\u200b-\u200f\ufeff]")
+_OPENING = re.compile(r".*?[.!?:]\s+", re.S)
 
 
 def words(text: str | None) -> list[str]:
@@ -48,57 +53,72 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def passages(items: list[tuple]) -> dict[int, list[str]]:
-    """Item id -> words of its passage, without an instruction sentence that opens several items."""
-    opening = lambda t: re.match(r".*?[.!?:]\s+", t or "", re.S)
-    shared: dict[tuple, int] = defaultdict(int)
-    for _, t in items:
-        if m := opening(t):
-            shared[tuple(words(m[0]))] += 1
-    out = {}
-    for i, t in items:
-        m = opening(t)
-        w = words(t[m.end():] if m and shared[tuple(words(m[0]))] >= SHARED else t)
-        if w:
-            out[i] = w
-    return out
+def _opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        heads = [_OPENING.match(t or "") for t in f["text"]]
+        yield pd.DataFrame({
+            "item_id": f["item_id"], "opening": [" ".join(words(m[0])) if m else None for m in heads],
+            "rest": [words(t[m.end():]) if m else [] for m, t in zip(heads, f["text"])], "whole": [words(t) for t in f["text"]],
+        })
 
 
-def grams(w: list[str]) -> list[str]:
-    n = min(GRAM, len(w))
-    return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if w else []
+def passages(items: DataFrame) -> DataFrame:
+    """(item_id, words) of each item's passage, without an instruction sentence that opens several items.
 
+    An item given twice counts once, with its smallest text; null ids and items without words are left out.
+    """
+    own = items.where("item_id is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.min("text").alias("text"))
+    opened = own.mapInPandas(_opened, "item_id bigint, opening string, rest array<string>, whole array<string>")
+    shared = opened.where("opening is not null").groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED).select("opening", F.lit(True).alias("instructs"))
+    passage = F.when(F.col("instructs"), F.col("rest")).otherwise(F.col("whole"))
+    return opened.join(shared, "opening", "left").select("item_id", passage.alias("words")).where(F.size("words") > 0)
 
-def _seed_hits(known: dict[str, int], vocabulary: set[str]):
-    """Per document: the distinct seeds it holds, with their word positions."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, gram, at = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words(t)
-                run_length = 0
-                for p, x in enumerate(w):
-                    if x in vocabulary:
-                        run_length += 1
-                        if run_length >= GRAM:
-                            g = known.get(f"{w[p - 2]} {w[p - 1]} {x}")
-                            if g is not None:
-                                doc.append(d)
-                                gram.append(g)
-                                at.append(p - 2)
-                    else:
-                        run_length = 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(gram, pa.int32()), pa.array(at, pa.int32())], names=["doc_id", "gram", "at"])
+def seeds(n: int, share: float = SHARE, identity: float = IDENTITY) -> tuple[int, int]:
+    """(length, number) of the seeds that any stretch of an item of n words shows which the rule accepts.
 
-    return run
+    A stretch of s words has at most e = s - identity * s changed ones. They leave a
+    run of at least (s - e) / (e + 1) words, and spoil at most g * e of s - g + 1 n-grams.
+    """
+    most = max(1, int(np.ceil(share * n)))
+    spans = [(s, s - int(np.ceil(identity * s - 1e-9))) for s in range(most, n + 1)]
+    g = min(min(GRAM, -(-(s - e) // (e + 1))) for s, e in spans)
+    return g, max(1, min(s - g + 1 - g * e for s, e in spans))
+
+
+class Block:
+    """Items as arrays: their words by number, and for each length of seeds the sorted seeds with their places."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.ids = [i for i, _ in items]
+        self.code: dict[str, int] = {}
+        self.words = [np.array([self.code.setdefault(x, len(self.code)) for x in w], np.int64) for _, w in items]
+        kinds = [seeds(len(w)) for w in self.words]
+        self.need = np.array([k for _, k in kinds], np.int64)
+        self.index = {}
+        for g in sorted({g for g, _ in kinds}):
+            own = [k for k, (x, _) in enumerate(kinds) if x == g]
+            codes = [_grams(self.words[k], g, len(self.code)) for k in own]
+            item, at = np.repeat(own, [len(c) for c in codes]), np.concatenate([np.arange(len(c)) for c in codes])
+            codes = np.concatenate(codes)
+            order = np.argsort(codes, kind="stable")
+            keys, first = np.unique(codes[order], return_index=True)
+            self.index[g] = keys, np.append(first, len(codes)), item[order], at[order]
+
+
+def _grams(w: np.ndarray, g: int, base: int) -> np.ndarray:
+    """The n-grams of numbered words as one number each; those with an unknown word (-1) are -1."""
+    out, known = w[: len(w) - g + 1].copy(), w[: len(w) - g + 1] >= 0
+    for k in range(1, g):
+        nxt = w[k : len(w) - g + 1 + k]
+        out, known = out * base + nxt, known & (nxt >= 0)
+    out[~known] = -1
+    return out
 
 
-def align(item: list[str], stretch: list[str]) -> tuple[int, int, int]:
-    """Smith-Waterman over words: (matches, first, end) of the best local alignment, positions in the item."""
-    code: dict[str, int] = {}
-    a = np.array([code.setdefault(x, len(code)) for x in item])
-    b = np.array([code.setdefault(x, len(code)) for x in stretch])
+def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman over numbered words: (matches, first, end) of the best local alignment, positions in the item."""
+    a, b = np.asarray(item), np.asarray(stretch)
     n, m = len(a), len(b)
     h = np.zeros((n + 1, m + 1), np.int32)
     steps = np.arange(1, m + 1) * -GAP
@@ -119,9 +139,9 @@ def align(item: list[str], stretch: list[str]) -> tuple[int, int, int]:
     return matches, int(i), end
 
 
-def in_common(item: list[str], stretch: list[str]) -> int:
+def in_common(item, stretch) -> int:
     """Words of the longest common subsequence, bit-parallel: no alignment matches more."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for k, x in enumerate(item):
         masks[x] = masks.get(x, 0) | 1 << k
     full = v = (1 << len(item)) - 1
@@ -131,73 +151,116 @@ def in_common(item: list[str], stretch: list[str]) -> int:
     return len(item) - v.bit_count()
 
 
-def _stretches(at: list[int], in_item: list[int], need: int) -> list[tuple[int, int]]:
-    """Ranges of diagonals (document position less item position) with enough different seeds."""
-    pairs = sorted(zip((p - q for p, q in zip(at, in_item)), in_item))
-    out, first, seen = [], 0, []
-    for k, (d, q) in enumerate(pairs):
-        if k and d - pairs[k - 1][0] > DRIFT:
-            if len(set(seen)) >= need:
-                out.append((pairs[first][0], pairs[k - 1][0]))
-            first, seen = k, []
-        seen.append(q)
-    if len(set(seen)) >= need:
-        out.append((pairs[first][0], pairs[-1][0]))
-    return out
+def _stretches(b: Block, w: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, from, to) of the numbered words of several documents: where an item shows enough different seeds.
 
+    A stretch is at most six times as long as the item; longer ones are cut with an
+    overlap of three times, the longest that an alignment can be.
+    """
+    parts = []
+    for g, (keys, first, items, places) in b.index.items():
+        if len(w) < g:
+            continue
+        codes = _grams(w, g, len(b.code))
+        codes[doc[: len(codes)] != doc[g - 1 :]] = -1
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        hit = np.flatnonzero((keys[at] == codes) & (codes >= 0))
+        n = first[at[hit] + 1] - first[at[hit]]
+        where = np.repeat(hit, n)
+        post = np.repeat(first[at[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else hit
+        parts.append((items[post], where, places[post]))
+    if not parts or not sum(len(p[0]) for p in parts):
+        return
+    item, where, q = (np.concatenate(x) for x in zip(*parts))
+    d, diag = doc[where], where - q
+    order = np.lexsort((diag, item, d))
+    item, where, q, d, diag = item[order], where[order], q[order], d[order], diag[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (diag[1:] - diag[:-1] > DRIFT)
+    run = np.cumsum(new) - 1
+    pair = np.unique(run * (q.max() + 1) + q)  # different seeds of each run
+    count = np.bincount(pair // (q.max() + 1), minlength=run[-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(d))
+    bounds = np.searchsorted(doc, np.arange(doc[-1] + 2))
+    for r in np.flatnonzero(count >= b.need[item[starts]]):
+        s, e = starts[r], ends[r]
+        k, n = int(item[s]), len(b.words[item[s]])
+        lo, hi = max(bounds[d[s]], diag[s] - DRIFT), min(bounds[d[s] + 1], diag[e - 1] + n + DRIFT)
+        if hi - lo <= 6 * n:
+            yield int(d[s]), k, int(lo), int(hi)
+            continue
+        own = np.sort(where[s:e])
+        for x in range(int(lo), int(hi), 3 * n):
+            y = min(x + 6 * n, int(hi))
+            if np.searchsorted(own, y) - np.searchsorted(own, x) >= b.need[k]:
+                yield int(d[s]), k, x, y
+            if y == hi:
+                break
+
+
+def _leaking(b: Block, least: float):
+    """Documents -> (doc_id, item_id, matches, span, words): the best alignment of each pair that has a stretch."""
+
+    def some(ids: list, texts: list) -> list[tuple]:
+        split = [words(t) for t in texts]
+        doc = np.repeat(np.arange(len(split)), [len(x) for x in split])
+        if not len(doc):
+            return []
+        number = b.code.get
+        w = np.fromiter((number(x, -1) for ws in split for x in ws), np.int64, len(doc))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, k, lo, hi in _stretches(b, w, doc):
+            item, stretch = b.words[k], w[lo:hi]
+            if in_common(item.tolist(), stretch.tolist()) >= least * len(item):
+                got = align(item, stretch)
+                if got > best.get((d, k), (0, 0, 0)):
+                    best[d, k] = got
+        return [(ids[d], b.ids[k], m, j - i, len(b.words[k])) for (d, k), (m, i, j) in best.items() if m]
 
-def _verify(items: dict[int, list[str]], least: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for d, text, found in zip(f["doc_id"], f["text"], f["found"]):
-                w = None
-                for x in found:
-                    item = items[x["item_id"]]
-                    best = (0, 0, 0)
-                    for lo, hi in _stretches(x["at"], x["q"], SEEDS if len(item) >= SHORT else SHORT_SEEDS):
-                        w = words(text) if w is None else w
-                        start, end = max(0, lo - DRIFT), min(len(w), hi + len(item) + DRIFT)
-                        if in_common(item, w[start:end]) >= least * len(item):
-                            best = max(best, align(item, w[start:end]))
-                    matches, i, j = best
-                    if not matches:
-                        continue
-                    out.append((d, x["item_id"], matches, j - i, len(item)))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "matches", "span", "words"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "item_id", "matches", "span", "words"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            out, ids, texts, held = [], [], [], 0
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(d)
+                texts.append(t)
+                held += len(t)
+                if held >= BATCH_CHARS:
+                    out += some(ids, texts)
+                    ids, texts, held = [], [], 0
+            out += some(ids, texts)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = SHARE * IDENTITY) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = SHARE * IDENTITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, matches, span, words): how much of an item's passage stands in a document as one stretch.
 
-    Every pair that shares enough seeds on a diagonal is aligned, over the whole
-    text, however many documents hold the seeds, unless the words in common are under
-    ``least`` of the item's, so that no alignment reaches the share and identity of ``found``. Items and documents with null ids or without words have no pair; an item
-    or document given twice counts once. Items are broadcast (at most 200,000,
-    checked); documents are never collected.
+    Every pair that shows enough seeds on a diagonal is aligned, over the whole
+    text, unless the words in common are under ``least`` of the item's, so that no
+    alignment reaches the share and identity of ``found``. Items and documents with
+    null ids or without words have no pair; an item or document given twice counts
+    once. A block of items (of ``block_words`` words at most, or one item) is sent to
+    the tasks; any number of blocks may follow one another.
     """
-    spark = docs.sparkSession
-    rows = runtime.bounded(items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id"), MOST_ITEMS, "the items")
-    passage = passages([(r["item_id"], r["text"]) for r in rows])
-    known: dict[str, int] = {}
-    postings = [(known.setdefault(g, len(known)), i, q) for i, w in passage.items() for q, g in enumerate(grams(w))]
     out = "doc_id bigint, item_id bigint, matches int, span int, words int"
-    if not postings:
-        return spark.createDataFrame([], out)
-    vocabulary = {x for w in passage.values() for x in w}
-    scratch = runtime.Scratch(spark, "leaks")
+    scratch = runtime.Scratch(docs.sparkSession, "leaks")
+    own, _ = scratch.write(passages(items))
+    total = own.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = -(-total // block_words)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    hits, _ = scratch.write(texts.mapInArrow(_seed_hits(known, vocabulary), "doc_id bigint, gram int, at int"))
-    where = spark.createDataFrame(pa.table({"gram": pa.array([p[0] for p in postings], pa.int32()), "item_id": pa.array([p[1] for p in postings], pa.int64()), "q": pa.array([p[2] for p in postings], pa.int32())}))
-    pairs = hits.join(where, "gram").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "q")).alias("s"))
-    pairs = pairs.where(F.size(F.array_distinct(F.col("s.q"))) >= SHORT_SEEDS)
-    found = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", F.col("s.at").alias("at"), F.col("s.q").alias("q"))).alias("found"))
-
-    return texts.join(found, "doc_id").mapInPandas(_verify(passage, least), out).groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("matches", "span", "words"), "matches").alias("x")
-    ).select("doc_id", "item_id", "x.matches", "x.span", "x.words")
+    found = None
+    for k in range(blocks):
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        if rows:
+            part = texts.mapInArrow(_leaking(Block([(r["item_id"], r["words"]) for r in rows]), least), out)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], out)
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matches", "span", "words")).alias("x")).select("doc_id", "item_id", "x.matches", "x.span", "x.words")
 
 
 def found(aligned: DataFrame, share: float = SHARE, identity: float = IDENTITY) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from factloom.llm import leaks
 
 WORDS = [f"w{i:03d}x" for i in range(400)]
@@ -28,15 +31,25 @@ def fixture():
     return docs, {i: order + " ".join(w) for i, w in items.items()}
 
 
-def brute(docs, items):
-    out = set()
-    p = leaks.passages(list(items.items()))
+def items_df(spark, items):
+    return spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+
+
+def docs_df(spark, docs):
+    return spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+
+
+def brute(docs, passages):
+    """Each item aligned with each whole document."""
+    out, code = set(), {}
+    number = lambda ws: np.array([code.setdefault(x, len(code)) for x in ws], np.int64)
+    own = {i: number(w) for i, w in passages.items()}
     for d, t in docs.items():
-        w = leaks.words(t)
-        for i, item in p.items():
-            if w and len(w) < 5000:
+        w = number(leaks.words(t))
+        for i, item in own.items():
+            if len(w) and len(w) < 5000:
                 m, a, b = leaks.align(item, w)
-                if b - a >= leaks.SHARE * len(item) and m >= leaks.IDENTITY * (b - a):
+                if m and b - a >= leaks.SHARE * len(item) and m >= leaks.IDENTITY * (b - a):
                     out.add((d, i))
     return out
 
@@ -45,15 +58,58 @@ def test_leaks_against_alignment_of_all_pairs(spark):
     docs, items = fixture()
     d = spark.createDataFrame(list(docs.items()) + [(None, "x y z"), (1, docs[1])], "doc_id bigint, text string").withColumnRenamed("doc_id", "doc_id")
     i = spark.createDataFrame(list(items.items()) + [(99, None), (None, "a b c")], "item_id bigint, text string")
-    got = {tuple(r) for r in leaks.found(leaks.leaks(d, i)).collect()}
-    assert got == brute(docs, items) | {(8, 6)} == {(1, 1), (2, 2), (3, 3), (8, 6)}
+    p = {r["item_id"]: r["words"] for r in leaks.passages(i).collect()}
+    assert p[1][:1] != ["read"] and 99 not in p
+    for block_words in (leaks.BLOCK_WORDS, 100):
+        got = {tuple(r) for r in leaks.found(leaks.leaks(d, i, block_words=block_words)).collect()}
+        assert got == brute(docs, p) | {(8, 6)} == {(1, 1), (2, 2), (3, 3), (8, 6)}
 
 
-def test_instruction_is_no_part_of_the_passage():
-    p = leaks.passages([(i, f"Answer the question. passage {i} here") for i in range(3)] + [(9, "Own start. passage nine")])
+def test_instruction_is_no_part_of_the_passage(spark):
+    items = {i: f"Answer the question. passage {i} here" for i in range(3)} | {9: "Own start. passage nine"}
+    p = {r["item_id"]: r["words"] for r in leaks.passages(items_df(spark, items)).collect()}
     assert p[0] == ["passage", "0", "here"] and p[9] == ["own", "start", "passage", "nine"]
 
 
+@pytest.mark.parametrize("n", [*range(1, 40), 60, 100])
+def test_no_accepted_stretch_has_fewer_seeds(n):
+    g, need = leaks.seeds(n)
+    rng = random.Random(n)
+    for _ in range(300):
+        s = rng.randrange(-(-n // 2), n + 1)
+        changed = set(rng.sample(range(s), s - -(-3 * s // 4)))
+        if rng.random() < 0.5 and changed:  # the worst case: evenly spread
+            k = len(changed)
+            changed = {min(s - 1, (i + 1) * s // (k + 1)) for i in range(k)}
+        left = sum(not changed & set(range(i, i + g)) for i in range(s - g + 1))
+        assert left >= need
+
+
+def test_short_items_are_found(spark):
+    items = {1: "zygote", 2: "zygote yttrium", 3: "quartz vellum sphinx", 4: "one two three four five six seven"}
+    docs = {1: "A zygote here.", 2: "ZYGOTE, yttrium", 3: "of quartz vellum and sphinx", 4: "nothing", 5: "one two nine four five six", 6: "quartz vellum sphinx"}
+    p = {i: leaks.words(t) for i, t in items.items()}
+    got = {tuple(r) for r in leaks.found(leaks.leaks(docs_df(spark, docs), items_df(spark, items))).collect()}
+    assert got == brute(docs, p) and {(1, 1), (2, 2), (6, 3), (5, 4)} <= got
+
+
+@pytest.mark.parametrize("share", [0, 1, 10, 50])
+def test_items_are_found_however_often_they_leak(spark, share):
+    rng = random.Random(share)
+    item = passage(rng, 40)
+    docs = {k: " ".join(passage(rng, 30) + (item if k < share * 2 else []) + passage(rng, 10)) for k in range(200)}
+    got = {tuple(r) for r in leaks.found(leaks.leaks(docs_df(spark, docs), items_df(spark, {7: " ".join(item)}))).collect()}
+    assert got == {(k, 7) for k in range(share * 2)}
+
+
+def test_against_alignment_of_all_pairs_of_the_test_tables(spark):
+    d, i = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "probes"))
+    docs = {r["doc_id"]: r["text"] for r in d.collect()}
+    p = {r["item_id"]: r["words"] for r in leaks.passages(i).collect()}
+    got = {tuple(r) for r in leaks.found(leaks.leaks(d, i)).collect()}
+    assert {x for x in got if len(leaks.words(docs[x[0]])) < 5000} == brute(docs, p) != set()
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")
@@ -67,9 +123,7 @@ def test_items_that_leak_often_are_found_in_every_copy(spark):
     docs = {k: " ".join(passage(rng, 30)) for k in range(100)}
     docs |= {k: " ".join(["head", *items[1], "tail"]) for k in range(100, 160)}  # copies of one text
     docs |= {k: " ".join(passage(rng, 20) + items[2][:20] + passage(rng, 20)) for k in range(160, 200)}  # one stretch in many texts
-    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
-    got = {tuple(r) for r in leaks.found(leaks.leaks(d, i)).collect()}
+    got = {tuple(r) for r in leaks.found(leaks.leaks(docs_df(spark, docs), items_df(spark, {k: " ".join(w) for k, w in items.items()}))).collect()}
     assert got == {(k, 1) for k in range(100, 160)} | {(k, 2) for k in range(160, 200)}
 
 
@@ -80,7 +134,7 @@ def test_words_in_common_bound_the_matches():
         row = [0] * (len(b) + 1)
         for x in a:
             row = _next(row, x, b)
-        assert leaks.in_common(a, b) == row[-1] >= leaks.align(a, b)[0]
+        assert leaks.in_common(a, b) == row[-1] >= leaks.align(np.array(a), np.array(b))[0]
 
 
 def _next(row, x, b):
