@@ -17,26 +17,51 @@ G = (0x6B17D1F2E12C4247F8BCE6E563A440F277037D812DEB33A0F4A13945D898C296, 0x4FE34
 _SPKI = bytes.fromhex("3059301306072a8648ce3d020106082a8648ce3d030107034200")
 
 
+# Points are (x, y, z) for x / z^2, y / z^3, so that a multiplication inverts once, at its end; z is 0 at infinity.
+
+
+def _double(p):
+    x, y, z = p
+    if not z or not y:
+        return 1, 1, 0
+    yy, zz = y * y % P, z * z % P
+    s = 4 * x * yy % P
+    m = 3 * (x - zz) * (x + zz) % P  # as A is -3
+    nx = (m * m - 2 * s) % P
+    return nx, (m * (s - nx) - 8 * yy * yy) % P, 2 * y * z % P
+
+
 def _add(p, q):
-    if p is None or q is None:
-        return p or q
-    if p[0] == q[0]:
-        if (p[1] + q[1]) % P == 0:
-            return None
-        m = (3 * p[0] * p[0] + A) * pow(2 * p[1], -1, P) % P
-    else:
-        m = (q[1] - p[1]) * pow(q[0] - p[0], -1, P) % P
-    x = (m * m - p[0] - q[0]) % P
-    return x, (m * (p[0] - x) - p[1]) % P
-
-
-def _times(k, p):
-    out = None
-    while k:
-        if k & 1:
-            out = _add(out, p)
-        p, k = _add(p, p), k >> 1
-    return out
+    if not p[2] or not q[2]:
+        return q if not p[2] else p
+    (x1, y1, z1), (x2, y2, z2) = p, q
+    a, b = z1 * z1 % P, z2 * z2 % P
+    u, v = x1 * b % P, x2 * a % P
+    s, t = y1 * b * z2 % P, y2 * a * z1 % P
+    if u == v:
+        return _double(p) if s == t else (1, 1, 0)
+    h, r = v - u, t - s
+    hh = h * h % P
+    hhh, w = h * hh % P, u * hh % P
+    x = (r * r - hhh - 2 * w) % P
+    return x, (r * (w - x) - s * hhh) % P, h * z1 * z2 % P
+
+
+def _sum(k, p, n=0, q=None):
+    """k * p + n * q as (x, y), or None at infinity: both multiples in one run of doublings."""
+    p = (*p, 1)
+    steps = {1: p}
+    if q is not None:
+        steps |= {2: (*q, 1), 3: _add(p, (*q, 1))}
+    out = (1, 1, 0)
+    for i in range(max(k.bit_length(), n.bit_length()) - 1, -1, -1):
+        out = _double(out)
+        if step := (k >> i & 1) | (n >> i & 1) << 1:
+            out = _add(out, steps[step])
+    if not out[2]:
+        return None
+    inv = pow(out[2], -1, P)
+    return out[0] * inv * inv % P, out[1] * inv * inv * inv % P
 
 
 def _point(pub: str):
@@ -70,7 +95,7 @@ def verify(pub: str, sig: str, message: str) -> bool:
         if not (0 < r < N and 0 < s < N):
             return False
         z, w = int.from_bytes(hashlib.sha256(message.encode()).digest(), "big"), pow(s, -1, N)
-        x = _add(_times(z * w % N, G), _times(r * w % N, q))
+        x = _sum(z * w % N, G, r * w % N, q)
         return x is not None and x[0] % N == r
     except (ValueError, IndexError, TypeError, AttributeError):
         return False
@@ -80,10 +105,10 @@ def sign(secret: int, message: str) -> tuple[str, str]:
     """(public key, signature) with a nonce derived from secret and message; for writing test logs."""
     z = int.from_bytes(hashlib.sha256(message.encode()).digest(), "big")
     k = int.from_bytes(hashlib.sha256(f"{secret}:{message}".encode()).digest(), "big") % (N - 1) + 1
-    r = _times(k, G)[0] % N
+    r = _sum(k, G)[0] % N
     s = pow(k, -1, N) * (z + r * secret) % N
     parts = b"".join(b"\x02" + bytes([len(b)]) + b for b in ((b"\0" + i if i[0] & 0x80 else i) for i in (x.to_bytes((x.bit_length() + 7) // 8, "big") for x in (r, s))))
-    x, y = _times(secret, G)
+    x, y = _sum(secret, G)
     return "04" + x.to_bytes(32, "big").hex() + y.to_bytes(32, "big").hex(), (b"\x30" + bytes([len(parts)]) + parts).hex()
 
 

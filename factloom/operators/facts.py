@@ -4,29 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions import canon
-from factloom.operators.log import once, replay_key
+from factloom.functions.text import trimmed
+from factloom.operators.log import of_kind, replay_key
 
 GATE_K = 2
 
-
+# The columns of a fact.
 COLUMNS = ("e", "a", "v", "ctx", "nu", "vf", "vt", "quote", "support", "tier", "t", "source", "tx")
 
 
-def located(datoms: DataFrame, tx: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+QUOTE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())])
+_FACT = "id string, e string, a string, ctx string, nu bigint, vf bigint, vt bigint, quote struct<start:bigint,`end`:bigint,text:string>, origin string, origin_tx string, support bigint, excised boolean"
+
+
+def facts_of(tx: DataFrame) -> DataFrame:
+    """The facts that a log's own payloads hold, with tier, time, source and transaction: what ``datoms`` has as a table.
+
+    Withheld payloads hold none, and excised facts are left out. ``v`` is a text, or
+    a reference as its JSON.
+    """
+    held = of_kind(tx, "assert", "promote", "dream").where(~F.coalesce(F.get_json_object("payload", "$.withheld") == "true", F.lit(False)))
+    one = F.explode(F.from_json(F.get_json_object("payload", "$.datoms"), "array<string>"))
+    d = held.select("tier", F.get("hlc", F.lit(0)).alias("t"), "source", F.col("id").alias("tx"), one.alias("j"))
+    d = d.select("*", F.from_json("j", _FACT).alias("x"), F.get_json_object("j", "$.v").alias("v")).where("not coalesce(x.excised, false)")
+    return d.select("x.id", "x.e", "x.a", "v", "x.ctx", "x.nu", "x.vf", "x.vt", "x.quote", "x.origin", "x.origin_tx", "x.support", "tier", "t", "source", "tx").distinct()
+
+
+def located(datoms: DataFrame, tx: DataFrame, columns: tuple[str, ...] = COLUMNS, aliases: DataFrame | None = None) -> DataFrame:
     """Facts with keys and replay order: each id once, as its last transaction has it.
 
     Of ``columns`` those that are not needed to tell facts apart can be left out.
-    Adds ``key`` (of the fact's own tier), ``culture_key`` and ``at`` (replay key).
-    Facts of a transaction that the log lacks are left out.
+    Adds ``rep`` (what e stands for by ``aliases`` (e, rep), itself where that has no
+    row), ``key`` (of the fact's own tier), ``culture_key`` and ``at`` (replay key).
+    Facts of a transaction that the log lacks are left out. Copies of a transaction
+    add copies of a fact, which are dropped with the others of its id.
     """
-    at = once(tx).select(F.col("id").alias("tx"), replay_key().alias("at"))
+    at = tx.where("id is not null").select(F.col("id").alias("tx"), replay_key().alias("at"))
     kept = [c for c in COLUMNS if c in columns or c in ("e", "a", "v", "ctx", "tier", "tx")]
     d = datoms.where("id is not null").select("id", *kept).join(at, "tx")
-    cols = [c for c in d.columns if c not in ("id", "at")]
-    last = d.groupBy("id").agg(F.max_by(F.struct(*cols), "at").alias("x"), F.max("at").alias("at")).select("id", "x.*", "at")
-    tail = F.concat(F.lit(","), canon.text(F.col("e")), F.lit(","), canon.text(F.col("a")), F.lit(","), canon.value(F.col("v")), F.lit(","), canon.text(F.col("ctx")), F.lit("]"))
+    latest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at"), *kept))
+    last = d.withColumn("_n", latest).where("_n = 1").drop("_n")
+    if aliases is None:
+        last = last.withColumn("rep", F.col("e"))
+    else:
+        last = last.join(aliases, "e", "left").withColumn("rep", F.coalesce("rep", "e"))
+    tail = F.concat(F.lit(","), canon.text(F.col("rep")), F.lit(","), canon.text(F.col("a")), F.lit(","), canon.value(F.col("v")), F.lit(","), canon.text(F.col("ctx")), F.lit("]"))
     key = lambda tier: F.concat(F.lit("k:"), F.substring(canon.h(F.concat(F.lit("["), tier, F.col("_tail"))), 1, 32))
     last = last.withColumn("_tail", tail).withColumn("culture_key", key(F.lit('"culture"')))
     own = F.when(F.col("tier") == "culture", F.col("culture_key")).otherwise(key(canon.text(F.col("tier"))))
@@ -65,16 +90,25 @@ def in_episodes(live: DataFrame) -> DataFrame:
 
 
 def names(live: DataFrame) -> DataFrame:
-    """(e, name): the name that stands last in fact order, of any tier."""
-    return live.where("a = 'name' and e is not null").groupBy("e").agg(F.max_by("v", F.struct("at", "id")).alias("name"))
+    """(e, name): of each representative the name that stands last in fact order, of any tier."""
+    own = live.where("a = 'name' and e is not null")
+    return own.groupBy(F.col("rep").alias("e")).agg(F.max(F.struct("at", "id", "v")).alias("x")).select("e", F.col("x.v").alias("name"))
 
 
-def displayed(facts: DataFrame, names: DataFrame) -> DataFrame:
+def displayed(facts: DataFrame, names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Adds ``entity`` and ``value`` as shown: names where known, else ids; references as the name of what they point at."""
-    n = names.select("e", F.col("name").alias("entity"))
-    r = names.select(F.col("e").alias("ref"), F.col("name").alias("ref_name"))
+    n = names.select(F.col("e").alias("rep"), F.col("name").alias("entity"))
     d = facts.withColumn("ref", F.when(F.col("v").startswith("{"), F.get_json_object("v", "$.ref")))
-    return d.join(n, "e", "left").join(r, "ref", "left").withColumns({"entity": F.coalesce("entity", "e"), "value": F.coalesce("ref_name", "ref", "v")}).drop("ref", "ref_name")
+    if aliases is not None:
+        d = d.join(aliases.select(F.col("e").alias("ref"), F.col("rep").alias("_of")), "ref", "left").withColumn("ref", F.coalesce("_of", "ref")).drop("_of")
+    r = names.select(F.col("e").alias("ref"), F.col("name").alias("ref_name"))
+    return d.join(n, "rep", "left").join(r, "ref", "left").withColumns({"entity": F.coalesce("entity", "e"), "value": F.coalesce("ref_name", "ref", "v")}).drop("ref", "ref_name")
+
+
+def fact_line(entity: Column, a: Column, value: Column) -> Column:
+    """A fact in one line, as traces and notes show it; what is missing as a question mark."""
+    part = lambda c: F.coalesce(trimmed(c), F.lit("?"))
+    return F.concat(part(entity), F.lit(" · "), F.coalesce(a, F.lit("?")), F.lit(" · "), part(value))
 
 
 def by_source(evidence: DataFrame) -> DataFrame:
@@ -141,19 +175,23 @@ def memory(culture: DataFrame, query: str = "") -> DataFrame:
 
 
 def settled_many(culture: DataFrame, schema: DataFrame) -> DataFrame:
-    """(e, a, vals): all values, canonical and sorted, of attributes that may have many or that the schema lacks."""
-    one = schema.where("card <> 'many'").select("a")
-    c = culture.join(F.broadcast(one), "a", "left_anti")
-    return c.groupBy("e", "a").agg(F.sort_array(F.collect_set(canon.value(F.col("v")))).alias("vals"))
+    """(e, a, ctx, vals): all values, canonical and sorted, of attributes that may have many or that the schema lacks; e is the representative.
 
+    Values are made distinct before they are gathered, so a cell gathers what it shows.
+    """
+    own = culture.join(schema.where("card <> 'many'").select("a"), "a", "left_anti")
+    one = own.select(F.col("rep").alias("e"), "a", "ctx", canon.value(F.col("v")).alias("v")).distinct()
+    return one.groupBy("e", "a", "ctx").agg(F.sort_array(F.collect_list("v")).alias("vals"))
 
-def settled_one(facts: DataFrame, schema: DataFrame, kind: str) -> DataFrame:
-    """(e, a, id, v): the one value that holds, for attributes of a kind: dreams last, then the later valid time
-    (state) or the larger support (claim), then the larger confidence, then the smaller id; nulls count as 0."""
-    own = schema.where((F.col("card") == "one") & (F.col("kind") == kind)).select("a")
+
+def settled_one(culture: DataFrame, schema: DataFrame, kind: str) -> DataFrame:
+    """(e, a, ctx, id, v): the one value that holds, for attributes of a kind: dreams last, then the later valid time
+    (state) or the larger support (claim), then the larger confidence, then the smaller id; nulls count as 0. e is the representative."""
+    own = schema.where((F.col("card") != "many") & (F.col("kind") == kind)).select("a")
     z = lambda c: -F.coalesce(F.col(c), F.lit(0))
-    order = F.struct((F.col("tier") == "dream").alias("dream"), z("vf" if kind == "state" else "support").alias("first"), z("nu").alias("nu"), F.col("id"))
-    return facts.join(F.broadcast(own), "a", "left_semi").groupBy("e", "a").agg(F.min_by(F.struct("id", "v"), order).alias("x")).select("e", "a", "x.id", "x.v")
+    order = F.struct((F.col("tier") == "dream").alias("dream"), z("vf" if kind == "state" else "support").alias("first"), z("nu").alias("nu"), F.col("id"), F.col("v"))
+    best = culture.join(own, "a", "left_semi").groupBy(F.col("rep").alias("e"), "a", "ctx").agg(F.min(order).alias("x"))
+    return best.select("e", "a", "ctx", "x.id", "x.v")
 
 
 def state_hash(parts: list[DataFrame]) -> str:
@@ -170,7 +208,3 @@ def state_hash(parts: list[DataFrame]) -> str:
     import hashlib
 
     return hashlib.sha256("".join(digests).encode()).hexdigest()
-
-
-def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -1,11 +1,15 @@
-"""State rebuilt from the log: every part is an aggregate by replay key, so arrival order does not matter."""
+"""State rebuilt from the log: every part is an aggregate by replay key, so arrival order does not matter.
+
+A view reads the rows of its own kinds only. Copies of a row do not change a latest
+value, so they are dropped only where rows are counted or returned.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.log import CLOSING_KINDS, once, replay_key, wall
+from factloom.operators.log import CLOSING_KINDS, of_kind, once, replay_key, wall
 
 DEFAULT_TOOLS = {("ingest", 1): ["read_source"]}
 
@@ -16,8 +20,7 @@ def _json(path: str):
 
 def keys_of(tx: DataFrame, kind: str) -> DataFrame:
     """(key, at): the keys in the payloads of one kind, each with its replay key."""
-    t = once(tx).where(F.col("kind") == kind)
-    return t.select(F.explode(F.from_json(_json("$.keys"), "array<string>")).alias("key"), replay_key().alias("at")).where("key is not null")
+    return of_kind(tx, kind).select(F.explode(F.from_json(_json("$.keys"), "array<string>")).alias("key"), replay_key().alias("at")).where("key is not null")
 
 
 def approvals(tx: DataFrame) -> DataFrame:
@@ -30,25 +33,24 @@ def retractions(tx: DataFrame) -> DataFrame:
 
 def paused(tx: DataFrame) -> DataFrame:
     """One row: whether the last of pause and resume was a pause (without either: false)."""
-    t = once(tx).where("kind in ('pause', 'resume')")
-    return t.agg(F.coalesce(F.max_by("kind", replay_key()) == "pause", F.lit(False)).alias("paused"))
+    return of_kind(tx, "pause", "resume").agg(F.coalesce(F.max_by("kind", replay_key()) == "pause", F.lit(False)).alias("paused"))
 
 
 def schema(tx: DataFrame, defaults: DataFrame) -> DataFrame:
     """(a, card, uniq, kind, ref): the attribute schema, defaults overridden by the last definition in the log."""
-    d = once(tx).where("kind = 'schema'").select(replay_key().alias("at"), F.explode(F.from_json(_json("$.attrs"), "map<string,struct<card:string,`unique`:string,kind:string,ref:boolean>>")).alias("a", "d"))
+    d = of_kind(tx, "schema").select(replay_key().alias("at"), F.explode(F.from_json(_json("$.attrs"), "map<string,struct<card:string,`unique`:string,kind:string,ref:boolean>>")).alias("a", "d"))
     last = d.groupBy("a").agg(F.max_by("d", "at").alias("d")).select("a", "d.card", F.col("d.unique").alias("uniq"), "d.kind", "d.ref")
     own = defaults.select("a", "card", "uniq", "kind", "ref")
     return last.unionByName(own.join(last.select("a"), "a", "left_anti"))
 
 
 def schema_version(tx: DataFrame) -> DataFrame:
-    return once(tx).where("kind = 'schema'").agg(F.count(F.lit(1)).alias("version"))
+    return of_kind(tx, "schema").agg(F.count_distinct("id").alias("version"))
 
 
 def skills(tx: DataFrame) -> DataFrame:
     """(name, version, tools): the last tools published for each version, the default where none was."""
-    t = once(tx).where("kind = 'skill'").select(_json("$.name").alias("name"), _json("$.version").cast("bigint").alias("version"), F.from_json(_json("$.tools"), "array<string>").alias("tools"), replay_key().alias("at"))
+    t = of_kind(tx, "skill").select(_json("$.name").alias("name"), _json("$.version").cast("bigint").alias("version"), F.from_json(_json("$.tools"), "array<string>").alias("tools"), replay_key().alias("at"))
     last = t.groupBy("name", "version").agg(F.max_by("tools", "at").alias("tools"))
     seed = tx.sparkSession.createDataFrame([(n, v, tools) for (n, v), tools in DEFAULT_TOOLS.items()], "name string, version bigint, tools array<string>")
     return last.unionByName(seed.join(last, ["name", "version"], "left_anti"))
@@ -64,7 +66,7 @@ def allowed_tools(pinned: DataFrame, published: DataFrame) -> DataFrame:
 
 def directives(tx: DataFrame) -> DataFrame:
     """All directives as the log has them: (directive, source, skill, skill_version, budget, expires, portal, issued, at)."""
-    d = once(tx).where("kind = 'directive'").select(
+    d = of_kind(tx, "directive").select(
         _json("$.id").alias("directive"), _json("$.source").alias("source"), _json("$.source_hash").alias("source_hash"), _json("$.skill").alias("skill"), _json("$.skill_version").cast("bigint").alias("skill_version"),
         _json("$.budget").cast("bigint").alias("budget"), _json("$.expires").cast("bigint").alias("expires"), "portal", wall().alias("issued"), replay_key().alias("at"),
     ).where("directive is not null")
@@ -75,19 +77,25 @@ def directives(tx: DataFrame) -> DataFrame:
 def open_directives(tx: DataFrame) -> DataFrame:
     """Directives that nothing closed after they were issued."""
     d = directives(tx)
-    closed = once(tx).where(F.col("kind").isin(*CLOSING_KINDS)).groupBy("directive").agg(F.max(replay_key()).alias("closed"))
+    closed = of_kind(tx, *CLOSING_KINDS).groupBy("directive").agg(F.max(replay_key()).alias("closed"))
     return d.join(closed, "directive", "left").where("closed is null or closed < at").drop("at", "closed")
 
 
 def places(tx: DataFrame) -> DataFrame:
     """(portal, source, hash): the content hash that a portal recorded last for each source."""
-    p = once(tx).where("kind = 'map'").select("portal", replay_key().alias("at"), F.explode(F.from_json(_json("$.places"), "map<string,string>")).alias("source", "hash"))
+    p = of_kind(tx, "map").select("portal", replay_key().alias("at"), F.explode(F.from_json(_json("$.places"), "map<string,string>")).alias("source", "hash"))
     return p.groupBy("portal", "source").agg(F.max_by("hash", "at").alias("hash"))
 
 
+def last_places(tx: DataFrame) -> DataFrame:
+    """(source, hash): the content hash recorded last for each source, by any portal."""
+    p = of_kind(tx, "map").select(replay_key().alias("at"), F.explode(F.from_json(_json("$.places"), "map<string,string>")).alias("source", "hash"))
+    return p.groupBy("source").agg(F.max_by("hash", "at").alias("hash"))
+
+
 def place_names(tx: DataFrame) -> DataFrame:
     """(source, name): the display name given last, by any portal."""
-    p = once(tx).where("kind = 'map'").select(replay_key().alias("at"), F.explode(F.from_json(_json("$.names"), "map<string,string>")).alias("source", "name"))
+    p = of_kind(tx, "map").select(replay_key().alias("at"), F.explode(F.from_json(_json("$.names"), "map<string,string>")).alias("source", "name"))
     return p.groupBy("source").agg(F.max_by("name", "at").alias("name"))
 
 
@@ -95,7 +103,8 @@ def results(tx: DataFrame, datoms: DataFrame) -> DataFrame:
     """Results of runs: their header, facts accepted (from ``datoms`` where the payload is withheld) and refusals."""
     facts = datoms.where("a <> 'name' and tx is not null").groupBy(F.col("tx").alias("id")).agg(F.count_distinct("id").alias("facts"))
     rejected = F.from_json(_json("$.rejected"), "array<struct<i:bigint,a:string,reason:string>>")
-    t = once(tx).where("kind = 'assert'").select("id", "directive", "agent", "source", "source_hash", "skill_version", wall().alias("wall"), replay_key().alias("at"), F.coalesce(rejected, F.array().cast("array<struct<i:bigint,a:string,reason:string>>")).alias("rejected"))
+    t = once(of_kind(tx, "assert"), "directive", "agent", "source", "source_hash", "skill_version", "hlc", "portal", "payload")
+    t = t.select("id", "directive", "agent", "source", "source_hash", "skill_version", wall().alias("wall"), replay_key().alias("at"), F.coalesce(rejected, F.array().cast("array<struct<i:bigint,a:string,reason:string>>")).alias("rejected"))
     return t.join(facts, "id", "left").withColumn("accepted", F.coalesce("facts", F.lit(0))).drop("facts")
 
 
@@ -105,8 +114,7 @@ def refusals(results: DataFrame) -> DataFrame:
 
 
 def decisions(tx: DataFrame) -> DataFrame:
-    t = once(tx).where("kind = 'promote'")
-    return t.select("id", _json("$.decision.key").alias("key"), _json("$.decision.support").cast("bigint").alias("support"), _json("$.decision.rule").alias("rule"))
+    return once(of_kind(tx, "promote"), "payload").select("id", _json("$.decision.key").alias("key"), _json("$.decision.support").cast("bigint").alias("support"), _json("$.decision.rule").alias("rule"))
 
 
 def extracted(places: DataFrame, results: DataFrame, portal: str | None = None) -> DataFrame:

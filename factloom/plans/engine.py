@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from factloom import runtime
 from factloom.functions import canon, text
-from factloom.operators import bulk, extract, facts, feed, hierarchy, log, replay, search
+from factloom.operators import aliases, bulk, extract, facts, feed, hierarchy, log, replay, search
 from factloom.runtime import table
 from factloom.sources import texts
 
 NOW = 1_760_200_000_000
 QUESTION = "Which fungus treats fever or nausea, and what causes sleeplessness?"
 NEEDLE = "Treats"
+#: Characters of a content hash that the maps of the test tables hold.
+STORED_HASH = 24
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,14 +37,19 @@ def _tx(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tx")
 
 
-def _facts(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
-    columns = ("nu", "vf", "support", "source") + (("quote",) if quotes else ())
-    return facts.located(table(spark, d, "datoms"), _tx(spark, d), columns)
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    """(e, rep) of the entities that identity attributes make one with another."""
+    named = table(spark, d, "datoms").join(_tx(spark, d).select(F.col("id").alias("tx")), "tx", "left_semi")
+    return aliases.representatives(aliases.identity_links(named, table(spark, d, "attrs")))
 
 
-def _live(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
-    """Live facts; the located ones are written once, as most queries read them several times."""
-    located, _ = runtime.Scratch(spark, "facts").write(_facts(spark, d, quotes))
+def _facts(spark: SparkSession, d: str, also: tuple[str, ...] = (), same: DataFrame | None = None) -> DataFrame:
+    return facts.located(table(spark, d, "datoms"), _tx(spark, d), also, _aliases(spark, d) if same is None else same)
+
+
+def _live(spark: SparkSession, d: str, *also: str, same: DataFrame | None = None) -> DataFrame:
+    """Live facts with the columns named besides their keys; the located ones are written once, as most queries read them several times."""
+    located, _ = runtime.Scratch(spark, "facts").write(_facts(spark, d, also, same))
     return facts.alive(located, replay.retractions(_tx(spark, d)))
 
 
@@ -50,9 +57,10 @@ def _promoted(live: DataFrame) -> DataFrame:
     return facts.in_tier(live, "culture").select(F.col("culture_key").alias("key"))
 
 
-def _shown(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
-    live = _live(spark, d, quotes)
-    return facts.displayed(live, facts.names(live))
+def _shown(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    same, _ = runtime.Scratch(spark, "aliases").write(_aliases(spark, d))
+    live = _live(spark, d, *also, same=same)
+    return facts.displayed(live, facts.names(live), same)
 
 
 # ---- pieces of SQL
@@ -60,17 +68,22 @@ def _shown(spark: SparkSession, d: str, quotes: bool = False) -> DataFrame:
 _T = """t AS (SELECT *, hlc[1] AS wall, hlc[2] AS counter, {'w': hlc[1], 'c': hlc[2], 'p': portal, 'i': id} AS rk, {'l': portal <> 'steward', 'w': hlc[1], 'c': hlc[2], 'p': portal, 'i': id} AS lk
   FROM tx WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1)"""
 _VAL = """CASE WHEN v LIKE '{%' AND json_valid(v) AND json_extract_string(v, '$.ref') IS NOT NULL THEN '{"ref":' || to_json(json_extract_string(v, '$.ref')) || '}' ELSE to_json(v)::VARCHAR END"""
-_F = f"""f0 AS (SELECT d.id, d.e, d.a, d.v, d.nu, d.vf, d.quote, d.support, d.tier, d.source, d.tx, t.rk AS pos FROM datoms d JOIN t ON t.id = d.tx WHERE d.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY t.rk DESC) = 1),
-f AS (SELECT *, 'k:' || sha256('[' || to_json(tier) || ',' || to_json(e) || ',' || to_json(a) || ',' || {_VAL} || ',null]')[1:32] AS key,
-      'k:' || sha256('["culture",' || to_json(e) || ',' || to_json(a) || ',' || {_VAL} || ',null]')[1:32] AS ckey FROM f0)"""
+_NORM = "lower(regexp_replace(trim({}, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g'))"
+_AL = f"""lk AS (SELECT DISTINCT d.e, 'e:' || sha256('["ident",' || to_json(d.a) || ',' || to_json({_NORM.format('d.v')}) || ']')[1:24] AS i FROM datoms d JOIN t ON t.id = d.tx WHERE d.a IN (SELECT a FROM attrs WHERE uniq = 'identity') AND d.e IS NOT NULL AND d.v IS NOT NULL),
+b AS (SELECT e AS u, i AS w FROM lk WHERE e <> i UNION SELECT i, e FROM lk WHERE e <> i), rr AS (SELECT u AS e, u AS m FROM b UNION SELECT b.u, rr.m FROM rr JOIN b ON b.w = rr.e WHERE rr.m < b.u),
+al AS (SELECT e, min(m) AS rep FROM rr GROUP BY e HAVING min(m) <> e)"""
+_F = f"""{_AL}, f0 AS (SELECT d.id, d.e, d.a, d.v, d.nu, d.vf, d.quote, d.support, d.tier, d.source, d.tx, t.rk AS pos FROM datoms d JOIN t ON t.id = d.tx WHERE d.id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY t.rk DESC) = 1),
+f1 AS (SELECT f0.*, coalesce(al.rep, f0.e) AS rep FROM f0 LEFT JOIN al ON al.e = f0.e),
+f AS (SELECT *, 'k:' || sha256('[' || to_json(tier) || ',' || to_json(rep) || ',' || to_json(a) || ',' || {_VAL} || ',null]')[1:32] AS key,
+      'k:' || sha256('["culture",' || to_json(rep) || ',' || to_json(a) || ',' || {_VAL} || ',null]')[1:32] AS ckey FROM f1)"""
 _R = """r AS (SELECT key, max(rk) AS pos FROM (SELECT rk, unnest(from_json(json_extract(payload, '$.keys'), '["VARCHAR"]')) AS key FROM t WHERE kind = 'retract') GROUP BY key),
 ap AS (SELECT key, max(rk) AS pos FROM (SELECT rk, unnest(from_json(json_extract(payload, '$.keys'), '["VARCHAR"]')) AS key FROM t WHERE kind = 'approve') GROUP BY key)"""
 _L = """ev AS (SELECT key, arg_max(op, pos) AS op, max(pos) AS event_at FROM (SELECT key, pos, 'assert' AS op FROM f UNION ALL SELECT key, pos, 'retract' FROM r) GROUP BY key),
 l AS (SELECT f.*, ev.event_at FROM f JOIN ev USING (key) WHERE ev.op = 'assert')"""
-_N = """n AS (SELECT e, arg_max(v, {'a': pos, 'i': id}) AS name FROM l WHERE a = 'name' GROUP BY e),
-s AS (SELECT l.*, coalesce(n.name, l.e) AS entity, coalesce(m.name, l.ref, l.v) AS value FROM (SELECT *, CASE WHEN v LIKE '{%' AND json_valid(v) THEN json_extract_string(v, '$.ref') END AS ref FROM l) l
-      LEFT JOIN n ON n.e = l.e LEFT JOIN n m ON m.e = l.ref)"""
-_LIVE = f"WITH {_T}, {_F}, {_R}, {_L}"
+_N = """n AS (SELECT rep AS e, arg_max(v, {'a': pos, 'i': id}) AS name FROM l WHERE a = 'name' GROUP BY rep),
+s AS (SELECT l.*, coalesce(n.name, l.e) AS entity, coalesce(m.name, l.ref, l.v) AS value FROM (SELECT l.*, coalesce(al.rep, l.ref0) AS ref FROM (SELECT *, CASE WHEN v LIKE '{%' AND json_valid(v) THEN json_extract_string(v, '$.ref') END AS ref0 FROM l) l LEFT JOIN al ON al.e = l.ref0) l
+      LEFT JOIN n ON n.e = l.rep LEFT JOIN n m ON m.e = l.ref)"""
+_LIVE = f"WITH RECURSIVE {_T}, {_F}, {_R}, {_L}"
 _SHOWN = f"{_LIVE}, {_N}"
 _DEPTH = """p AS (SELECT id, min(nullif(prev, '')) AS prev FROM tx WHERE id IS NOT NULL GROUP BY id),
 g AS (SELECT id, 1::BIGINT AS depth FROM p WHERE prev IS NULL OR prev NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, g.depth + 1 FROM g JOIN p ON p.prev = g.id)"""
@@ -90,12 +103,14 @@ def source_duplicates(spark, d):
     return texts.duplicates(texts.table_texts(table(spark, d, "documents"), "doc_id", "name", "text"))
 
 
-@query("""SELECT s.source_id AS id, s.hash, s.name FROM (SELECT DISTINCT source_id, hash, name FROM sources) s LEFT JOIN (SELECT source, arg_max(source_hash, {'w': hlc[1], 'c': hlc[2], 'p': portal, 'i': id}) AS old FROM tx WHERE kind = 'assert' AND source IS NOT NULL GROUP BY source) o
-ON o.source = s.source_id WHERE s.hash IS DISTINCT FROM o.old""")
+@query(f"""WITH {_T}, pl AS (SELECT source, arg_max(json_extract_string(payload, '$.places."' || source || '"'), rk) AS hash FROM (SELECT rk, payload, unnest(json_keys(payload, '$.places')) AS source FROM t WHERE kind = 'map') GROUP BY 1)
+SELECT s.id, s.hash, s.name FROM (SELECT DISTINCT source_id AS id, hash[1:24] AS hash, name FROM sources UNION ALL SELECT 'doc:' || doc_id, sha256(text)[1:24], name FROM documents) s LEFT JOIN pl ON pl.source = s.id WHERE s.hash IS DISTINCT FROM pl.hash""")
 def changed_sources(spark, d):
-    listed = table(spark, d, "sources").select(F.col("source_id").alias("id"), "hash", "name").distinct()
-    t = log.once(_tx(spark, d)).where("kind = 'assert' and source is not null")
-    return texts.changed(listed, t.groupBy("source").agg(F.max_by("source_hash", log.replay_key()).alias("hash")))
+    """Listed sources and documents whose content is not what any portal mapped last; the maps of these tables hold the first 24 characters of a hash."""
+    s = table(spark, d, "sources").select(F.col("source_id").alias("id"), "hash", "name").distinct()
+    docs = texts.listing(texts.table_texts(table(spark, d, "documents"), "doc_id", "name", "text")).withColumn("id", F.concat(F.lit("doc:"), "id"))
+    listed = s.unionByName(docs).withColumn("hash", F.substring("hash", 1, STORED_HASH))
+    return texts.changed(listed, replay.last_places(_tx(spark, d)))
 
 
 @query("SELECT DISTINCT source_id AS id, name, hash FROM sources UNION ALL SELECT 'doc:' || doc_id, name, sha256(text) FROM documents")
@@ -108,8 +123,7 @@ def source_union(spark, d):
 @query("SELECT DISTINCT source_id AS id, coalesce(name, source_id) AS name, hash[1:12] AS hash, dense_rank() OVER (ORDER BY lower(coalesce(name, source_id)), source_id) AS n FROM (SELECT DISTINCT * FROM sources)")
 def sources_sorted(spark, d):
     s = table(spark, d, "sources").distinct().select(F.col("source_id").alias("id"), F.coalesce("name", "source_id").alias("name"), F.substring("hash", 1, 12).alias("hash"))
-    ranks = s.select(F.lower("name").alias("l"), "id").distinct().orderBy("l", "id")
-    ranks = ranks.select("id", "l", F.row_number().over(Window.orderBy("l", "id")).cast("bigint").alias("n"))
+    ranks = search.numbered(s.select(F.lower("name").alias("l"), "id").distinct(), ["l", "id"], "n")
     return s.withColumn("l", F.lower("name")).join(ranks, ["id", "l"]).select("id", "name", "hash", "n")
 
 
@@ -118,7 +132,7 @@ def sources_sorted(spark, d):
 
 @query(f"WITH {_T} SELECT id, seq, kind, portal, wall, counter FROM t")
 def log_once(spark, d):
-    return log.once(_tx(spark, d)).select("id", "seq", "kind", "portal", log.wall().alias("wall"), log.counter().alias("counter"))
+    return log.once(_tx(spark, d), "kind", "portal", "hlc").select("id", "seq", "kind", "portal", log.wall().alias("wall"), log.counter().alias("counter"))
 
 
 @query(f"""WITH {_T} SELECT id, sha256('{{' || concat_ws(',', '"agent":' || to_json(agent), '"directive":' || to_json(directive), '"hlc":[' || wall || ',' || counter || ']', '"kind":' || to_json(kind), '"model_hash":' || to_json(model_hash),
@@ -148,7 +162,7 @@ _ROWS = f"""rv AS (SELECT id, CASE WHEN role IS NULL THEN 'V6' WHEN kind IN {_ST
 
 @query(f"WITH {_T}, {_ROLES}, {_ROWS} SELECT * FROM rv WHERE \"check\" IS NOT NULL")
 def row_violations(spark, d):
-    return log.row_violations(_tx(spark, d))
+    return log.row_violations(_tx(spark, d), raw_payloads=True)
 
 
 @query(f"""WITH {_T}, j AS (SELECT t.id, t.portal, t.prev, q.portal AS pp FROM t LEFT JOIN t q ON q.id = t.prev)
@@ -183,7 +197,7 @@ _ALL = " UNION ALL ".join(f"SELECT id, \"check\", reason FROM ({x})" for x in (_
 
 @query(f'SELECT "check", reason, count(*) AS n FROM ({_ALL}) GROUP BY ALL')
 def log_violations(spark, d):
-    return log.violations(_tx(spark, d), table(spark, d, "datoms")).groupBy("check", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return log.violations(_tx(spark, d), table(spark, d, "datoms"), raw_payloads=True).groupBy("check", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_T}, z AS (SELECT portal, prev, signer, id, lk, row_number() OVER (PARTITION BY portal, prev, signer ORDER BY lk) AS n FROM t),
@@ -234,7 +248,7 @@ def log_page(spark, d):
 SELECT user_id, event_id, wall, row_number() OVER (PARTITION BY user_id, wall ORDER BY event_id) - 1 AS counter FROM w""")
 def hlc_assign(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now"))
-    return log.hybrid_clock(e, "now", "event_id", ["user_id"]).select("user_id", "event_id", "wall", "counter")
+    return log.hybrid_clock(e, "now", "event_id", "user_id").select(F.col("user_id").cast("bigint").alias("user_id"), "event_id", "wall", "counter")
 
 
 @query(f"""WITH {_T}, {_ROLES}, z AS (SELECT portal, prev, signer, id, lk, row_number() OVER (PARTITION BY portal, prev, signer ORDER BY lk) AS n FROM t),
@@ -258,7 +272,7 @@ def log_append(spark, d):
 def tx_lookup(spark, d):
     t = _tx(spark, d)
     first = F.broadcast(t.agg(F.min("id").alias("id")))
-    return log.once(t.join(first, "id", "left_semi")).select("id", "payload")
+    return log.once(t.join(first, "id", "left_semi"), "payload").select("id", "payload")
 
 
 # ---- replay
@@ -338,7 +352,7 @@ def results(spark, d):
 
 @query(f"WITH {_T} SELECT id, directive, wall FROM t WHERE kind = 'assert' ORDER BY rk DESC LIMIT 20")
 def results_recent(spark, d):
-    r = log.once(_tx(spark, d)).where("kind = 'assert'").select("id", "directive", log.wall().alias("wall"), log.replay_key().alias("at"))
+    r = log.once(log.of_kind(_tx(spark, d), "assert"), "directive", "hlc", "portal").select("id", "directive", log.wall().alias("wall"), log.replay_key().alias("at"))
     return r.orderBy(F.desc("at")).limit(20).drop("at")
 
 
@@ -355,7 +369,7 @@ def decisions(spark, d):
 @query(f"WITH {_T}, {_PL} SELECT portal, source FROM pl WHERE EXISTS (SELECT 1 FROM t WHERE kind = 'assert' AND t.source = pl.source AND t.source_hash[1:24] = pl.hash)")
 def extracted_sources(spark, d):
     t = _tx(spark, d)
-    done = log.once(t).where("kind = 'assert'").select("source", F.substring("source_hash", 1, 24).alias("source_hash"))
+    done = log.of_kind(t, "assert").select("source", F.substring("source_hash", 1, STORED_HASH).alias("source_hash"))
     return replay.extracted(replay.places(t), done)
 
 
@@ -400,7 +414,12 @@ def tier_scan(spark, d):
 
 @query(f"{_LIVE} SELECT id, source, ckey AS culture_key FROM l WHERE tier LIKE 'episode:%'")
 def episode_scan(spark, d):
-    return facts.in_episodes(_live(spark, d)).select("id", "source", "culture_key")
+    return facts.in_episodes(_live(spark, d, "source")).select("id", "source", "culture_key")
+
+
+@query(f"WITH RECURSIVE {_T}, {_AL} SELECT e, rep FROM al")
+def alias_components(spark, d):
+    return _aliases(spark, d)
 
 
 @query(f"{_SHOWN} SELECT e, name FROM n")
@@ -413,19 +432,19 @@ _EV = "g AS (SELECT ckey AS key, count(DISTINCT coalesce(source, chr(1))) AS sup
 
 @query(f"{_LIVE}, {_EV} SELECT support, count(*) AS n FROM g GROUP BY support")
 def gate_support_histogram(spark, d):
-    return facts.groups(facts.in_episodes(_live(spark, d))).groupBy("support").agg(F.count(F.lit(1)).alias("n"))
+    return facts.groups(facts.in_episodes(_live(spark, d, "source"))).groupBy("support").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_LIVE}, {_EV} SELECT key, rep, support, CASE WHEN ap.key IS NOT NULL AND support < 2 THEN 'approved' ELSE 'auto' END AS rule FROM g LEFT JOIN ap USING (key) WHERE key NOT IN (SELECT key FROM pr) AND (support >= 2 OR ap.key IS NOT NULL) AND key NOT IN (SELECT key FROM r)")
 def promotion_gate(spark, d):
-    live, t = _live(spark, d), _tx(spark, d)
+    live, t = _live(spark, d, "source"), _tx(spark, d)
     return facts.gate(facts.in_episodes(live), _promoted(live), replay.approvals(t), replay.retractions(t))
 
 
 @query(f"{_LIVE}, {_EV} SELECT key, rep, support, CASE WHEN support < 2 THEN 'approved' ELSE 'auto' END AS rule FROM g WHERE support >= 2 OR key IN (SELECT key FROM pr)")
 def gate_with_approvals(spark, d):
     """The gate where every culture row counts as an approval of its key, and nothing is promoted yet."""
-    live, t = _live(spark, d), _tx(spark, d)
+    live, t = _live(spark, d, "source"), _tx(spark, d)
     approved = facts.in_tier(live, "culture").groupBy(F.col("culture_key").alias("key")).agg(F.max("at").alias("at"))
     none = approved.where("false").select("key")
     return facts.gate(facts.in_episodes(live), none, approved, replay.retractions(t).where("false"))
@@ -435,7 +454,7 @@ def gate_with_approvals(spark, d):
 SELECT key, min(id) AS rep, count(DISTINCT source) AS support, 'auto' AS rule FROM x WHERE event_at > after GROUP BY key HAVING count(DISTINCT source) >= 2""")
 def gate_after_retract(spark, d):
     """The gate where every key was retracted at its first evidence, so that only later evidence counts."""
-    live = facts.in_episodes(_live(spark, d))
+    live = facts.in_episodes(_live(spark, d, "source"))
     ev = live.join(live.groupBy("key").agg(F.max("at").alias("event_at")), "key")
     retracted = ev.groupBy(F.col("culture_key").alias("key")).agg(F.min("event_at").alias("at"))
     none = retracted.where("false")
@@ -444,38 +463,38 @@ def gate_after_retract(spark, d):
 
 @query(f"{_LIVE}, {_EV} SELECT g.key, first AS id, g.support, ap.key IS NOT NULL AS approved FROM g JOIN l ON l.id = g.first LEFT JOIN ap ON ap.key = g.key WHERE g.support < 2 AND l.a <> 'name' AND g.key NOT IN (SELECT key FROM pr)")
 def held_facts(spark, d):
-    live = _live(spark, d)
+    live = _live(spark, d, "source")
     return facts.held(facts.in_episodes(live), _promoted(live), replay.approvals(_tx(spark, d)))
 
 
-@query(f"{_LIVE}, sc AS (SELECT a FROM attrs WHERE card <> 'many') SELECT e, a, array_to_string(list_sort(list(DISTINCT {_VAL})), '|') AS vals FROM l WHERE tier = 'culture' AND a NOT IN (SELECT a FROM sc) GROUP BY e, a")
+@query(f"{_LIVE}, sc AS (SELECT a FROM attrs WHERE card <> 'many') SELECT rep AS e, a, array_to_string(list_sort(list(DISTINCT {_VAL})), '|') AS vals FROM l WHERE tier = 'culture' AND a NOT IN (SELECT a FROM sc) GROUP BY rep, a")
 def settled_many(spark, d):
     live = facts.in_tier(_live(spark, d), "culture")
-    return facts.settled_many(live, table(spark, d, "attrs")).withColumn("vals", F.array_join("vals", "|"))
+    return facts.settled_many(live, table(spark, d, "attrs")).select("e", "a", F.array_join("vals", "|").alias("vals"))
 
 
 def _one(kind: str, first: str) -> str:
-    return f"{_LIVE} SELECT e, a, id, v FROM l WHERE tier IN ('culture', 'dream') AND a IN (SELECT a FROM attrs WHERE card = 'one' AND kind = '{kind}') QUALIFY row_number() OVER (PARTITION BY e, a ORDER BY tier = 'dream', coalesce({first}, 0) DESC, coalesce(nu, 0) DESC, id) = 1"
+    return f"{_LIVE} SELECT rep AS e, a, id, v FROM l WHERE tier = 'culture' AND a IN (SELECT a FROM attrs WHERE card = 'one' AND kind = '{kind}') QUALIFY row_number() OVER (PARTITION BY rep, a ORDER BY coalesce({first}, 0) DESC, coalesce(nu, 0) DESC, id) = 1"
 
 
 @query(_one("state", "vf"))
 def settled_one_state(spark, d):
-    return facts.settled_one(_live(spark, d).where("tier in ('culture', 'dream')"), table(spark, d, "attrs"), "state")
+    return facts.settled_one(facts.in_tier(_live(spark, d, "nu", "vf"), "culture"), table(spark, d, "attrs"), "state").drop("ctx")
 
 
 @query(_one("claim", "support"))
 def settled_one_claim(spark, d):
-    return facts.settled_one(_live(spark, d).where("tier in ('culture', 'dream')"), table(spark, d, "attrs"), "claim")
+    return facts.settled_one(facts.in_tier(_live(spark, d, "nu", "support"), "culture"), table(spark, d, "attrs"), "claim").drop("ctx")
 
 
 @query(f"{_SHOWN} SELECT entity, a, value, support, nu FROM s WHERE tier = 'culture' AND a <> 'name' AND contains(lower(entity || ' ' || a || ' ' || value), '{NEEDLE.lower()}') QUALIFY row_number() OVER (PARTITION BY lower(entity), a, value ORDER BY support DESC, pos, id) = 1")
 def memory_search(spark, d):
-    return facts.memory(facts.in_tier(_shown(spark, d), "culture"), NEEDLE)
+    return facts.memory(facts.in_tier(_shown(spark, d, "nu", "support"), "culture"), NEEDLE)
 
 
 @query(f"{_SHOWN} SELECT entity, a, value, support, nu FROM s WHERE tier = 'culture' AND a <> 'name' QUALIFY row_number() OVER (PARTITION BY lower(entity), a, value ORDER BY support DESC, pos, id) = 1")
 def memory_all(spark, d):
-    return facts.memory(facts.in_tier(_shown(spark, d), "culture"))
+    return facts.memory(facts.in_tier(_shown(spark, d, "nu", "support"), "culture"))
 
 
 @query(f"{_SHOWN} SELECT id, entity, a, value FROM s")
@@ -557,7 +576,7 @@ SELECT entity, a, value, support, nu, CASE WHEN pool = 0 THEN 'settled' ELSE 'he
 
 
 def _recalled(spark, d):
-    shown = _shown(spark, d, quotes=True)
+    shown = _shown(spark, d, "nu", "support", "source", "quote")
     return search.recall(facts.in_tier(shown, "culture"), facts.in_episodes(shown), _promoted(shown), QUESTION, 8)
 
 

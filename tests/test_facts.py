@@ -48,7 +48,7 @@ def test_gate_after_a_retraction(spark):
 
 def facts_df(spark, rows):
     return spark.createDataFrame([(*r[:6], r[6], at(r[7]), (0, 1, r[8])) for r in rows], f"id string, e string, a string, v string, tier string, support bigint, source string, at {AT}, quote struct<start:bigint,end:bigint,text:string>").withColumns(
-        {"nu": F.lit(500).cast("bigint"), "vf": F.col("at.wall"), "ctx": F.lit(None).cast("string"), "culture_key": F.concat_ws("|", "e", "a", "v")}
+        {"nu": F.lit(500).cast("bigint"), "vf": F.col("at.wall"), "ctx": F.lit(None).cast("string"), "culture_key": F.concat_ws("|", "e", "a", "v"), "rep": F.col("e")}
     )
 
 
@@ -83,7 +83,10 @@ def test_memory_and_settled_values(spark):
     assert facts.memory(c, "no%such_").count() == 0
     schema = spark.createDataFrame([("date", "one", "state"), ("defined_as", "one", "claim"), ("treats", "many", "claim")], "a string, card string, kind string")
     f = facts_df(spark, [("b", "e", "date", "1", "culture", 9, None, 1, ""), ("a", "e", "date", "2", "culture", 1, None, 5, ""), ("z", "e", "date", "3", "dream", 1, None, 9, ""), ("d", "e", "defined_as", "x", "culture", 1, None, 9, ""), ("c", "e", "defined_as", "y", "culture", 4, None, 1, "")])
+    f = facts.in_tier(f, "culture")
     assert [r["v"] for r in facts.settled_one(f, schema, "state").collect()] == ["2"] and [r["v"] for r in facts.settled_one(f, schema, "claim").collect()] == ["y"]
+    both = f.unionByName(f.withColumn("ctx", F.lit("other")).withColumn("v", F.lit("9")))
+    assert sorted((r["ctx"] or "", r["v"]) for r in facts.settled_one(both, schema, "state").collect()) == [("", "2"), ("other", "9")]
     m = facts_df(spark, [("1", "e", "treats", "b", "culture", 1, None, 1, ""), ("2", "e", "treats", "a", "culture", 1, None, 1, ""), ("3", "e", "treats", "a", "culture", 1, None, 1, ""), ("4", "e", "odd", "q", "culture", 1, None, 1, "")])
     assert {(r["a"], tuple(r["vals"])) for r in facts.settled_many(m, schema).collect()} == {("treats", ('"a"', '"b"')), ("odd", ('"q"',))}
 

@@ -61,7 +61,27 @@ def test_a_good_log_has_no_violations(spark):
     lg.add("promote", {"decision": {"key": "k:1", "support": 2, "rule": "auto"}}, tier="culture")
     tx = lg.df(spark)
     assert said(log.violations(tx, no_datoms(spark))) == [] and said(log.id_violations(tx)) == []
-    assert [r["id"] for r in log.load(tx, no_datoms(spark)).collect()][0] == lg.rows[0]["id"]
+    assert [r["id"] for r in log.load(tx, no_datoms(spark), signatures=False).collect()][0] == lg.rows[0]["id"]
+    assert tuple(log.verify(tx, no_datoms(spark), signatures=False).first()) == (True, len(lg.rows), 0, 0)
+
+
+def test_a_signed_log_loads_until_it_is_edited(spark):
+    lg, keys = Log(), {signature.sign(s, "")[0]: s for s in (11, 22)}
+    steward, portal = keys
+    lg.add("genesis", {"steward": steward, "roles": {steward: "steward", portal: "portal"}}, portal="steward", signer=steward)
+    lg.add("map", {"places": {}}, signer=portal)
+    for r in lg.rows:
+        r["sig"] = signature.sign(keys[r["signer"]], r["id"])[1]
+    assert log.load(lg.df(spark), no_datoms(spark)).count() == 2
+    none = spark.createDataFrame([("p-1", None, "x", "y")], "portal string, prev string, a string, b string")
+    with pytest.raises(log.Rejected, match="proof"):
+        log.load(lg.df(spark), no_datoms(spark), none)
+    lg.rows[1]["sig"] = lg.rows[0]["sig"]
+    with pytest.raises(log.Rejected, match="bad signature"):
+        log.load(lg.df(spark), no_datoms(spark))
+    lg.rows[1]["tier"] = "dream"
+    with pytest.raises(log.Rejected, match="id does not match header"):
+        log.load(lg.df(spark), no_datoms(spark), signatures=False)
 
 
 def test_each_violation(spark):
@@ -83,7 +103,7 @@ def test_each_violation(spark):
     got = {c for c, _ in said(log.violations(lg.df(spark), no_datoms(spark)))}
     assert got == {"V4", "V5", "V6", "V7", "V8", "V9", "V10", "V12", "V13", "V15", "V16", "V20"} and bad
     with pytest.raises(log.Rejected):
-        log.load(lg.df(spark), no_datoms(spark))
+        log.load(lg.df(spark), no_datoms(spark), signatures=False)
 
 
 def test_tampered_header_and_signature(spark):
@@ -173,7 +193,7 @@ def test_pages_clock_append_and_expiries(spark):
     assert log.append(tx.limit(4), tx.unionByName(tx)).count() == 5
     due = replay.expiries(replay.open_directives(tx), "p-1", T0 + 5)
     assert [(r["kind"], r["payload"]) for r in due.collect()] == [("expire", '{"directive":"d1"}')]
-    c = log.hybrid_clock(spark.createDataFrame([(1, 5), (2, 3), (3, 5), (4, 9)], "i bigint, now bigint").withColumn("p", F.lit("x")), "now", "i", ["p"])
+    c = log.hybrid_clock(spark.createDataFrame([(1, 5), (2, 3), (3, 5), (4, 9)], "i bigint, now bigint").withColumn("p", F.lit("x")), "now", "i", "p", block=2)
     assert [(r["wall"], r["counter"]) for r in c.orderBy("i").collect()] == [(5, 0), (5, 1), (5, 2), (9, 0)]
     assert log.make(tx.where("kind = 'map'")).select((F.col("id").isNotNull()).alias("x")).distinct().collect()[0][0]
 
