@@ -1,12 +1,19 @@
 """Spellings of one person or organisation, linked.
 
 Merge-and-rematch resolution: each entity starts as a profile with its spellings.
-Profiles of close surnames or houses, found by blocking keys that all such words
-share, are compared; those that match are merged, and
-the merged profile has the spellings and initials of all, hence more keys and more
-that it can match. Merged profiles enter blocking again until a round merges
-nothing. Profiles with full given names are matched first; one with initials only
-joins the one full profile that fits it, and none where several do.
+Profiles of one scope (an institute; for bodies, the kind of body) whose surnames or
+houses are close and whose given names fit are compared; those that match are merged,
+and the merged profile has the spellings, initials and scopes of all, hence more that
+it can match. Merged profiles enter blocking again until a round merges nothing.
+Profiles with full given names are matched first; one with initials only joins the
+one full profile that fits it, and none where several do. Profiles without a scope
+join the one profile of any scope that fits best, and after each of these joins all
+is matched again.
+
+Which words are close, and which given names fit, is found once, on the different
+words: merging brings no new ones. So a block holds the different spellings of one
+surname and given name, however many rows have them, and what a pair of profiles
+was judged is kept until one of them changes.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom import runtime
@@ -22,67 +29,209 @@ from factloom.functions.typed import ref_of
 from factloom.llm import spelling
 from factloom.llm.components import components
 
-MOST_ROUNDS = 30
+MOST_ROUNDS = 60
+#: Merged pairs that one cell of the components may hold; a round has few.
+CELL = 200_000
 
 
-def _keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _word_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        keys = [spelling.keys(w) for w in f["word"]]
-        yield f.assign(key=keys).explode("key", ignore_index=True)[["scope", "word", "fresh", "key"]]
+        yield f.assign(key=[spelling.keys(w) for w in f["w"]]).explode("key", ignore_index=True)[["w", "key"]]
 
 
 def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield f[[spelling.close(u, v) for u, v in zip(f["u"], f["v"])]]
+        yield f[[spelling.close(u, v) for u, v in zip(f["w"], f["w2"])]]
 
 
-def _judged(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    same = spelling.same_person if kind == "person" else spelling.same_body
+def _given_keys(lists: spelling.Lists):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for g in f["g"]:
+                if len(g) > 1:
+                    own, every = spelling.given_keys(g, lists)
+                    out += [(g, k, True) for k in own] + [(g, k, False) for k in every]
+                    out += [(g, f"={i}", False) for i in spelling.initials(g, lists)]
+                else:
+                    out += [(g, f"={g}", True), (g, f"={g}", False)]
+            yield pd.DataFrame(out, columns=["g", "key", "own"])
 
+    return run
+
+
+def _fitting(lists: spelling.Lists):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[[spelling.fits(g, h, lists) for g, h in zip(f["g"], f["g2"])]]
+
+    return run
+
+
+def _judged(kind: str, lists: spelling.Lists) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    same = (lambda f, g: spelling.same_person(f, g, lists)) if kind == "person" else spelling.same_body
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], int] = {}
+
+        def said(f: str, g: str) -> int:
+            if (f, g) not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                known[f, g] = same(f, g)
+            return known[f, g]
+
         for f in frames:
             out = []
-            for a, b, fa, fb in zip(f["a"], f["b"], f["fa"], f["fb"]):
-                said = {same(x, y) for x in fa for y in fb}
-                out.append(0 if -1 in said else max(said))
+            for fa, fb in zip(f["fa"], f["fb"]):
+                best = 0
+                for x in fa:
+                    for y in fb:
+                        k = said(x, y)
+                        if k < 0:
+                            best = -1
+                            break
+                        best = max(best, k)
+                    if best < 0:
+                        break
+                out.append(best)
             yield pd.DataFrame({"a": f["a"], "b": f["b"], "fit": out, "full_a": f["full_a"], "full_b": f["full_b"]})
 
     return run
 
 
-def _full(forms: str):
+def _full(forms: str) -> Column:
     return F.exists(forms, lambda x: F.length(F.split(F.split(x, r"\|")[1], " ")[0]) > 1)
 
 
-def _merged(profiles: DataFrame, edges: DataFrame, rows: int, members: DataFrame, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """Profiles and (e, cid) after the written edges (a, b) between profiles; merged ones are marked to enter blocking again."""
-    to = components(edges, "a", "b", rows=rows).select(F.col("member").alias("cid"), F.col("first").alias("into"))
-    to, _ = scratch.write(to)
-    p = profiles.join(to, "cid", "left").select(F.coalesce("into", "cid").alias("cid"), "scope", "forms", F.col("into").isNotNull().alias("moved"))
-    p = p.groupBy("cid").agg(F.max("scope").alias("scope"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"), F.max("moved").alias("fresh"))
-    m = members.join(to, "cid", "left").select("e", F.coalesce("into", "cid").alias("cid"))
-    return scratch.write(p)[0], m
-
-
-def _compared(profiles: DataFrame, kind: str, scratch: runtime.Scratch, everyone: bool = False) -> tuple[DataFrame, int]:
-    """(a, b, fit, full_a, full_b) of profiles with close surnames or houses, one of them fresh unless ``everyone``; and how many pairs are one for sure."""
-    new = F.lit(True) if everyone else F.col("fresh")
-    own = F.array_distinct(F.transform("forms", lambda x: F.split(x, r"\|")[0]))
-    words = profiles.select("cid", "scope", new.alias("fresh"), F.explode(own).alias("word"))
-    # words that are close share a key; the keys are hashed, as each pair of words is held against the rule
-    keyed = words.groupBy("scope", "word").agg(F.max("fresh").alias("fresh")).mapInPandas(_keyed, "scope string, word string, fresh boolean, key string")
-    keyed = keyed.select("scope", "word", "fresh", F.xxhash64("key").alias("key"))
-    x, y = keyed.where("fresh").select("scope", "key", F.col("word").alias("u")), keyed.select("scope", "key", F.col("word").alias("v"))
-    near = x.join(y, ["scope", "key"]).select("scope", "u", "v").distinct().mapInPandas(_close, "scope string, u string, v string")
-    x, y = words.where("fresh").select("scope", F.col("word").alias("u"), F.col("cid").alias("c")), words.select("scope", F.col("word").alias("v"), F.col("cid").alias("d"))
-    pairs = x.join(near, ["scope", "u"]).join(y, ["scope", "v"]).where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    p = profiles.select("cid", "forms")
-    both = pairs.join(p.select(F.col("cid").alias("a"), F.col("forms").alias("fa")), "a").join(p.select(F.col("cid").alias("b"), F.col("forms").alias("fb")), "b")
-    both = both.select("a", "b", "fa", "fb", _full("fa").alias("full_a"), _full("fb").alias("full_b"))
-    seen = Observation()
-    judged = both.mapInPandas(_judged(kind), "a string, b string, fit int, full_a boolean, full_b boolean").where("fit > 0")
-    judged, _ = scratch.write(judged.observe(seen, F.count_if(F.col("fit") == 2).alias("sure")))
-    return judged, seen.get["sure"]
+def vocabulary(forms: DataFrame, kind: str, scratch: runtime.Scratch, lists: spelling.Lists) -> DataFrame:
+    """(w, g, w2, g2): the surnames with given names (houses with kinds) of ``forms`` (form) that may be of one, in both directions."""
+    part = lambda i: F.split("form", r"\|")[i]
+    given = F.split(part(1), " ")[0] if kind == "person" else part(1)
+    names, _ = scratch.write(forms.select(part(0).alias("w"), given.alias("g")).distinct())
+    # close words share a key; the keys are hashed, as each pair of words is held against the rule
+    keyed = names.select("w").distinct().mapInPandas(_word_keys, "w string, key string").select("w", F.xxhash64("key").alias("key"))
+    near = keyed.join(keyed.withColumnRenamed("w", "w2"), "key").where("w <= w2").select("w", "w2").distinct().mapInPandas(_close, "w string, w2 string")
+    near, _ = scratch.write(near.unionByName(near.where("w < w2").select(F.col("w2").alias("w"), F.col("w").alias("w2"))))
+    if kind != "person":  # of one kind of body
+        pairs = names.join(near, "w").join(names.select(F.col("w").alias("w2"), "g"), ["w2", "g"])
+        return scratch.write(pairs.select("w", "g", "w2", F.col("g").alias("g2")))[0]
+    pairs = names.join(near, "w").join(names.select(F.col("w").alias("w2"), F.col("g").alias("g2")), "w2")
+    keyed = names.select("g").distinct().mapInPandas(_given_keys(lists), "g string, key string, own boolean")
+    fit = keyed.where("own").select("g", "key").join(keyed.where("not own").select(F.col("g").alias("g2"), "key"), "key").select("g", "g2").distinct()
+    fit = fit.mapInPandas(_fitting(lists), "g string, g2 string")
+    fit, _ = scratch.write(fit.unionByName(fit.select(F.col("g2").alias("g"), F.col("g").alias("g2"))).distinct())
+    return scratch.write(pairs.join(fit, ["g", "g2"]).select("w", "g", "w2", "g2"))[0]
+
+
+class Matching:
+    """Profiles of one kind while they are merged: (cid, scopes, forms, fresh), what pairs were judged, and the pairs merged."""
+
+    def __init__(self, profiles: DataFrame, kind: str, near: DataFrame, scratch: runtime.Scratch, lists: spelling.Lists):
+        self.kind, self.near, self.scratch, self.lists = kind, near, scratch, lists
+        self.profiles, _ = scratch.write(profiles.withColumn("fresh", F.lit(True)))
+        self.judged: DataFrame | None = None
+        self.edges: list[DataFrame] = []
+
+    def _atoms(self, profiles: DataFrame) -> DataFrame:
+        """(cid, fresh, w, g) of each profile's spellings."""
+        part = lambda i: F.split("form", r"\|")[i]
+        given = F.split(part(1), " ")[0] if self.kind == "person" else part(1)
+        x = profiles.select("cid", "fresh", "scopes", F.explode("forms").alias("form"))
+        return x.select("cid", "fresh", "scopes", part(0).alias("w"), given.alias("g")).distinct()
+
+    def _judge(self, pairs: DataFrame) -> DataFrame:
+        p = self.profiles.select("cid", "forms")
+        both = pairs.join(p.select(F.col("cid").alias("a"), F.col("forms").alias("fa")), "a").join(p.select(F.col("cid").alias("b"), F.col("forms").alias("fb")), "b")
+        both = both.select("a", "b", "fa", "fb", _full("fa").alias("full_a"), _full("fb").alias("full_b"))
+        return both.mapInPandas(_judged(self.kind, self.lists), "a string, b string, fit int, full_a boolean, full_b boolean").where("fit > 0")
+
+    @staticmethod
+    def _other(y: DataFrame) -> DataFrame:
+        return y.select(F.col("cid").alias("d"), F.col("w").alias("w2"), F.col("g").alias("g2"), *(["scope"] if "scope" in y.columns else []))
+
+    _ends = staticmethod(lambda joined: joined.where("cid <> d").select(F.least("cid", "d").alias("a"), F.greatest("cid", "d").alias("b")).distinct())
+
+    def compare(self) -> tuple[DataFrame, int]:
+        """(a, b, fit, full_a, full_b) of the profiles that share a scope and fit, and how many of these pairs are one for sure.
+
+        Only pairs of which one is fresh are judged; the others are as before.
+        """
+        atoms = self._atoms(self.profiles)
+        atoms = atoms.select("cid", "fresh", F.explode("scopes").alias("scope"), "w", "g")
+        joined = atoms.where("fresh").join(self.near, ["w", "g"]).join(self._other(atoms), ["scope", "w2", "g2"])
+        judged = self._judge(self._ends(joined))
+        if self.judged is not None:
+            same = self.profiles.where("not fresh").select("cid")
+            judged = judged.unionByName(self.judged.join(same.withColumnRenamed("cid", "a"), "a", "left_semi").join(same.withColumnRenamed("cid", "b"), "b", "left_semi"))
+        seen = Observation()
+        self.judged, _ = self.scratch.write(judged.observe(seen, F.count_if(F.col("fit") == 2).alias("sure")))
+        return self.judged, seen.get["sure"]
+
+    def merge(self, edges: DataFrame, n: int) -> None:
+        """Merge the profiles that the written edges (a, b) join; merged ones are marked to enter blocking again."""
+        self.edges.append(edges)
+        to = components(edges, "a", "b", rows=n, least=CELL).select(F.col("member").alias("cid"), F.col("first").alias("into"))
+        into = to.select(F.col("into").alias("cid"), F.lit(True).alias("first")).distinct()
+        p = self.profiles.join(to, "cid", "left").join(into, "cid", "left")
+        p = p.select(F.coalesce("into", "cid").alias("cid"), "scopes", "forms", (F.col("into").isNotNull() | F.col("first").isNotNull()).alias("moved"))
+        kept = p.where("not moved").select("cid", "scopes", "forms", F.lit(False).alias("fresh"))
+        gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+        new = p.where("moved").groupBy("cid").agg(gathered("scopes").alias("scopes"), gathered("forms").alias("forms"), F.lit(True).alias("fresh"))
+        self.profiles, _ = self.scratch.write(kept.unionByName(new))
+
+    def rest(self) -> None:
+        """Mark all profiles as compared."""
+        self.profiles = self.profiles.withColumn("fresh", F.lit(False))
+
+    def within_scopes(self) -> None:
+        for _ in range(MOST_ROUNDS):
+            judged, sure = self.compare()
+            edges, n = judged.where("fit = 2").select("a", "b"), sure
+            if not n and self.kind == "person":
+                edges, _, n = self.scratch.write_counted(_weak_edges(judged))
+            if not n:
+                return self.rest()
+            self.merge(edges, n)
+        raise RuntimeError("resolution: still merging after the last round")
+
+    def across_scopes(self) -> bool:
+        """Join profiles without a scope to the one profile of any scope that fits them best, and to one another; whether any joined."""
+        loose = self.profiles.where(F.size("scopes") == 0).select("cid")
+        atoms = self._atoms(self.profiles)
+        joined = atoms.where(F.size("scopes") == 0).join(self.near, ["w", "g"]).join(self._other(atoms), ["w2", "g2"])
+        judged, _ = self.scratch.write(self._judge(self._ends(joined)))
+        s = self.profiles.select(F.col("cid").alias("y"), (F.size("scopes") > 0).alias("scoped"))
+        ends = judged.select(F.col("a").alias("x"), F.col("b").alias("y"), "fit").unionByName(judged.select(F.col("b").alias("x"), F.col("a").alias("y"), "fit"))
+        scoped = ends.join(loose.withColumnRenamed("cid", "x"), "x", "left_semi").join(s, "y").where("scoped")
+        best = scoped.groupBy("x", "fit").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).groupBy("x").agg(F.max(F.struct("fit", "n", "y")).alias("t")).select("x", "t.n", "t.y")
+        edges = best.where("n = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        free = loose.join(best.select(F.col("x").alias("cid")), "cid", "left_anti")
+        alone = judged.join(free.withColumnRenamed("cid", "a"), "a", "left_semi").join(free.withColumnRenamed("cid", "b"), "b", "left_semi")
+        edges = edges.unionByName(alone.where("fit = 2").select("a", "b")).unionByName(_weak_edges(alone))
+        edges, _, n = self.scratch.write_counted(edges)
+        if n:
+            self.merge(edges, n)
+        return n > 0
+
+    def run(self) -> None:
+        self.within_scopes()
+        if self.kind == "person":
+            for _ in range(MOST_ROUNDS):
+                if not self.across_scopes():
+                    return
+                self.within_scopes()
+            raise RuntimeError("resolution: still merging after the last round")
+
+    def clusters(self, members: DataFrame) -> DataFrame:
+        """(e, cid) after all merges, from the (e, cid) at their start."""
+        if not self.edges:
+            return members
+        every = self.edges[0]
+        for more in self.edges[1:]:
+            every = every.unionByName(more)
+        to = components(every, "a", "b", least=CELL).select(F.col("member").alias("cid"), F.col("first").alias("into"))
+        return members.join(to, "cid", "left").select("e", F.coalesce("into", "cid").alias("cid"))
 
 
 def _weak_edges(judged: DataFrame) -> DataFrame:
@@ -97,58 +246,25 @@ def _weak_edges(judged: DataFrame) -> DataFrame:
     return single.unionByName(among)
 
 
-def merge_and_rematch(profiles: DataFrame, members: DataFrame, kind: str, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """Merge profiles (cid, scope, forms) of one scope until nothing merges; members: (e, cid)."""
-    profiles, _ = scratch.write(profiles.withColumn("fresh", F.lit(True)))
-    for _ in range(MOST_ROUNDS):
-        judged, n = _compared(profiles, kind, scratch)
-        edges = judged.where("fit = 2").select("a", "b")
-        if not n:
-            if kind != "person":
-                break
-            judged, _ = _compared(profiles, kind, scratch, everyone=True)
-            edges, _, n = scratch.write_counted(_weak_edges(judged))
-            if not n:
-                break
-        profiles, members = _merged(profiles, edges, n, members, scratch)
-    else:
-        raise RuntimeError("resolution: still merging after the last round")
-    return profiles, members
-
-
-def _join_scopeless(profiles: DataFrame, members: DataFrame, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """Profiles without a scope join the one profile of any scope that fits them best, and none where several do."""
-    loose = profiles.where("scope = ''")
-    everywhere = profiles.select("cid", F.lit("").alias("scope"), "forms", (F.col("scope") == "").alias("fresh"))
-    judged, _ = _compared(everywhere, "person", scratch)
-    s = profiles.select("cid", F.col("scope"))
-    ends = judged.select(F.col("a").alias("x"), F.col("b").alias("y"), "fit").unionByName(judged.select(F.col("b").alias("x"), F.col("a").alias("y"), "fit"))
-    ends = ends.join(loose.select(F.col("cid").alias("x")), "x", "left_semi").join(s.select(F.col("cid").alias("y"), F.col("scope").alias("sy")), "y")
-    scoped = ends.where("sy <> ''")
-    best = scoped.groupBy("x").agg(F.max("fit").alias("top"))
-    one, _ = scratch.write(scoped.join(best, "x").where("fit = top").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")))
-    edges = one.where("n = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    free = loose.select("cid").join(one.select(F.col("x").alias("cid")), "cid", "left_anti")
-    alone = judged.join(free.select(F.col("cid").alias("a")), "a", "left_semi").join(free.select(F.col("cid").alias("b")), "b", "left_semi")
-    edges = edges.unionByName(alone.where("fit = 2").select("a", "b")).unionByName(_weak_edges(alone))
-    edges, _, n = scratch.write_counted(edges)
-    return _merged(profiles, edges, n, members, scratch) if n else (profiles, members)
-
-
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        person = [spelling.person(v) for v in f["v"]]
-        body = [spelling.body(v) for v in f["v"]]
-        yield pd.DataFrame({"e": f["e"], "typed": f["typed"], "capital": [any(t[:1].isupper() for t in v.split()[-1:]) for v in f["v"]], "person": person, "body": body})
+def _parsed(lists: spelling.Lists):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            person = [spelling.person(v) for v in f["v"]]
+            body = [spelling.body(v, lists) for v in f["v"]]
+            yield pd.DataFrame({"e": f["e"], "typed": f["typed"], "capital": [any(t[:1].isupper() for t in v.split()[-1:]) for v in f["v"]], "person": person, "body": body})
+
+    return run
 
 
-def resolve(datoms: DataFrame, person: str = "person", body: str = "organisation") -> DataFrame:
+def resolve(datoms: DataFrame, person: str = "person", body: str = "organisation", lists: spelling.Lists = spelling.LISTS) -> DataFrame:
     """(e, cluster) of the persons and organisations among named entities; cluster is the same for one of them.
 
     An entity takes part when its class says so, or when it has none and is named
     like an organisation or like a person that matches a typed one. Entities
-    without a name that can be taken apart are clusters of their own. Rows with a
-    null e or v are not read; an empty table gives an empty one.
+    without a name that can be taken apart are clusters of their own. An entity that
+    is part of several institutes is compared in each. Rows with a null e or v are
+    not read; an empty table gives an empty one. ``lists``: familiar names and kinds
+    of bodies.
     """
     scratch = runtime.Scratch(datoms.sparkSession, "resolution")
     d = datoms.where("e is not null and v is not null and a in ('name', 'is_a', 'part_of')")
@@ -158,32 +274,34 @@ def resolve(datoms: DataFrame, person: str = "person", body: str = "organisation
     # person or organisation decides over other classes that an entity has besides
     typed = links.where("a = 'is_a'").join(classes, "o", "left").groupBy("e").agg(F.coalesce(F.min("c"), F.lit("other")).alias("typed"))
     named = names.join(typed, "e", "left").where(F.coalesce("typed", F.lit("")) != "other")
-    parsed, _ = scratch.write(named.mapInPandas(_parsed, "e string, typed string, capital boolean, person string, body string"))
+    parsed, _ = scratch.write(named.mapInPandas(_parsed(lists), "e string, typed string, capital boolean, person string, body string"))
     bodies = parsed.where((F.col("typed") == body) | (F.col("typed").isNull() & F.col("body").isNotNull()))
     bodies, _ = scratch.write(bodies.groupBy("e").agg(F.collect_set("body").alias("forms")))
-    start, members = _start(bodies, F.lit(""), scratch)
-    _, body_of = merge_and_rematch(start, members, "body", scratch)
-    body_of, _ = scratch.write(body_of)
-    houses = links.where("a = 'part_of'").join(body_of.select(F.col("e").alias("o"), "cid"), "o").groupBy("e").agg(F.min("cid").alias("scope"))
+    body_of, _ = scratch.write(_clustered(bodies.withColumn("scopes", F.array().cast("array<string>")), "body", scratch, lists))
+    houses = links.where("a = 'part_of'").join(body_of.select(F.col("e").alias("o"), "cid"), "o").groupBy("e").agg(F.array_sort(F.collect_set("cid")).alias("scopes"))
     people = parsed.where((F.col("typed") == person) | (F.col("typed").isNull() & F.col("body").isNull() & F.col("capital"))).join(bodies.select("e"), "e", "left_anti")
     people = people.groupBy("e").agg(F.collect_set("person").alias("forms"), F.max(F.col("typed").isNotNull()).alias("sure")).join(houses, "e", "left")
-    people, _ = scratch.write(people.withColumns({"sure": F.col("sure") | F.col("scope").isNotNull(), "scope": F.coalesce("scope", F.lit(""))}))
-    start, members = _start(people, F.col("scope"), scratch)
-    loose = start.where("scope = ''").withColumn("fresh", F.lit(True))
-    profiles, person_of = merge_and_rematch(start.where("scope <> ''"), members, "person", scratch)
-    profiles, person_of = _join_scopeless(profiles.unionByName(loose), person_of, scratch)
-    person_of, _ = scratch.write(person_of)
+    people, _ = scratch.write(people.withColumns({"sure": F.col("sure") | F.col("scopes").isNotNull(), "scopes": F.coalesce("scopes", F.array().cast("array<string>"))}))
+    person_of, _ = scratch.write(_clustered(people, "person", scratch, lists))
     sure = person_of.join(people.where("sure").select("e"), "e", "left_semi").select("cid").distinct()
     return body_of.unionByName(person_of.join(sure, "cid", "left_semi").select("e", "cid")).withColumnRenamed("cid", "cluster")
 
 
-def _start(entities: DataFrame, scope, scratch: runtime.Scratch) -> tuple[DataFrame, DataFrame]:
-    """First profiles: entities with the same smallest form in one scope are one, whatever their number."""
-    e = entities.select("e", scope.alias("scope"), "forms", F.array_min("forms").alias("form"))
-    first = e.where("form is not null").groupBy("scope", "form").agg(F.min("e").alias("cid"))
-    members, _ = scratch.write(e.join(first, ["scope", "form"], "left").select("e", "scope", "forms", F.coalesce("cid", "e").alias("cid")))
-    profiles = members.where(F.size("forms") > 0).groupBy("cid").agg(F.max("scope").alias("scope"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
-    return profiles, members.select("e", "cid")
+def _clustered(entities: DataFrame, kind: str, scratch: runtime.Scratch, lists: spelling.Lists) -> DataFrame:
+    """(e, cid) of entities (e, scopes, forms). At the start those with the same smallest form in the same scopes are one, whatever their number."""
+    e = entities.select("e", "scopes", F.array_sort("forms").alias("forms"))
+    by = [F.array_join("scopes", ",").alias("k"), F.array_min("forms").alias("form")]
+    first = e.where(F.size("forms") > 0).groupBy(*by).agg(F.min("e").alias("cid"))
+    members = e.withColumns({"k": by[0], "form": by[1]}).join(first, ["k", "form"], "left").select("e", "scopes", "forms", F.coalesce("cid", "e").alias("cid"))
+    members, _ = scratch.write(members)
+    gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    profiles = members.where(F.size("forms") > 0).groupBy("cid").agg(gathered("scopes").alias("scopes"), gathered("forms").alias("forms"))
+    if kind != "person":  # bodies have one scope, their kind, which the close houses carry
+        profiles = profiles.withColumn("scopes", F.array(F.lit("")))
+    near = vocabulary(profiles.select(F.explode("forms").alias("form")).distinct(), kind, scratch, lists)
+    matching = Matching(profiles, kind, near, scratch, lists)
+    matching.run()
+    return matching.clusters(members.select("e", "cid"))
 
 
 def pairs(clusters: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ _LETTERS = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "o
 _UMLAUT = re.compile(r"(?<=[aou])e")
 _TITLES = frozenset("dr prof professor mr mrs ms miss sir md phd jr sr herr frau".split())
 _PARTICLES = frozenset("von van de la der den del di da du le el zu o y".split())
-#: Familiar forms of given names that are no beginning of them.
+#: Familiar forms of given names that are no beginning of them, and words that name the kind of a body: the default of ``Lists``.
 NICKNAMES = {
     "abby": "abigail", "lili": "aurelie elizabeth", "toni": "antoinette", "tony": "anthony antoinette", "bill": "william", "billy": "william", "will": "william", "bob": "robert", "bobby": "robert",
     "rob": "robert", "charo": "rosario", "concha": "concepcion", "conchita": "concepcion", "dick": "richard", "rick": "richard", "rich": "richard", "ed": "edward", "ted": "edward theodore",
@@ -22,14 +22,28 @@ NICKNAMES = {
     "sandy": "alexander", "sascha": "alexander", "liz": "elizabeth", "lisa": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "gabi": "gabriele", "jurg": "jurgen", "sam": "samuel", "tom": "thomas", "tommy": "thomas",
     "fred": "frederick friedrich", "freddy": "frederick", "bart": "bartholomew", "ben": "benjamin", "phil": "philippe", "neli": "cornelia", "nele": "cornelia", "nelia": "cornelia", "corrie": "cornelia", "jim": "james", "jack": "john", "joe": "joseph jose",
 }
-_KINDS = {
+KINDS = {
     "institute": "institute institut inst", "centre": "centre center ctr cent", "foundation": "foundation found fdn fndn", "laboratory": "laboratory laboratories lab labs", "department": "department dept dep dpt",
     "society": "society soc", "academy": "academy acad", "hospital": "hospital hosp", "university": "university univ uni", "clinic": "clinic clin", "college": "college coll", "school": "school sch", "association": "association assoc assn",
 }
-_KIND_OF = {w: k for k, ws in _KINDS.items() for w in ws.split()}
 _LEGAL = frozenset("ltd gmbh inc llc ag plc co corp ev sa".split())
 #: Longer words are cut into pieces for their keys, as they have too many forms that lack two letters.
 LONG = 30
+
+
+class Lists:
+    """The word lists that names are read with; an installation brings its own for its languages."""
+
+    def __init__(self, nicknames: dict[str, str] | None = None, kinds: dict[str, str] | None = None):
+        self.nicknames = {k: tuple(v.split()) for k, v in (NICKNAMES if nicknames is None else nicknames).items()}
+        self.kinds = KINDS if kinds is None else kinds
+        self.kind_of = {w: k for k, ws in self.kinds.items() for w in ws.split()}
+
+    def of(self, given: str) -> tuple[str, ...]:
+        return self.nicknames.get(given, ())
+
+
+LISTS = Lists()
 _CONNECT = frozenset(("for", "of", "f", "-", "fur", "de", "pour", "–"))
 
 
@@ -103,37 +117,46 @@ def _alike(a: str, b: str) -> bool:
     return (len(a) >= 3 and b.startswith(a)) or (len(b) >= 3 and a.startswith(b))
 
 
-def same_given(a: str, b: str) -> bool:
+def same_given(a: str, b: str, lists: Lists = LISTS) -> bool:
     """Two full given names: equal, mistyped, the beginning of one another, or familiar forms of one name."""
-    return any(_alike(x, y) for x in (a, *NICKNAMES.get(a, "").split()) for y in (b, *NICKNAMES.get(b, "").split()))
+    return any(_alike(x, y) for x in (a, *lists.of(a)) for y in (b, *lists.of(b)))
 
 
-def same_person(f: str, g: str) -> int:
+def fits(a: str, b: str, lists: Lists = LISTS) -> bool:
+    """Two first given names, of which either may be an initial."""
+    if len(a) > 1 and len(b) > 1:
+        return same_given(a, b, lists)
+    full, initial = (a, b) if len(a) > 1 else (b, a)
+    return full[0] == initial[0] or any(n[0] == initial[0] for n in lists.of(full))
+
+
+def same_person(f: str, g: str, lists: Lists = LISTS) -> int:
     """2: one person; 1: may be, as one side has only an initial; 0: not by these spellings; -1: no."""
+    if f == g:
+        return 2
     (s, a), (t, b) = ((x.partition("|")[0], x.partition("|")[2].split()) for x in (f, g))
     if not close(s, t):
         return 0
-    full = len(a[0]) > 1 and len(b[0]) > 1
-    if not (same_given(a[0], b[0]) if full else a[0][0] == b[0][0] or any(n[0] == (a if len(b[0]) > 1 else b)[0][0] for n in NICKNAMES.get(b[0] if len(b[0]) > 1 else a[0], "").split())):
+    if not fits(a[0], b[0], lists):
         return -1
     if len(a) > 1 and len(b) > 1:
         x, y = a[1], b[1]
-        if x[0] != y[0] if min(len(x), len(y)) == 1 else not same_given(x, y):
+        if x[0] != y[0] if min(len(x), len(y)) == 1 else not same_given(x, y, lists):
             return -1
-    return 2 if full else 1
+    return 2 if len(a[0]) > 1 and len(b[0]) > 1 else 1
 
 
-def kind_of(token: str) -> str | None:
-    if token in _KIND_OF:
-        return _KIND_OF[token]
+def kind_of(token: str, lists: Lists = LISTS) -> str | None:
+    if token in lists.kind_of:
+        return lists.kind_of[token]
     if len(token) >= 6:
-        for k in _KINDS:
+        for k in lists.kinds:
             if distance(token, k, 1) <= 1:
                 return k
     return None
 
 
-def body(name: str) -> str | None:
+def body(name: str, lists: Lists = LISTS) -> str | None:
     """``house|kind|field words|acronym`` of an organisation's name, or null where no kind of body is named."""
     text = fold(name or "")
     acronym = "".join(re.findall(r"\(\s*([a-z]{2,8})\s*\)\s*$", text))
@@ -143,13 +166,13 @@ def body(name: str) -> str | None:
     if not parts:
         return None
     tokens = parts[0]
-    at = next((i for i, t in enumerate(tokens) if kind_of(t)), None)
+    at = next((i for i, t in enumerate(tokens) if kind_of(t, lists)), None)
     if at is None:
         return None
-    kinds = [kind_of(tokens[at])]
+    kinds = [kind_of(tokens[at], lists)]
     end = at + 1
-    while end < len(tokens) and kind_of(tokens[end]):
-        kinds.append(kind_of(tokens[end]))
+    while end < len(tokens) and kind_of(tokens[end], lists):
+        kinds.append(kind_of(tokens[end], lists))
         end += 1
     kind = "hospital" if "hospital" in kinds else kinds[0]
     before, after = tokens[:at], tokens[end:]
@@ -226,3 +249,22 @@ def keys(word: str) -> list[str]:
         if len(form) > LONG - 2:
             out |= _pieces(form)
     return list(out)
+
+
+def given_keys(name: str, lists: Lists = LISTS) -> tuple[list[str], list[str]]:
+    """(own, all) keys of a full given name: where two ``same_given`` names meet, an own key of one is among all keys of the other.
+
+    All keys hold the beginnings, so that a name meets those that it begins.
+    """
+    own, every = set(), set()
+    for x in (name, *lists.of(name)):
+        near = set(keys(x)) | (_deletions(x, 1) if 2 < len(x) <= LONG else set())
+        begin = [f"^{x[:k]}" for k in range(3, min(len(x), LONG) + 1)] + [f"^{x[:LONG]}+"] * (len(x) > LONG)
+        own |= near | {f"^{x}" if len(x) <= LONG else begin[-1]}
+        every |= near | set(begin)
+    return list(own), list(every)
+
+
+def initials(name: str, lists: Lists = LISTS) -> list[str]:
+    """The initials that a given name is written with."""
+    return sorted({x[0] for x in (name, *lists.of(name))})

@@ -72,3 +72,47 @@ def test_close_words_share_a_key(size):
             i = rng.randrange(len(other))
             other = rng.choice([other[:i] + other[i + 1 :], other[:i] + letter() + other[i:], other[:i] + letter() + other[i + 1 :], other[:i] + other[i + 1 : i + 2] + other[i : i + 1] + other[i + 2 :]])
         assert not spelling.close(word, other) or set(spelling.keys(word)) & set(spelling.keys(other))
+
+
+def test_fitting_given_names_share_a_key():
+    rng, lists = random.Random(2), spelling.LISTS
+    names = [*spelling.NICKNAMES, *{x for v in spelling.NICKNAMES.values() for x in v.split()}, "anna", "ann", "jo", "al", "maximilian", "max", "x" * 40, "x" * 35]
+    for _ in range(4000):
+        a, b = rng.choice(names), rng.choice(names)
+        if rng.random() < 0.6:
+            b = rng.choice([a, a[: rng.randrange(1, len(a) + 1)]])
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice([b, b[:i] + rng.choice("aeiou") + b[i:], b[:i] + b[i + 1 :]]) or a
+        if len(a) > 1 and len(b) > 1 and spelling.same_given(a, b):
+            (own, every), (own2, every2) = spelling.given_keys(a), spelling.given_keys(b)
+            assert set(own) & set(every2) or set(own2) & set(every), (a, b)
+        if len(b) == 1 and len(a) > 1:
+            assert spelling.fits(a, b) == (b in spelling.initials(a))
+
+
+def pairs_of(spark, people, bodies, **how):
+    return {tuple(r) for r in resolution.pairs(resolution.resolve(datoms(spark, people, bodies), **how)).collect()}
+
+
+BODIES = [("o1", "Mevarund Society for Sleep Research"), ("o2", "Tolupik Academy for Wound Care")]
+
+
+def test_an_entity_of_two_institutes_is_compared_in_each(spark):
+    people = [("p1", "Robert Daselund", True, "o1"), ("p1", "Robert Daselund", True, "o2"), ("p2", "Rob Daselund", True, "o2"), ("p3", "Bob Daselund", True, "o1"), ("p4", "Richard Daselund", True, "o2")]
+    assert pairs_of(spark, people, BODIES) == {("p1", "p2"), ("p1", "p3"), ("p2", "p3")}
+
+
+def test_initials_join_spellings_that_merge_without_an_institute(spark):
+    people = [("p1", "Robert Daselund", True, None), ("p2", "Rob Daselundd", True, None), ("p3", "Bob Daselund", True, None), ("p4", "R. Daselund", True, None)]
+    assert len(pairs_of(spark, people, BODIES)) == 6
+
+
+def test_a_shared_spelling_is_a_link(spark):
+    people = [("p1", "R. Daselund", True, "o1"), ("p1", "R. Dasclund", True, "o1"), ("p2", "R. Daselund", True, "o1"), ("p3", "Daselund, R.", True, "o2")]
+    assert pairs_of(spark, people, BODIES) == {("p1", "p2")}
+
+
+def test_word_lists_are_parameters(spark):
+    people = [("p1", "Quillon Daselund", True, "o1"), ("p2", "Xip Daselund", True, "o1")]
+    assert pairs_of(spark, people, BODIES) == set()
+    assert pairs_of(spark, people, BODIES, lists=spelling.Lists(nicknames={"xip": "quillon"})) == {("p1", "p2")}
