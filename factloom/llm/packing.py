@@ -137,3 +137,22 @@ def contexts(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY)
     """(doc_id, piece, tokens, context, filled): all texts of ``documents`` in contexts of ``capacity`` tokens."""
     packed = pack(token_counts(docs, path=path), "doc_id", "tokens", capacity)
     return packed.select("doc_id", "piece", F.col("size").alias("tokens"), F.col("bin").alias("context"), F.col("fill").alias("filled"))
+
+
+def checked(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, whole, fits) of every text: its pieces are there once and hold all of its tokens; it is cut only where it must be, and no context of its runs over."""
+    bins = packed.groupBy("context").agg(F.sum("tokens").alias("load"))
+    p = packed.join(bins, "context", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("k"), F.count_distinct("piece").alias("different"), F.max("piece").alias("last"), F.sum("tokens").alias("sum"), F.max("load").alias("load"), F.min(F.col("load") == F.col("filled")).alias("said")
+    )
+    whole = (F.col("k") == F.col("different")) & (F.col("last") == F.col("k") - 1) & (F.col("sum") == F.col("tokens"))
+    fits = (F.col("load") <= capacity) & F.col("said") & (F.col("k") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(capacity))))
+    no = F.lit(False)
+    return token_counts(docs, path=path).join(p, "doc_id", "left").select("doc_id", F.coalesce(whole, no).alias("whole"), F.coalesce(fits, no).alias("fits"))
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: (pieces, tokens, contexts, least, unused): contexts used, the fewest that any packing needs, and the share of their room left unused."""
+    bins = packed.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("load"))
+    one = bins.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("contexts"))
+    return one.select("pieces", "tokens", "contexts", F.ceil(F.col("tokens") / F.lit(capacity)).alias("least"), F.try_subtract(F.lit(1.0), F.try_divide(F.col("tokens"), F.col("contexts") * F.lit(capacity))).alias("unused"))

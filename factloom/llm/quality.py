@@ -76,7 +76,7 @@ def text_stats(docs: DataFrame, id: str = "doc_id", text: str = "text", only: tu
         "letters": F.length(F.regexp_replace("t", r"[^\p{L}]+", "")),
         "digits_n": F.length(F.regexp_replace("t", r"[^\p{Nd}]+", "")),
         "upper_n": F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")),
-        "odd_n": F.regexp_count("t", F.lit(r"\p{Ll}\p{Lu}|[,;!?]\p{L}|(?<=\p{Ll})\.\p{L}|\s[,;.!?]")),
+        "odd_n": F.regexp_count("t", F.lit(r"\p{Ll}\p{Lu}|[,;!?]\p{L}|\p{Ll}\.\p{L}|\s[,;.!?]")),
         "ends": F.regexp_count("t", F.lit(r"[.!?…](?:\s|$|[\"”»'’)])")),
         "different": F.size(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))),
         "long_n": F.length("t") - F.length(F.regexp_replace("t", r"\S{25,}", "")),

@@ -23,9 +23,9 @@ def _covered(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray) -> list[tuple[int, str, float]]:
+def _grow(x: np.ndarray, y: np.ndarray, conditions: int) -> list[tuple[int, str, float]]:
     rule: list = []
-    while len(y) and not y.all() and len(rule) < 6:
+    while len(y) and not y.all() and len(rule) < conditions:
         p0, n0 = y.sum(), len(y) - y.sum()
         if not p0:
             break
@@ -56,8 +56,11 @@ def _worth(x: np.ndarray, y: np.ndarray, rule: list) -> float:
     return (2 * hit.sum() - len(hit)) / len(hit) if len(hit) else -1.0
 
 
-def learn(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], seed: int = 7, most: int = 24) -> dict:
-    """A rule list for ``y`` (bool) from the columns of ``x``: {rules: [[column, op, threshold]...], then, else}."""
+def learn(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], seed: int = 7, most: int = 24, conditions: int = 6) -> dict:
+    """A rule list for ``y`` (bool) from the columns of ``x``: {rules: [[column, op, threshold]...], then, else}.
+
+    ``most`` rules of at most ``conditions`` conditions each: a longer list would fit its labels, not the corpus.
+    """
     rng, rules = np.random.default_rng(seed), []
     x, y = np.asarray(x, float), np.asarray(y, bool)
     failed = 0
@@ -66,14 +69,14 @@ def learn(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], seed: int = 7, m
         for value in (True, False):
             own = rng.permutation(np.flatnonzero(y == value))
             part[own[: (2 * len(own) + 2) // 3]] = True
-        rule = _grow(x[part], y[part])
+        rule = _grow(x[part], y[part], conditions)
         if not rule:
             failed += 1
             continue
         px, py = x[~part], y[~part]
         while len(rule) > 1 and _worth(px, py, rule[:-1]) >= _worth(px, py, rule):
             rule = rule[:-1]
-        if _worth(px, py, rule) < KEPT and _worth(x, y, rule) < KEPT:
+        if _worth(px, py, rule) < KEPT:
             failed += 1
             continue
         failed = 0
