@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -108,3 +109,12 @@ def canonical(s: Column) -> Column:
 def canonical_native(s: Column) -> Column:
     """The same for texts without control characters, in the engine: a variant holds its keys sorted."""
     return F.to_json(F.try_parse_json(s))
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def digest(o) -> str:
+    """The hash of a Python value's canonical JSON."""
+    return sha(canon(o))

@@ -11,6 +11,8 @@ STOP = (
     "from", "about", "into", "can", "its", "has", "have", "why", "when", "where", "there", "their", "any", "not",
 )
 QUOTE_CHARS = 200
+#: What ids begin with.
+ID_PREFIXES = ("dir", "src", "sample", "e", "d", "k")
 
 
 def trimmed(c: Column) -> Column:
@@ -49,7 +51,7 @@ def counted(n: Column, one: str, many: str) -> Column:
 
 def short_id(c: Column, n: int = 10) -> Column:
     """An id without its prefix, shortened."""
-    return F.substring(F.regexp_replace(c, "^[a-z]+:", ""), 1, n)
+    return F.substring(F.regexp_replace(c, f"^({'|'.join(ID_PREFIXES)}):", ""), 1, n)
 
 
 def split_thinking(c: Column) -> tuple[Column, Column]:
@@ -64,6 +66,10 @@ def citations(c: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """A number of bytes for people."""
-    g, m, k = (n / F.lit(float(1 << s)) for s in (30, 20, 10))
-    return F.when(n >= 1 << 30, F.format_string("%.2f GB", g)).when(n >= 1 << 20, F.format_string("%.1f MB", m)).when(n >= 1 << 10, F.format_string("%.0f KB", k)).otherwise(F.format_string("%d B", n))
+    """A number of bytes for people: GB with two decimals, MB without, else bytes."""
+    return F.when(n >= 10**9, F.format_string("%.2f GB", n / F.lit(1e9))).when(n >= 10**6, F.format_string("%.0f MB", n / F.lit(1e6))).otherwise(F.format_string("%d B", F.greatest(n, F.lit(0))))
+
+
+def count_text(n: Column) -> Column:
+    """A number of parameters for people."""
+    return F.when(n >= 10**9, F.format_string("%.2fB", n / F.lit(1e9))).otherwise(F.format_string("%.0fM", n / F.lit(1e6)))

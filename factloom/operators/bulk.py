@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 MAX_FAILS_IN_A_ROW, KEEP_ERRORS = 3, 20
 
 
-def queue(places: DataFrame, done: DataFrame, skip_extracted: bool = True) -> DataFrame:
-    """Sources to read: all that are recorded, without those extracted from exactly their present content."""
-    return places.join(done.select("portal", "source"), ["portal", "source"], "left_anti") if skip_extracted else places
+def queue(listed: DataFrame, done: DataFrame, by: list[str], skip_extracted: bool = True) -> DataFrame:
+    """Sources to read: all that are listed, without those whose present content (the columns ``by``) has a result."""
+    return listed.join(done.select(*by), by, "left_anti") if skip_extracted else listed
 
 
 def totals(steps: DataFrame) -> DataFrame:
@@ -37,3 +37,20 @@ def pauses(steps: DataFrame, run: str, order: str, most: int = MAX_FAILS_IN_A_RO
 def progress(next_: int, passage: int, passages: int, total: int) -> float:
     """The share of a run that is done, at most 1."""
     return min(1.0, (next_ + (passage / passages if passages else 0)) / total) if total else 0.0
+
+
+def next_source(listed: DataFrame, done: DataFrame, order: str, turn: int = 0) -> DataFrame:
+    """The source to read next: the first (by ``order``) without a result, else in turn the one at place ``turn`` of all."""
+    left = listed.join(done.select("id").distinct(), "id", "left_anti")
+    first = left.orderBy(order).limit(1)
+    n = listed.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+    place = F.row_number().over(Window.orderBy(order)) - 1
+    again = listed.orderBy(order).limit(turn + 1).withColumn("_k", place).join(F.broadcast(n)).where(F.col("_k") == F.pmod(F.lit(turn), F.col("_n"))).drop("_k", "_n")
+    none_left = left.agg(F.count(F.lit(1)).alias("_left")).where("_left = 0").select(F.lit(1).alias("_none"))
+    return first.unionByName(again.join(F.broadcast(none_left)).drop("_none"))
+
+
+def done_count(listed: DataFrame, done: DataFrame) -> DataFrame:
+    """One row: sources listed, and those of them with a result for their present content."""
+    d = done.select("id").distinct().withColumn("_d", F.lit(True))
+    return listed.join(d, "id", "left").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("_d")).alias("done"))

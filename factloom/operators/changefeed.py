@@ -22,8 +22,9 @@ SALT = 64
 
 def _states(changes: DataFrame, key: str, by: list[str], columns: list[str]) -> DataFrame:
     """One row of registers for each group of ``by``: ``_del``, ``_set``, and ``_r_<column>`` = (seq, value)."""
-    parts = changes.repartition(*by).sortWithinPartitions(*by, "_seq")
-    w = Window.partitionBy(*by).orderBy("_seq")
+    order = ["_seq", "_op", *(F.desc(c) for c in columns)]  # of changes with one sequence the first counts, whatever the order of arrival
+    parts = changes.repartition(*by).sortWithinPartitions(*by, *order)
+    w = Window.partitionBy(*by).orderBy(*order)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fresh = F.coalesce(F.lag("_seq").over(w) != F.col("_seq"), F.lit(True))
     sets, deletes = F.col("_op") == SET, F.col("_op") == DELETE
@@ -41,7 +42,7 @@ def _states(changes: DataFrame, key: str, by: list[str], columns: list[str]) ->
 def merge_states(states: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Registers of parts of a key into one: the later one of each holds. Associative and idempotent."""
     return states.groupBy(key).agg(
-        F.max("_del").alias("_del"), F.max("_set").alias("_set"), *(F.max_by(f"_r_{c}", f"_r_{c}.seq").alias(f"_r_{c}") for c in columns)
+        F.max("_del").alias("_del"), F.max("_set").alias("_set"), *(F.max(f"_r_{c}").alias(f"_r_{c}") for c in columns)
     )
 
 
@@ -71,8 +72,8 @@ def replay_changes(changes: DataFrame, key: str, sequence: list[Column | str], o
     """The current rows of a table, from its change feed in any order and with repetitions.
 
     ``sequence`` orders a key's changes (strings by bytes, nulls first); two
-    changes of a key with one sequence are one change, of which the state takes
-    the first met. ``op`` is ``set`` (insert or partial update: a null column is
+    changes of a key with one sequence are one change: a delete before a set, then the
+    set with the largest values. Values are of types that can be ordered. ``op`` is ``set`` (insert or partial update: a null column is
     left as it was) or ``delete`` (removes the row and all its columns). Rows
     with a null key or another ``op`` are no changes. An empty feed gives an
     empty table. Only the named columns are read, so other columns of the feed
@@ -102,3 +103,13 @@ def fact_changes(tx: DataFrame) -> DataFrame:
 def settled_keys(tx: DataFrame) -> DataFrame:
     """Fact keys that are settled now, each with the promote that set its present version."""
     return replay_changes(fact_changes(tx), "fact_key", ["wall", "counter", "portal", "id"], "op", ["tx_id"])
+
+
+def settled_decisions(tx: DataFrame) -> DataFrame:
+    """(fact_key, tx_id, support, rule): settled keys with what the promotes since their last retraction say, column by column.
+
+    A promote that leaves support or rule out changes only the columns it has.
+    """
+    said = tx.where("kind = 'promote' and id is not null").select(F.col("id").alias("tx_id"), F.get_json_object("payload", "$.decision.support").cast("bigint").alias("support"), F.get_json_object("payload", "$.decision.rule").alias("rule"))
+    changes = fact_changes(tx).join(said.distinct(), "tx_id", "left")
+    return replay_changes(changes, "fact_key", ["wall", "counter", "portal", "id"], "op", ["tx_id", "support", "rule"])

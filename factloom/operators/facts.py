@@ -151,13 +151,6 @@ def gate(evidence: DataFrame, promoted: DataFrame, approved: DataFrame, retracte
     return g.select("key", "rep", "support", F.when(F.col("said") & (F.col("support") < k), "approved").otherwise("auto").alias("rule"))
 
 
-def promotions(gated: DataFrame, facts: DataFrame, tip: Column) -> DataFrame:
-    """The culture rows that the gate writes: copies of the representatives with their support and origin."""
-    f = facts.select(F.col("id").alias("rep"), "e", "a", "v", "ctx", "nu", "vf", "vt", "quote", F.col("tx").alias("origin_tx"))
-    new_id = F.concat(F.lit("d:"), F.substring(canon.h(canon.array(F.lit('"promote"'), canon.text(F.col("rep")), canon.text(tip))), 1, 24))
-    return gated.join(f, "rep").select(new_id.alias("id"), "e", "a", "v", "ctx", "nu", "vf", "vt", "quote", F.col("rep").alias("origin"), "origin_tx", "support", "key", "rule")
-
-
 def held(evidence: DataFrame, promoted: DataFrame, approved: DataFrame, k: int = GATE_K) -> DataFrame:
     """(key, id, support, approved): facts other than names that wait for more sources; id is the first in fact order."""
     g = groups(evidence.where("a <> 'name'")).where(F.col("support") < k).join(promoted.select("key").distinct(), "key", "left_anti")

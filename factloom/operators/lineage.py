@@ -1,13 +1,15 @@
 """Paths and descendants of hierarchies, over the partition-local forests that ``hierarchy`` compresses.
 
-Paths are kept as segments, and spelled out by ``all_paths``: in a chain of n nodes
-all paths together hold n * n / 2 ids, for which the segments are the way out. A segment is the part of a tree that one partition
-holds below one top; ``above`` is the node that it hangs from. From a node, the
-path runs through its segment up to the top, then on from ``above``.
+Paths are kept as segments (``path_index``). A segment is the part of a tree that one
+partition holds below one top; ``above`` is the node that it hangs from. From a node,
+the path runs through its segment up to the top, then on from ``above``. ``all_paths``
+spells every path, which in a chain of n nodes is n * n / 2 ids; ``paths`` spells
+those asked for, climbing segment by segment.
 
 Descendants are counted bottom-up: sizes within segments, then the sizes of whole
 segments up the tree of segments, which is the same problem on fewer nodes, then
-within segments again with what hangs from each node.
+within segments again with what hangs from each node. ``intervals`` numbers the nodes
+so that the descendants of each are one range of numbers: all of them, in linear space.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import runtime
@@ -123,40 +125,41 @@ def path_index(nodes: DataFrame, id: str, parent: str, near: list[str], per_task
 
 
 def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, parent, place) of whole segments -> (id, path): the ids from the top of the segment down to each."""
-    up, place = {}, {}
+    """(id, parent, place, wanted) of whole segments -> (id, path): the ids from the top of the segment down to each wanted node."""
+    up, place, wanted = {}, {}, []
     for b in batches:
-        for i, p, w in zip(*(c.to_pylist() for c in b.columns)):
+        for i, p, w, k in zip(*(c.to_pylist() for c in b.columns)):
             up[i], place[i] = p, w
+            if k:
+                wanted.append(i)
     kind = pa.list_(pa.string())
     ids, out, held = [], [], 0
-    for i, w in place.items():
+    for i in wanted:
         path = [i]
-        while len(path) < w:
+        while len(path) < place[i]:
             path.append(up[path[-1]])
         ids.append(i)
         out.append(path[::-1])
-        held += w
+        held += len(path)
         if held >= 200_000:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, kind)], names=["id", "path"])
             ids, out, held = [], [], 0
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, kind)], names=["id", "path"])
 
 
-def all_paths(index: DataFrame) -> DataFrame:
-    """(id, path): the ids from the root down to every node of a path index; nodes in and below circles have none.
-
-    Paths are spelled within segments, then those of the nodes that segments hang
-    from are joined by doubling up the tree of segments. The output has as many ids
-    as all depths together, which is n * n / 2 for one chain.
-    """
-    scratch = runtime.Scratch(index.sparkSession, "paths")
-    idx, _ = scratch.write(index.where("place > 0"))
-    width = runtime.shuffle_partitions(index.sparkSession)
-    local = idx.select("id", "parent", "place", "segment").repartition(width, "segment").select("id", "parent", "place")
+def _spelled(idx: DataFrame, wanted: DataFrame | None, scratch: runtime.Scratch) -> DataFrame:
+    """(id, path) of the wanted nodes (None: of all) of an index without circles, which holds all segments above theirs."""
+    hang = idx.where("place = 1 and above is not null").select("segment", "above")
+    if wanted is None:
+        marked, own = idx.withColumn("wanted", F.lit(True)), idx.select("id", "segment")
+    else:
+        own = idx.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "segment")
+        needed = own.select("id").unionByName(hang.select(F.col("above").alias("id"))).distinct().withColumn("wanted", F.lit(True))
+        marked = idx.join(needed, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    width = runtime.shuffle_partitions(idx.sparkSession)
+    local = marked.select("id", "parent", "place", "wanted", "segment").repartition(width, "segment").select("id", "parent", "place", "wanted")
     local, _ = scratch.write(local.mapInArrow(_local_paths, "id string, path array<string>"))
     none = F.array().cast("array<string>")
-    hang = idx.where("place = 1 and above is not null").select("segment", "above")
     over = idx.select(F.col("id").alias("above"), F.col("segment").alias("up")).join(local.select(F.col("id").alias("above"), "path"), "above")
     cur, _, n = scratch.write_counted(hang.join(over, "above").select("segment", "up", "path"))
     for _ in range(math.ceil(math.log2(max(2, n))) + 2):
@@ -167,25 +170,70 @@ def all_paths(index: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("paths: segments hang from one another without end")
     head = cur.select("segment", F.col("path").alias("head"))
-    return local.join(idx.select("id", "segment"), "id").join(head, "segment", "left").select("id", F.concat(F.coalesce("head", none), "path").alias("path"))
+    return local.join(own, "id").join(head, "segment", "left").select("id", F.concat(F.coalesce("head", none), "path").alias("path"))
 
 
-def paths(index: DataFrame, wanted: DataFrame, most: int = 100_000) -> DataFrame:
-    """(id, path): the ids from the root down to each wanted node, by traversal of the index, a step of all at once.
+def all_paths(index: DataFrame) -> DataFrame:
+    """(id, path): the ids from the root down to every node of a path index; nodes in and below circles have none.
 
-    For a set of nodes that is asked for; the paths of all nodes of a deep tree would be longer than any disk.
+    Paths are spelled within segments, then those of the nodes that segments hang
+    from are joined by doubling up the tree of segments. The output has as many ids
+    as all depths together, which is n * n / 2 for one chain.
+    """
+    scratch = runtime.Scratch(index.sparkSession, "paths")
+    return _spelled(scratch.write(index.where("place > 0"))[0], None, scratch)
+
+
+def paths(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, path): the ids from the root down to each wanted node (id); those in or below circles, or unknown, have none.
+
+    The segments above are found one by one, all nodes at once, so a path takes as
+    many steps as it crosses partitions.
     """
-    up = index.where("place > 0").select(F.col("id").alias("at"), "parent")
     scratch = runtime.Scratch(index.sparkSession, "paths")
-    cur, _, n = scratch.write_counted(wanted.select(F.col("id"), F.col("id").alias("at"), F.array("id").alias("path")).join(up, "at", "left_semi"))
-    done = cur.where("false").select("id", "path")
-    for _ in range(most):
-        if n == 0:
+    idx, _ = scratch.write(index.where("place > 0"))
+    hang = idx.where("place = 1 and above is not null").select("segment", "above").join(idx.select(F.col("id").alias("above"), F.col("segment").alias("up")), "above").select("segment", "up")
+    hang, _, segments = scratch.write_counted(hang)
+    frontier, _, n = scratch.write_counted(idx.join(wanted.select("id").distinct(), "id", "left_semi").select("segment").distinct())
+    seen = frontier
+    for _ in range(segments + 1):
+        if not n:
             break
-        step = cur.join(up, "at")
-        known = step.join(up.select(F.col("at").alias("parent")), "parent", "left_semi")
-        done, _ = scratch.write(done.unionByName(step.join(up.select(F.col("at").alias("parent")), "parent", "left_anti").select("id", "path")))
-        cur, _, n = scratch.write_counted(known.select("id", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")))
-    if n:
-        raise RuntimeError(f"paths: {n} nodes have no root within {most} steps")
-    return done
+        frontier, _, n = scratch.write_counted(hang.join(frontier, "segment").select(F.col("up").alias("segment")).distinct().join(seen, "segment", "left_anti"))
+        seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError("paths: segments hang from one another without end")
+    own, _ = scratch.write(idx.join(seen, "segment", "left_semi"))
+    return _spelled(own, wanted, scratch)
+
+
+def intervals(nodes: DataFrame, id: str, parent: str, near: list[str], per_task: int = PER_TASK, spread: int | None = None) -> DataFrame:
+    """(id, root, first, last): numbers from 1 in each tree, such that the descendants of a node are the nodes of its root with first < number <= last.
+
+    A node's number is ``first``; children follow their parent in the order of their
+    ids. Nodes in and below circles have none: root is the smallest id on the circle,
+    first and last are null. The rules of ``hierarchy`` for nulls, repeated ids and
+    missing parents hold.
+    """
+    links, marks, rows, parts = parent_links(nodes, id, parent, near, per_task, spread)
+    scratch = runtime.Scratch(nodes.sparkSession, "intervals")
+    links, _ = scratch.write(links)
+    order = [*marks, "id"]
+    size = _totals(links.withColumn("weight", F.lit(1).cast("bigint")), order, rows, parts, scratch, per_task).select("id", F.col("total").alias("size"))
+    own = links.join(size, "id").withColumn("up", F.col("parent"))
+    # sums over the siblings before, in ranges of siblings, so that one task does not take all children of a node
+    width = max(parts, runtime.shuffle_partitions(nodes.sparkSession))
+    cut, _ = scratch.write(own.repartitionByRange(width, "up", "id").withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("up", "range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut.groupBy("up", "range").agg(F.sum("size").alias("sum")).withColumn("earlier", F.sum("sum").over(Window.partitionBy("up").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.where("up is not null").select("up", "range", "earlier")
+    offset = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.coalesce("earlier", F.lit(0))
+    placed = cut.join(F.broadcast(ranges) if rows <= per_task else ranges, ["up", "range"], "left")
+    known = links.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
+    placed = placed.withColumn("offset", offset).join(known, "up", "left")
+    weighted = placed.select("id", "parent", F.when(F.col("inner") & F.col("size").isNotNull(), 1 + F.col("offset")).otherwise(1).cast("bigint").alias("w"), "least", "top", *marks, "size")
+    weighted, _ = scratch.write(weighted)
+    first = _solve(weighted.drop("size"), order, rows, parts, scratch, per_task)
+    done = first.join(weighted.select("id", "size"), "id")
+    good = F.col("depth") > 0
+    return done.select("id", "root", F.when(good, F.col("depth")).alias("first"), F.when(good, F.col("depth") + F.col("size") - 1).alias("last"))

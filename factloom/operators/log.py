@@ -290,12 +290,16 @@ def page(tx: DataFrame, offset: int, limit: int) -> DataFrame:
     return top.withColumn("k", n).where(F.col("k") > offset).join(F.broadcast(total)).select((F.col("total") - F.col("k") + 1).alias("n"), "id", "kind", "portal", "tier", "wall", "directive")
 
 
+def headers(tx: DataFrame) -> DataFrame:
+    """(id, header, sig) without payloads, the header as canonical JSON: what a fork proof shows."""
+    return once(tx).select("id", header_json().alias("header"), "sig")
+
+
+def row_json() -> Column:
+    """A whole transaction in canonical JSON; a payload that is no JSON is null."""
+    return canon.obj(header=header_json(), id=canon.text(F.col("id")), payload=F.coalesce(canon.canonical(F.col("payload")), F.lit("null")), sig=canon.text(F.col("sig")))
+
+
 def append(log: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of ``new`` that the log does not hold, each once: an upsert that ignores what is there."""
     return once(new).join(log.select("id"), "id", "left_anti")
-
-
-def make(rows: DataFrame) -> DataFrame:
-    """Header hash and id of new rows (portal, prev, hlc, kind, tier, payload, signer, header fields)."""
-    d = rows.withColumn("payload_hash", canon.h(canon.canonical_native(F.col("payload"))))
-    return d.withColumn("id", canon.h(header_json()))

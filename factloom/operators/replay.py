@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.log import CLOSING_KINDS, of_kind, once, replay_key, wall
+from factloom.operators.log import CLOSING_KINDS, OPEN_LIMIT, of_kind, once, replay_key, wall
 
 DEFAULT_TOOLS = {("ingest", 1): ["read_source"]}
 
@@ -134,8 +134,15 @@ def expiries(open_directives: DataFrame, portal: str, now: int) -> DataFrame:
     return due.select(F.lit("expire").alias("kind"), F.lit("system").alias("tier"), "portal", "directive", F.to_json(F.struct("directive")).alias("payload"))
 
 
-def issuable(places: DataFrame, open_directives: DataFrame, frozen: DataFrame, paused: DataFrame, limit: int = 8) -> DataFrame:
-    """(portal, source) for which a directive may be issued now: portal not frozen, nothing paused, fewer than ``limit`` open."""
+def named_sources(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``name``, the display name of ``source``, or itself where it has none."""
+    return rows.join(names.select("source", F.col("name").alias("_name")), "source", "left").withColumn("name", F.coalesce("_name", "source")).drop("_name")
+
+
+def issuable(places: DataFrame, open_directives: DataFrame, frozen: DataFrame, paused: DataFrame, limit: int = OPEN_LIMIT) -> DataFrame:
+    """(portal, source, refused): why no directive may be issued for a source now; null where one may."""
     load = open_directives.groupBy("portal").agg(F.count(F.lit(1)).alias("open"))
-    p = places.join(frozen.select("portal").distinct(), "portal", "left_anti").join(load, "portal", "left").where(F.coalesce("open", F.lit(0)) < limit)
-    return p.join(F.broadcast(paused.where("not paused"))).select("portal", "source")
+    cut = frozen.select("portal").distinct().withColumn("frozen", F.lit(True))
+    p = places.join(cut, "portal", "left").join(load, "portal", "left").join(F.broadcast(paused))
+    why = F.when(F.col("frozen"), "frozen: this portal's chain forked; the steward must re-key it").when(F.col("paused"), "paused by the steward")
+    return p.select("portal", "source", why.when(F.coalesce("open", F.lit(0)) >= limit, "open directive limit reached; expire stale directives first").alias("refused"))

@@ -350,10 +350,12 @@ def results(spark, d):
     return r.select("id", "directive", "source", "wall", "accepted", F.size("rejected").cast("bigint").alias("refused"))
 
 
-@query(f"WITH {_T} SELECT id, directive, wall FROM t WHERE kind = 'assert' ORDER BY rk DESC LIMIT 20")
+@query(f"""WITH {_T}, nm AS (SELECT source, arg_max(json_extract_string(payload, '$.names."' || source || '"'), rk) AS name FROM (SELECT rk, payload, unnest(json_keys(payload, '$.names')) AS source FROM t WHERE kind = 'map') GROUP BY 1)
+SELECT id, directive, coalesce(nm.name, t.source) AS name, wall FROM t LEFT JOIN nm ON nm.source = t.source WHERE kind = 'assert' ORDER BY rk DESC LIMIT 20""")
 def results_recent(spark, d):
-    r = log.once(log.of_kind(_tx(spark, d), "assert"), "directive", "hlc", "portal").select("id", "directive", log.wall().alias("wall"), log.replay_key().alias("at"))
-    return r.orderBy(F.desc("at")).limit(20).drop("at")
+    t = _tx(spark, d)
+    r = log.once(log.of_kind(t, "assert"), "directive", "source", "hlc", "portal").select("id", "directive", "source", log.wall().alias("wall"), log.replay_key().alias("at"))
+    return replay.named_sources(r.orderBy(F.desc("at")).limit(20), replay.place_names(t)).select("id", "directive", "name", "wall")
 
 
 @query(f"WITH {_T} SELECT reason, count(*) AS n FROM (SELECT unnest(from_json(json_extract(payload, '$.rejected'), '[{{\"reason\":\"VARCHAR\"}}]')).reason AS reason FROM t WHERE kind = 'assert') GROUP BY reason")
@@ -373,17 +375,64 @@ def extracted_sources(spark, d):
     return replay.extracted(replay.places(t), done)
 
 
-@query(f"WITH {_T}, {_PL} SELECT portal, source, hash FROM pl WHERE NOT EXISTS (SELECT 1 FROM t WHERE kind = 'assert' AND t.source = pl.source AND t.source_hash[1:24] = pl.hash)")
+def _listed(spark, d) -> DataFrame:
+    """(id, name, hash) of sources and documents, the hash cut as the maps of these tables have it."""
+    s = table(spark, d, "sources").select(F.col("source_id").alias("id"), F.coalesce("name", "source_id").alias("name"), "hash").distinct()
+    docs = texts.listing(texts.table_texts(table(spark, d, "documents"), "doc_id", "name", "text")).withColumn("id", F.concat(F.lit("doc:"), "id"))
+    return s.unionByName(docs).withColumn("hash", F.substring("hash", 1, STORED_HASH))
+
+
+_LISTED = "ls AS (SELECT DISTINCT source_id AS id, coalesce(name, source_id) AS name, hash[1:24] AS hash FROM sources UNION ALL SELECT 'doc:' || doc_id, name, sha256(text)[1:24] FROM documents)"
+_DONE = "dn AS (SELECT DISTINCT source, source_hash[1:24] AS hash FROM t WHERE kind = 'assert')"
+
+
+def _done(spark, d) -> DataFrame:
+    return log.of_kind(_tx(spark, d), "assert").select(F.col("source").alias("id"), F.substring("source_hash", 1, STORED_HASH).alias("hash")).distinct()
+
+
+@query(f"WITH {_T}, {_LISTED}, {_DONE} SELECT id, name FROM ls WHERE NOT EXISTS (SELECT 1 FROM dn WHERE dn.source = ls.id AND dn.hash = ls.hash)")
 def bulk_queue(spark, d):
-    return bulk.queue(replay.places(_tx(spark, d)), extracted_sources(spark, d))
+    """Listed sources and documents without a result for what they hold now."""
+    return bulk.queue(_listed(spark, d), _done(spark, d), ["id", "hash"]).select("id", "name")
+
+
+@query(f"WITH {_T}, {_LISTED}, {_DONE} SELECT id, name FROM ls WHERE id NOT IN (SELECT source FROM dn WHERE source IS NOT NULL) ORDER BY id LIMIT 1")
+def next_source(spark, d):
+    return bulk.next_source(_listed(spark, d), _done(spark, d), "id").select("id", "name")
+
+
+@query(f"WITH {_T}, {_LISTED}, {_DONE} SELECT count(*) AS listed, count(*) FILTER (id IN (SELECT source FROM dn WHERE source IS NOT NULL)) AS done FROM ls")
+def done_count(spark, d):
+    return bulk.done_count(_listed(spark, d), _done(spark, d))
 
 
-@query(f"WITH {_T}, {_PL}, {_D}, fz AS (SELECT DISTINCT portal FROM (SELECT portal, prev, signer FROM t GROUP BY ALL HAVING count(*) > 1)), o AS (SELECT portal, count(*) AS n FROM od GROUP BY 1) SELECT pl.portal, source FROM pl LEFT JOIN o USING (portal) WHERE portal NOT IN (SELECT portal FROM fz) AND coalesce(n, 0) < 8 AND NOT (SELECT coalesce(arg_max(kind, rk) = 'pause', false) FROM t WHERE kind IN ('pause', 'resume'))")
+_FROZEN = "fz AS (SELECT DISTINCT portal FROM (SELECT portal, prev, signer FROM t GROUP BY ALL HAVING count(*) > 1))"
+_PAUSED = "(SELECT coalesce(arg_max(kind, rk) = 'pause', false) FROM t WHERE kind IN ('pause', 'resume'))"
+
+
+@query(f"""WITH {_T}, {_PL}, {_D}, {_FROZEN}, o AS (SELECT portal, count(*) AS n FROM od GROUP BY 1) SELECT pl.portal, source, CASE WHEN portal IN (SELECT portal FROM fz) THEN 'frozen: this portal''s chain forked; the steward must re-key it'
+WHEN {_PAUSED} THEN 'paused by the steward' WHEN coalesce(n, 0) >= 8 THEN 'open directive limit reached; expire stale directives first' END AS refused FROM pl LEFT JOIN o USING (portal)""")
 def issuable_sources(spark, d):
+    """Every mapped source with why no lease may be issued for it now, null where one may."""
     t = _tx(spark, d)
     return replay.issuable(replay.places(t), replay.open_directives(t), log.fork_proofs(t), replay.paused(t))
 
 
+@query(f"""WITH {_T}, {_D}, nm AS (SELECT source, arg_max(json_extract_string(payload, '$.names."' || source || '"'), rk) AS name FROM (SELECT rk, payload, unnest(json_keys(payload, '$.names')) AS source FROM t WHERE kind = 'map') GROUP BY 1)
+SELECT directive AS id, od.source, coalesce(nm.name, od.source) AS name, portal, issued, expires, {NOW} >= expires AS stale FROM od LEFT JOIN nm ON nm.source = od.source""")
+def directives_list(spark, d):
+    """Open directives in the order of their ids, with the names of their sources."""
+    t = _tx(spark, d)
+    o = replay.named_sources(replay.stale(replay.open_directives(t), NOW), replay.place_names(t))
+    return o.select(F.col("directive").alias("id"), "source", "name", "portal", "issued", "expires", "stale").orderBy("id")
+
+
+@query(f"""WITH {_T}, {_FROZEN}, {_ROLES}, {_ROWS}, vs AS ({_ALL}) SELECT count(*) FILTER (v) = 0 AS ok, (SELECT count(*) FROM t) AS count, count(*) FILTER (v) AS violations,
+(SELECT count(*) FROM (SELECT DISTINCT portal, prev FROM (SELECT portal, prev, signer FROM t GROUP BY ALL HAVING count(*) > 1))) AS forks FROM (SELECT "check" <> 'V14' AS v FROM vs)""")
+def verify_log(spark, d):
+    return log.verify(_tx(spark, d), table(spark, d, "datoms"), hashed=False, raw_payloads=True)
+
+
 # ---- facts
 
 
@@ -591,6 +640,11 @@ def recall_prompt_lines(spark, d):
     return search.prompt_lines(_recalled(spark, d))
 
 
+@query(f"SELECT count(*) FILTER (status = 'settled') AS settled, count(*) FILTER (status = 'held') AS held FROM ({_RECALL})")
+def recall_counts(spark, d):
+    return search.counts(_recalled(spark, d))
+
+
 # ---- feeds and bulk runs
 
 
@@ -604,9 +658,20 @@ def trace_ring(spark, d):
     return feed.last(table(spark, d, "events"), "event_id").select("event_id", "event_type")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' WHEN event_type = 'purchase' THEN 'good' ELSE 'plain' END AS tone FROM events ORDER BY event_id DESC LIMIT 150")
+_TRACE = """tr AS (SELECT t.seq, CASE kind WHEN 'promote' THEN 'promote' WHEN 'assert' THEN 'check' WHEN 'map' THEN 'scan' WHEN 'expire' THEN 'refuse' ELSE 'commit' END AS step, CASE WHEN kind = 'assert' THEN coalesce(facts, 0) END AS accepted,
+ CASE WHEN kind = 'assert' THEN coalesce(json_array_length(payload, '$.rejected'), 0) END AS rejected FROM t LEFT JOIN (SELECT tx, count(DISTINCT id) AS facts FROM datoms WHERE a <> 'name' GROUP BY tx) x ON x.tx = t.id)"""
+
+
+@query(f"""WITH {_T}, {_TRACE} SELECT seq, step, CASE WHEN step = 'refuse' THEN 'bad' WHEN step = 'check' THEN CASE WHEN rejected > 0 AND accepted = 0 THEN 'bad' ELSE 'good' END WHEN step = 'promote' THEN 'good' END AS tone, step = 'refuse' AS alarm,
+row_number() OVER (ORDER BY seq) AS nth FROM tr WHERE step <> 'commit' ORDER BY seq DESC LIMIT 150""")
 def activity_feed(spark, d):
-    return feed.activity(table(spark, d, "events"), "event_id", "event_type", ("purchase",), ("error",)).select("event_id", "tone")
+    """The activity list of the log's own work: maps, results with what they kept and refused, promotions and expiries."""
+    t = _tx(spark, d)
+    kind = F.col("kind")
+    step = F.when(kind == "promote", "promote").when(kind == "assert", "check").when(kind == "map", "scan").when(kind == "expire", "refuse").otherwise("commit")
+    r = replay.results(t, table(spark, d, "datoms")).select("id", "accepted", F.size("rejected").alias("rejected"))
+    trace = log.once(t, "kind").join(r, "id", "left").withColumn("step", step)
+    return feed.activity(trace, "seq").select("seq", "step", "tone", "alarm", "nth")
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 6")
@@ -632,21 +697,33 @@ def bulk_consecutive_failures(spark, d):
     return bulk.failure_runs(_steps(spark, d), "run", "i").select("run", "i", "outcome", "fails")
 
 
-@query(f"{_LIVE}, {_PL}, {_D}, {_EV} SELECT (SELECT count(*) FROM t) AS txs, (SELECT count(*) FROM pl) AS sources, (SELECT count(*) FROM od) AS open, (SELECT count(*) FROM l WHERE tier = 'culture') AS culture, (SELECT count(*) FROM t WHERE kind = 'assert') AS results, (SELECT count(*) FROM g WHERE support < 2) AS waiting")
+@query(f"""{_SHOWN}, {_PL}, {_D}, {_EV}, {_FROZEN}, sk AS (SELECT {_P.format('version')}::BIGINT AS version FROM t WHERE kind = 'skill' AND {_P.format('name')} = 'ingest' UNION ALL SELECT 1)
+SELECT p.portal, (SELECT count(*) FROM t) AS txs, {_PAUSED} AS paused, p.portal IN (SELECT portal FROM fz) AS frozen, (SELECT count(*) FROM pl WHERE pl.portal = p.portal) AS sources, (SELECT count(*) FROM od WHERE od.portal = p.portal) AS open,
+(SELECT count(*) FROM (SELECT DISTINCT lower(entity), a, value FROM s WHERE tier = 'culture' AND a <> 'name')) AS culture, (SELECT count(*) FROM g JOIN l ON l.id = g.first WHERE g.support < 2 AND l.a <> 'name' AND g.key NOT IN (SELECT key FROM pr)) AS held,
+(SELECT count(*) FROM t WHERE kind = 'assert') AS results, (SELECT 'ingest v' || max(version) FROM sk) AS skill FROM (SELECT DISTINCT portal FROM t) p""")
 def summary_row(spark, d):
-    t, live = _tx(spark, d), _live(spark, d)
+    """What each portal's summary screen shows: its own sources and leases, and what holds for all."""
+    t, shown = _tx(spark, d), _shown(spark, d, "nu", "support", "source")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    once = log.once(t).agg(F.count(F.lit(1)).alias("txs"), F.count_if(F.col("kind") == "assert").alias("results"))
-    out = once
-    for df, name in ((replay.places(t), "sources"), (replay.open_directives(t), "open"), (facts.in_tier(live, "culture"), "culture"), (facts.groups(facts.in_episodes(live)).where("support < 2"), "waiting")):
-        out = out.join(F.broadcast(n(df, name)))
-    return out
+    seen = t.where("id is not null").agg(F.count_distinct("id").alias("txs"), F.count_distinct(F.when(F.col("kind") == "assert", F.col("id"))).alias("results"))
+    skill = replay.skills(t).where("name = 'ingest'").agg(F.concat(F.lit("ingest v"), F.max("version").cast("string")).alias("skill"))
+    whole = seen.join(replay.paused(t)).join(skill)
+    held = facts.held(facts.in_episodes(shown), _promoted(shown), replay.approvals(t))
+    for df, name in ((facts.memory(facts.in_tier(shown, "culture")), "culture"), (held, "held")):
+        whole = whole.join(F.broadcast(n(df, name)))
+    own = t.where("id is not null").select("portal").distinct()
+    for df, name in ((replay.places(t), "sources"), (replay.open_directives(t), "open")):
+        own = own.join(df.groupBy("portal").agg(F.count(F.lit(1)).alias(name)), "portal", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    frozen = log.fork_proofs(t).select("portal").distinct().withColumn("frozen", F.lit(True))
+    own = own.join(frozen, "portal", "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))
+    return own.join(F.broadcast(whole)).select("portal", "txs", "paused", "frozen", "sources", "open", "culture", "held", "results", "skill")
 
 
 @query()
 def state_hash(spark, d):
     """The hash of the settled state; the same for any order of the log's rows."""
     t = _tx(spark, d)
-    live = _live(spark, d)
-    parts = [facts.settled_many(facts.in_tier(live, "culture"), table(spark, d, "attrs")), replay.decisions(t).drop("id"), replay.paused(t), replay.schema_version(t), replay.approvals(t).select("key"), replay.open_directives(t).select("directive"), replay.skills(t), replay.places(t)]
+    culture, schema = facts.in_tier(_live(spark, d, "nu", "vf", "support"), "culture"), replay.schema(t, table(spark, d, "attrs"))
+    settled = [facts.settled_many(culture, schema), facts.settled_one(culture, schema, "state"), facts.settled_one(culture, schema, "claim")]
+    parts = [*settled, replay.decisions(t).drop("id"), replay.paused(t), replay.schema_version(t), replay.approvals(t).select("key"), replay.open_directives(t).select("directive"), replay.skills(t), replay.places(t)]
     return spark.createDataFrame([(facts.state_hash(parts),)], "state string")

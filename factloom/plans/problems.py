@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.settled_keys(table(spark, sf_dir, "tx"))
 
 
+def p1_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled keys with the columns of their promotes, each as it was set last."""
+    return changefeed.settled_decisions(table(spark, sf_dir, "tx"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latedata.tx_split(table(spark, sf_dir, "tx"))[1].select("id")
 
@@ -41,20 +46,30 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.descendants(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
 
 
-def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.path_index(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
 
 
-def p7_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.all_paths(p7_paths(spark, sf_dir))
+def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of every transaction, its ids divided by blanks."""
+    return lineage.all_paths(_index(spark, sf_dir)).select("id", F.array_join("path", " ").alias("path"))
+
 
+def p7_path_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the last transaction of each portal."""
+    last = table(spark, sf_dir, "tx").groupBy("portal").agg(F.max(F.struct(F.get("hlc", F.lit(0)), F.get("hlc", F.lit(1)), "id")).alias("x")).select("x.id")
+    return lineage.paths(_index(spark, sf_dir), last).select("id", F.array_join("path", " ").alias("path"))
 
-def p7_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = p7_spelled(spark, sf_dir).select(F.explode("path").alias("id"), F.col("id").alias("descendant"))
-    return pairs.where("id <> descendant")
 
+def p7_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every transaction, as a range of numbers within its tree."""
+    return lineage.intervals(hierarchy.tx_links(table(spark, sf_dir, "tx")), "id", "prev", hierarchy.NEAR)
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found, "p7_descendants": p7_descendants, "p7_paths": p7_paths, "p7_spelled": p7_spelled, "p7_below": p7_below}
+
+QUERIES = {
+    "p1_found": p1_found, "p1_columns": p1_columns, "p2_found": p2_found, "p2_hours": p2_hours, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found, "p7_descendants": p7_descendants,
+    "p7_paths": p7_paths, "p7_path_of": p7_path_of, "p7_intervals": p7_intervals,
+}
 
 _ARRIVED = """
 WITH f AS (SELECT id, min(seq) AS seq, arg_min(portal, seq) AS portal, arg_min(hlc[1], seq) AS wall FROM tx GROUP BY id),
@@ -81,7 +96,36 @@ c AS (SELECT e, a, vf, id, CASE
         ELSE nullif(s, '') END AS val FROM d)
 """
 
+_TREE = """
+WITH RECURSIVE t AS (SELECT id, min(nullif(prev, '')) AS prev FROM tx WHERE id IS NOT NULL GROUP BY id),
+down AS (SELECT t.id, t.prev, t.id AS root, t.id AS path FROM t WHERE prev IS NULL OR prev NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, t.prev, down.root, down.path || ' ' || t.id FROM down JOIN t ON t.prev = down.id)"""
+
+_WIDE = r"""
+cells AS (SELECT e, a, vf, id, val FROM c UNION ALL SELECT d.e, d.a, d.vf, d.id, CASE WHEN k.vtype = 'ref' THEN nullif(regexp_replace(json_extract_string(CASE WHEN json_valid(d.v) THEN d.v END, '$.ref'), '^\s+|\s+$', '', 'g'), '') ELSE nullif(regexp_replace(d.v, '^\s+|\s+$', '', 'g'), '') END
+  FROM datoms d JOIN attrs k ON k.a = d.a WHERE d.tier = 'culture' AND d.e IS NOT NULL AND d.a NOT IN ('dose_mg','half_life_min','shelf_months','otc','date','form')),
+w AS (SELECT e, a, val FROM (SELECT *, row_number() OVER (PARTITION BY e, a ORDER BY vf DESC NULLS LAST, coalesce(id, ''), val) AS n FROM cells WHERE val IS NOT NULL AND e IS NOT NULL) WHERE n = 1)
+SELECT e"""
+_WIDE_COLUMNS = {"author": "", "causes": "", "caution": "", "contains": "", "date": "::DATE", "defined_as": "", "dose_mg": "::BIGINT", "form": "", "half_life_min": "::BIGINT", "is_a": "", "located_in": "", "name": "", "otc": "::BOOLEAN", "part_of": "", "same_as": "", "shelf_months": "::BIGINT", "treats": ""}
+
 SQL = {
+    "p1_columns": """
+WITH p AS (SELECT DISTINCT id, portal, hlc[1] AS wall, hlc[2] AS counter, kind, payload FROM tx WHERE kind IN ('promote', 'retract')),
+k AS (SELECT id, portal, wall, counter, kind, json_extract_string(payload, '$.decision.key') AS fact_key, json_extract_string(payload, '$.decision.support')::BIGINT AS support, json_extract_string(payload, '$.decision.rule') AS rule FROM p WHERE kind = 'promote'
+      UNION ALL SELECT id, portal, wall, counter, kind, unnest(from_json(json_extract(payload, '$.keys'), '["VARCHAR"]')), NULL, NULL FROM p WHERE kind = 'retract'),
+o AS (SELECT *, row_number() OVER (PARTITION BY fact_key ORDER BY wall, counter, portal, id) AS n FROM k WHERE fact_key IS NOT NULL),
+r AS (SELECT fact_key, max(n) AS gone FROM o WHERE kind = 'retract' GROUP BY 1)
+SELECT o.fact_key, arg_max(id, n) AS tx_id, arg_max(support, n) FILTER (support IS NOT NULL) AS support, arg_max(rule, n) FILTER (rule IS NOT NULL) AS rule FROM o LEFT JOIN r ON r.fact_key = o.fact_key WHERE kind = 'promote' AND (gone IS NULL OR n > gone) GROUP BY 1""",
+    "p4_wide": _VALUES + "," + _WIDE + "".join(f", max(CASE WHEN a = '{a}' THEN val END){t} AS {a}" for a, t in _WIDE_COLUMNS.items()) + " FROM w GROUP BY e",
+    "p7_paths": _TREE + " SELECT id, path FROM down",
+    "p7_path_of": _TREE + " SELECT id, path FROM down WHERE id IN (SELECT arg_max(id, {'w': hlc[1], 'c': hlc[2], 'i': id}) FROM tx GROUP BY portal)",
+    "p7_intervals": _TREE + """,
+up AS (SELECT id, prev AS above FROM down WHERE prev IN (SELECT id FROM t) UNION ALL SELECT up.id, t.prev FROM up JOIN t ON t.id = up.above WHERE t.prev IN (SELECT id FROM t)),
+z AS (SELECT down.id, down.prev, down.root, 1 + coalesce(n, 0) AS size FROM down LEFT JOIN (SELECT above, count(*) AS n FROM up GROUP BY above) u ON u.above = down.id),
+f AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY prev ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
+g AS (SELECT id, root, size, 1::BIGINT AS first FROM f WHERE id = root UNION ALL SELECT f.id, f.root, f.size, (g.first + 1 + f.before)::BIGINT FROM g JOIN f ON f.prev = g.id AND f.id <> f.root),
+rest AS (SELECT t.id, t.prev FROM t ANTI JOIN down ON t.id = down.id),
+walk AS (SELECT id, id AS cur, 0 AS n FROM rest UNION ALL SELECT walk.id, rest.prev, n + 1 FROM walk JOIN rest ON rest.id = walk.cur WHERE n < 2 * (SELECT count(*) FROM rest))
+SELECT id, root, first, (first + size - 1)::BIGINT AS last FROM g UNION ALL SELECT id, min(cur), NULL, NULL FROM walk WHERE n >= (SELECT count(*) FROM rest) GROUP BY id""",
     "p1_found": """
 WITH p AS (SELECT DISTINCT id, portal, hlc[1] AS wall, hlc[2] AS counter, kind, payload FROM tx WHERE kind IN ('promote', 'retract')),
 k AS (SELECT id, portal, wall, counter, kind, json_extract_string(payload, '$.decision.key') AS fact_key FROM p WHERE kind = 'promote'

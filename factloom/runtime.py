@@ -105,8 +105,3 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what} has more than {most} rows")
     return rows
-
-
-def null_safe(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Only the wanted columns, cast; extra columns of the input cannot clash with an operator's own."""
-    return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()))

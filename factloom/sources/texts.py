@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES, MOST_DEPTH = 4 * 1024 * 1024, 6
+# The kinds of files that are texts.
 KINDS = ("txt", "md", "markdown", "csv")
 
 
 def folder(spark: SparkSession, root: str, depth: int = MOST_DEPTH, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, name, hash, text) of the text files below a folder; the table files hold are read as plain text.
 
-    Hidden files and folders, files that are deeper or larger, and other kinds are left out.
+    Hidden files and folders, files that are deeper or larger, and other kinds (in any case) are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(KINDS) + "}").load(root)
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in KINDS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + kinds + "}").load(root)
     base = root.rstrip("/").removeprefix("file:").replace("//", "/")
     name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
     f = files.where(F.col("length") <= most_bytes).select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))

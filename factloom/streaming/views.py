@@ -24,9 +24,15 @@ def last_writers(stream: DataFrame, key: str, at: Column, value: Column) -> Data
     return stream.groupBy(F.col(key)).agg(F.max_by(value, at).alias("value"))
 
 
-def once_each(stream: DataFrame, id: str = "id") -> DataFrame:
-    """Repeated deliveries dropped, for as long as the query keeps its state."""
-    return stream.dropDuplicates([id])
+def once_each(stream: DataFrame, id: str = "id", time: Column | None = None, within: str = "7 days") -> DataFrame:
+    """Repeated deliveries dropped.
+
+    With ``time`` (event time), repetitions within so long are dropped, and the state
+    ends with the watermark; without it every id is kept for as long as the query lives.
+    """
+    if time is None:
+        return stream.dropDuplicates([id])
+    return stream.withColumn("_time", time).withWatermark("_time", within).dropDuplicatesWithinWatermark([id]).drop("_time")
 
 
 def change_table(spark: SparkSession, root: str, key: str, columns: list[str], compact: int = 16) -> Deltas:
@@ -50,31 +56,81 @@ class LateCounts:
         total = lambda by, agg: lambda parts: parts.groupBy(*by).agg(agg)
         self.counts = Deltas(spark, f"{root}/counts", total(["key", "period"], F.sum("n").alias("n")), compact)
         self.marks = Deltas(spark, f"{root}/marks", total(["key"], F.max("wall").alias("wall")), compact)
-        self.seen, self.late = Deltas(spark, f"{root}/seen", compact=compact), Deltas(spark, f"{root}/late", compact=compact)
+        self.seen, self.late = Deltas(spark, f"{root}/seen", compact=compact, by="period"), Deltas(spark, f"{root}/late", compact=compact)
+
+
+#: Periods of one batch up to which the ids seen are read period by period.
+MOST_PERIODS = 10_000
 
 
 def late_counts(stream: DataFrame, id: str, key: str, arrival: str, event_time: Column, tables: LateCounts, allowed_ms: int = latedata.ALLOWED_MS, period_ms: int = latedata.HOUR_MS) -> DataStreamWriter:
     """Counts per key and period, corrected by late rows; rows beyond the cut-off are diverted.
 
-    Batches come in the order of ``arrival``.
+    Batches come in the order of ``arrival``. Copies of a row have its event time, so
+    a batch is held against the ids of its own periods only, which are laid out by
+    period: its cost follows the batch, however long the stream has run.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        first = latedata.first_arrivals(df, id, key, arrival, event_time)
+        own = (F.floor(F.col("wall") / F.lit(period_ms)) * F.lit(period_ms)).cast("bigint")
+        first = latedata.first_arrivals(df, id, key, arrival, event_time).withColumn("period", own).persist()
         known = tables.seen.read(n)
+        new = first
         if known is not None:
-            first = first.join(known, "id", "left_anti")
-        marked = latedata.with_watermark(first, carried=tables.marks.read(n)).persist()
+            periods = [r["period"] for r in first.select("period").distinct().limit(MOST_PERIODS + 1).collect()]
+            if len(periods) <= MOST_PERIODS:
+                known = known.where(F.col("period").isin(periods))
+            new = first.join(known.select("id"), "id", "left_anti")
+        marked = latedata.with_watermark(new, carried=tables.marks.read(n)).persist()
         late = latedata.is_late(allowed_ms)
         tables.counts.write(n, latedata.period_counts(marked.where(~late), period_ms))
         tables.late.write(n, marked.where(late))
         tables.marks.write(n, marked.groupBy("key").agg(F.max("wall").alias("wall")))
-        tables.seen.write(n, marked.select("id"))
+        tables.seen.write(n, marked.select("id", own.alias("period")))
         marked.unpersist()
+        first.unpersist()
 
     return stream.writeStream.foreachBatch(batch)
 
 
+TALLY = "key string, period bigint, n bigint, late boolean, id string"
+
+
+def _tally(allowed_ms: int, period_ms: int):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, counts = state.get if state.exists else (None, [])
+        count = {int(p): int(n) for p, n in counts}
+        touched: set[int] = set()
+        late = []
+        rows = sorted((int(s), str(i), int(w)) for f in frames for s, i, w in zip(f["seq"], f["id"], f["wall"]))
+        for _, i, wall in rows:
+            if mark is not None and mark - wall > allowed_ms:
+                late.append((key[0], None, None, True, i))
+            else:
+                p = wall // period_ms * period_ms
+                count[p] = count.get(p, 0) + 1
+                touched.add(p)
+            mark = wall if mark is None else max(mark, wall)
+        # a period whose last moment is beyond the cut-off changes no more
+        open_ = [(p, n) for p, n in count.items() if mark is None or mark - (p + period_ms - 1) <= allowed_ms]
+        state.update((mark, open_))
+        yield pd.DataFrame([(key[0], p, count[p], False, None) for p in sorted(touched)] + late, columns=["key", "period", "n", "late", "id"])
+
+    return run
+
+
+def tallies(stream: DataFrame, key: str = "key", allowed_ms: int = latedata.ALLOWED_MS, period_ms: int = latedata.HOUR_MS) -> DataFrame:
+    """Keyed state for counts per period: (key, period, n, late, id) of rows (key, seq, id, wall), each event once.
+
+    The state of a key is its watermark and the counts of the periods that can still
+    change, so it is bounded by the lateness allowed. Each batch emits the new count of
+    every period it changed, to be upserted (the last of a key and period holds), and a
+    row with ``late`` for every event beyond the cut-off. Rows of one key come in the
+    order of ``seq`` from batch to batch.
+    """
+    return stream.groupBy(key).applyInPandasWithState(_tally(allowed_ms, period_ms), TALLY, "mark long, counts array<struct<period:bigint,n:bigint>>", "update", GroupStateTimeout.NoTimeout)
+
+
 LEASE = "directive string, state string, at timestamp"
 
 

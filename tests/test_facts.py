@@ -75,6 +75,10 @@ def test_recall_orders_settled_and_held(spark):
     assert lines[1] == '[2] Ginger treats gout (2 sources) (source says: "Ginger treats gout.")'
     assert lines[0].startswith("[1] Ginger causes mouth burning (unconfirmed: 2 sources, not yet through the gate)")
     assert "general knowledge" in search.system_prompt([]) and "[1]" in search.system_prompt(lines)
+    assert tuple(search.counts(got).first()) == (1, 1)
+    asked = search.messages([("user", str(n)) for n in range(9)], "why?", lines)
+    assert len(asked) == 8 and asked[0]["role"] == "system" and asked[1]["content"] == "3" and asked[-1] == {"role": "user", "content": "why?"}
+    assert search.messages([], "why?", None) == [{"role": "user", "content": "why?"}]
 
 
 def test_memory_and_settled_values(spark):
@@ -143,21 +147,23 @@ def test_model_facts(spark):
     out = extract.generated(docs, "id", "text", Fake, ["name", "treats"])
     got = extract.model_facts(out).orderBy("i").collect()
     assert [(r["entity"], r["a"], r["v"], r["start"], r["end"], r["quote"]) for r in got] == [("elder bark", "treats", "gout", 15, 32, "used against gout"), ("x", "treats", "y", -1, -1, "invented quote|with pipe")]
+    assert [tuple(r) for r in extract.agreed(out, extract.model_facts(out)).collect()] == [("d", 0, 2, 1)]
 
 
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.md").write_text("eins")
     (tmp_path / "two.csv").write_text("x,y\n1,2")
+    (tmp_path / "A.TXT").write_text("loud")
     (tmp_path / ".hidden.txt").write_text("no")
     (tmp_path / "three.pdf").write_text("no")
     (tmp_path / "big.txt").write_text("x" * 200)
     f = texts.folder(spark, str(tmp_path), most_bytes=100)
-    assert {(r["name"], r["text"]) for r in f.collect()} == {("a/one.md", "eins"), ("two.csv", "x,y\n1,2")}
+    assert {(r["name"], r["text"]) for r in f.collect()} == {("a/one.md", "eins"), ("two.csv", "x,y\n1,2"), ("A.TXT", "loud")}
     s = texts.bundled(spark, str(tmp_path / "a"))
     assert [r["id"] for r in s.collect()] == ["sample:one.md"]
     both = texts.union(f, s)
-    assert texts.listing(both).count() == 3 and texts.read(both, "sample:one.md").first()[0] == "eins"
+    assert texts.listing(both).count() == 4 and texts.read(both, "sample:one.md").first()[0] == "eins"
     old = spark.createDataFrame([("sample:one.md", s.first()["hash"])], "source string, hash string")
-    assert texts.changed(texts.listing(both), old).count() == 2
-    assert sorted(r["n"] for r in texts.duplicates(both).collect()) == [1, 2]
+    assert texts.changed(texts.listing(both), old).count() == 3
+    assert sorted(r["n"] for r in texts.duplicates(both).collect()) == [1, 1, 2]

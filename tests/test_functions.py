@@ -45,7 +45,9 @@ def test_words_quotes_and_answers(spark):
     r = df.select(text.words(F.col("w")).alias("w"), text.unquoted(F.col("q")).alias("q"), *(c.alias(n) for c, n in zip(text.split_thinking(F.col("a")), "ta")), text.citations(F.col("a")).alias("c"), text.cut_quote(F.col("l")).alias("l")).first()
     assert r["w"] == ["treat", "cramp", "tonic", "gas"] and r["q"] == 'quoted "x"' and (r["t"], r["a"]) == ("hm", "It is [1], not [12].") and r["c"] == [1, 12]
     assert len(r["l"]) == 200 and r["l"].endswith("…")
-    assert [x[0] for x in spark.createDataFrame([(5,), (2048,), (3 << 20,), (5 << 30,)], "n bigint").select(text.size_text(F.col("n"))).collect()] == ["5 B", "2 KB", "3.0 MB", "5.00 GB"]
+    assert [x[0] for x in spark.createDataFrame([(5,), (-2,), (2048,), (3_600_000,), (5_250_000_000,)], "n bigint").select(text.size_text(F.col("n"))).collect()] == ["5 B", "0 B", "2048 B", "4 MB", "5.25 GB"]
+    assert [x[0] for x in spark.createDataFrame([("dir:abcdefghijkl",), ("tx:abc",), (None,)], "s string").select(text.short_id(F.col("s"))).collect()] == ["abcdefghij", "tx:abc", None]
+    assert [x[0] for x in spark.createDataFrame([(1_240_000_000,), (40_000_000,)], "n bigint").select(text.count_text(F.col("n"))).collect()] == ["1.24B", "40M"]
 
 
 def test_signatures(spark):

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from factloom import runtime
 from factloom.operators import hierarchy, lineage
 
 
@@ -105,7 +106,34 @@ def test_circles_cut_by_partitions_and_all_paths(spark, per_task, spread):
     assert {r["id"]: r["path"] for r in lineage.all_paths(index).collect()} == want
 
 
-def test_unfinished_paths_are_an_error(spark):
-    index = lineage.path_index(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string"), "id", "parent", ["id"])
-    with pytest.raises(RuntimeError):
-        lineage.paths(index, spark.createDataFrame([("c",)], "id string"), most=1)
+@pytest.mark.parametrize("per_task, spread", [(100_000, 1), (60, 12), (25, 40)])
+def test_intervals_hold_the_descendants(spark, per_task, spread):
+    rows = forest(9)
+    tree = {i: (root, depth) for i, root, depth in brute(rows)}
+    parent = {}
+    for i, p in rows:
+        if i is not None and p:
+            parent[i] = min(p, parent.get(i, p))
+    got = {r["id"]: (r["root"], r["first"], r["last"]) for r in lineage.intervals(spark.createDataFrame(rows, "id string, parent string"), "id", "parent", ["id"], per_task, spread).collect()}
+    assert {i: v[0] for i, v in got.items()} == {i: r for i, (r, _) in tree.items()}
+    below = {i: set() for i, (_, d) in tree.items() if d > 0}
+    for i in below:
+        x = i
+        while tree[x][1] > 1:
+            x = parent[x]
+            below[x].add(i)
+    assert {i for i, v in got.items() if v[1] is None} == set(tree) - set(below)
+    for i in below:
+        root, lo, hi = got[i]
+        assert {x for x, (r, n, _) in got.items() if n is not None and r == root and lo < n <= hi} == below[i]
+
+
+def test_the_path_of_a_deep_chain_takes_few_jobs(spark):
+    n = 50_000
+    chain = spark.range(n).selectExpr("lpad(id, 8, '0') as id", "case when id > 0 then lpad(id - 1, 8, '0') end as parent")
+    index, _ = runtime.Scratch(spark, "test").write(lineage.path_index(chain, "id", "parent", ["id"], spread=12))
+    spark.sparkContext.setJobGroup("deep", "deep")
+    got = lineage.paths(index, spark.createDataFrame([(f"{n - 1:08d}",), ("none",)], "id string")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 1 and got[0]["path"] == [f"{k:08d}" for k in range(n)] and 0 < jobs < 100
