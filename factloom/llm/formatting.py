@@ -9,6 +9,8 @@ canonical form in it are equal, which compares the whole structure of all member
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,11 @@ def fields(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(named, lambda f: f != "\u0001")))
 
 
-def digested(records: DataFrame, id: str, kind: str, text: Column, labelled: Column) -> DataFrame:
+def sha256(c: Column) -> Column:
+    return F.unhex(F.sha2(c, 256))
+
+
+def digested(records: DataFrame, id: str, kind: str, text: Column, labelled: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(id, digest, canon), one row an id; rows of one id that differ count as the one with the smallest canonical form.
 
     A null kind, text or field set is an empty one. Rows with a null id are left out.
@@ -43,18 +49,19 @@ def digested(records: DataFrame, id: str, kind: str, text: Column, labelled: Col
         F.col(id).cast("string").alias("id"), F.coalesce(F.col(kind), F.lit("")).alias("kind"), leaf(F.coalesce(text, F.lit(""))).alias("body"), fields(labelled).alias("fields")
     )
     node = F.sha2(F.concat_ws("", F.array_sort(F.transform("fields", lambda f: F.sha2(f, 256)))), 256)
-    root = F.unhex(F.sha2(F.concat_ws("\u0002", "kind", F.sha2("body", 256), node), 256))
+    root = digest(F.concat_ws("\u0002", "kind", F.sha2("body", 256), node))
     canon = F.concat_ws("\u0002", "kind", "body", F.concat_ws("\u0003", "fields"))
     return r.select("id", canon.alias("canon"), root.alias("digest")).groupBy("id").agg(F.min(F.struct("canon", "digest")).alias("x")).select("id", "x.digest", "x.canon")
 
 
-def collapse(records: DataFrame, id: str, kind: str, text: Column, labelled: Column) -> tuple[DataFrame, DataFrame]:
+def collapse(records: DataFrame, id: str, kind: str, text: Column, labelled: Column, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
     """Groups (id_first, copies) and members (id_first, id_other) of records equal but for formatting.
 
     ``copies`` counts all members, so a record without a copy has 1. Empty tables give empty ones.
+    ``digest`` gives the binary root digest of a record; one that collides costs time, not results.
     """
     scratch = runtime.Scratch(records.sparkSession, "formatting")
-    rows, _ = scratch.write(digested(records, id, kind, text, labelled))
+    rows, _ = scratch.write(digested(records, id, kind, text, labelled, digest))
     groups = rows.groupBy("digest").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("copies"), (F.min("canon") == F.max("canon")).alias("same"))
     groups, _ = scratch.write(groups)
     several = groups.where("copies > 1 and same").select(F.hex("digest").alias("k"), "id_first")

@@ -34,3 +34,13 @@ def test_nulls_empty_and_long_texts(spark):
 def test_ids_that_differ_count_once(spark):
     report, _ = run(spark, [("a", "x", "one", ""), ("a", "x", "two", "")])
     assert report == {("a", 1)}
+
+
+def test_digests_that_collide_are_told_apart(spark):
+    rows = [(f"r{i:02d}", "x", f"text {i % 12}!", f"name: {i % 4}; use: y") for i in range(48)]
+    df = spark.createDataFrame(rows, "id string, a string, v string, q string")
+    short = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 1))
+    whole, few = (formatting.collapse(df, "id", "a", F.col("v"), F.col("q"), *d) for d in ((), (short,)))
+    for a, b in zip(whole, few):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sum(r["copies"] for r in few[0].collect()) == 48 and few[0].count() == 12

@@ -43,3 +43,24 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "wörter " * 3000)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["tokens"] for r in packing.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 3000
+
+
+def test_packing_is_checked_and_measured(spark):
+    docs = spark.createDataFrame([(i, "word " * (i * 40)) for i in range(12)] + [(50, None), (51, ""), (52, "word " * 9000)], "doc_id bigint, text string")
+    packed = packing.contexts(docs, 1000)
+    assert {(r["whole"], r["fits"]) for r in packing.checked(docs, packed, 1000).collect()} == {(True, True)}
+    lost = packing.checked(docs, packed.where("piece <> 3"), 1000).where("not whole").collect()
+    assert [r["doc_id"] for r in lost] == [52]
+    over = packing.checked(docs, packed.withColumn("context", packed["context"] * 0), 1000).where("fits").count()
+    assert over == 0
+    f = packing.fill(packed, 1000).first()
+    assert f["least"] <= f["contexts"] <= f["least"] + 2 and 0 <= f["unused"] < 0.2
+
+
+@pytest.mark.parametrize("per_task", [200, 1000])
+def test_levels_pack_about_as_well_as_one_task(spark, per_task):
+    rng = random.Random(6)
+    rows = [(i, min(4096, int(rng.lognormvariate(5.5, 1.0)) + 1)) for i in range(4000)]
+    own = packing.pack(sizes(spark, rows), "id", "size", 4096, per_task)
+    one = len(packing.best_fit(rows, 4096)[1])
+    assert own.select("bin").distinct().count() <= 1.01 * one + 1

@@ -1,7 +1,7 @@
 import numpy as np
 
 from factloom.llm import quality, rules
-from factloom.llm.quality_train import reading
+from factloom.llm.quality_train import planted, reading
 
 PROSE = "The dose was raised to 20 mg in the first week, without harm. Most of them slept well and had no trouble with it."
 TABLE = "\n".join(f"{i},{i * 7},Zelitz,{i * 3}" for i in range(40))
@@ -30,3 +30,18 @@ def test_rule_list_finds_thresholds():
     t = rng.random((600, 3))
     assert (rules.predict(got, t, ("a", "b", "c")) != ((t[:, 0] < 0.3) | ((t[:, 1] > 0.8) & (t[:, 2] < 0.5)))).mean() < 0.03
     assert quality.case_expression(got).startswith("CASE WHEN ")
+
+
+def test_planted_classes_are_told_apart(spark):
+    words = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    made = planted(words, 400, seed=9)
+    assert 60 < sum(j for _, j in made) < 200
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id bigint, text string")
+    junk = {r[0] for r in quality.not_prose(df).collect()}
+    assert sum((i in junk) != j for i, (_, j) in enumerate(made)) <= 4
+
+
+def test_a_rule_that_fails_on_the_pruning_part_is_dropped():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((300, 4)), rng.random(300) < 0.5
+    assert rules.learn(x, y, ("a", "b", "c", "d"))["rules"] == []
