@@ -66,7 +66,8 @@ def directive_id(portal: Column, now: Column, source: Column, log_size: Column)
 
 
 def portal_name(pub: Column) -> Column:
-    return F.concat(F.lit("p-"), F.substring(F.sha2(pub, 256), 1, 8))
+    """The name of the portal with a public key (hex)."""
+    return F.concat(F.lit("p-"), F.substring(F.sha2(F.unhex(pub), 256), 1, 8))
 
 
 _ESCAPED = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}

@@ -406,6 +406,17 @@ def done_count(spark, d):
     return bulk.done_count(_listed(spark, d), _done(spark, d))
 
 
+@query(f"WITH {_LISTED} SELECT id, name FROM ls WHERE contains(lower(name), 'ward')")
+def source_filter(spark, d):
+    return search.named_like(_listed(spark, d), "name", " Ward").select("id", "name")
+
+
+@query(f"WITH {_T}, {_LISTED} SELECT DISTINCT source AS id FROM t WHERE kind = 'assert' AND source IN (SELECT id FROM ls)")
+def selection_kept(spark, d):
+    """Of the sources with results those that are still listed."""
+    return search.still_listed(_done(spark, d).select("id").distinct(), _listed(spark, d))
+
+
 _FROZEN = "fz AS (SELECT DISTINCT portal FROM (SELECT portal, prev, signer FROM t GROUP BY ALL HAVING count(*) > 1))"
 _PAUSED = "(SELECT coalesce(arg_max(kind, rk) = 'pause', false) FROM t WHERE kind IN ('pause', 'resume'))"
 

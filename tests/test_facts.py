@@ -1,6 +1,7 @@
 import sys
 
 from pyspark import cloudpickle
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from factloom.operators import extract, facts, search
@@ -147,6 +148,10 @@ def test_model_facts(spark):
     out = extract.generated(docs, "id", "text", Fake, ["name", "treats"])
     got = extract.model_facts(out).orderBy("i").collect()
     assert [(r["entity"], r["a"], r["v"], r["start"], r["end"], r["quote"]) for r in got] == [("elder bark", "treats", "gout", 15, 32, "used against gout"), ("x", "treats", "y", -1, -1, "invented quote|with pipe")]
+    seen = Observation()
+    extract.watched(out, seen).collect()
+    assert seen.get == {"passages": 1, "texts": 1, "characters": len(Fake().generate("treats", "Passage:\n", 0))}
+    assert extract.chosen("pattern", None) == extract.chosen("pattern", "model", False) == "pattern" and extract.chosen("pattern", "model") == "model"
     assert [tuple(r) for r in extract.agreed(out, extract.model_facts(out)).collect()] == [("d", 0, 2, 1)]
 
 

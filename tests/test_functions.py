@@ -61,3 +61,9 @@ def test_signatures(spark):
 def test_empty_words(spark, s):
     got = spark.createDataFrame([(s,)], "s string").select(text.words(F.col("s"))).first()[0]
     assert not got
+
+
+def test_portal_names_and_whole_rows(spark):
+    pub = "04ab"
+    df = spark.createDataFrame([(pub,)], "p string").select(canon.portal_name(F.col("p")).alias("n"))
+    assert df.first()["n"] == "p-" + hashlib.sha256(bytes.fromhex(pub)).hexdigest()[:8]

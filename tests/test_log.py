@@ -195,7 +195,9 @@ def test_pages_clock_append_and_expiries(spark):
     assert [(r["kind"], r["payload"]) for r in due.collect()] == [("expire", '{"directive":"d1"}')]
     c = log.hybrid_clock(spark.createDataFrame([(1, 5), (2, 3), (3, 5), (4, 9)], "i bigint, now bigint").withColumn("p", F.lit("x")), "now", "i", "p", block=2)
     assert [(r["wall"], r["counter"]) for r in c.orderBy("i").collect()] == [(5, 0), (5, 1), (5, 2), (9, 0)]
-    assert log.make(tx.where("kind = 'map'")).select((F.col("id").isNotNull()).alias("x")).distinct().collect()[0][0]
+    rows = {r["id"]: (r["j"], r["header"], r["sig"]) for r in tx.select("id", log.row_json().alias("j")).join(log.headers(tx), "id").collect()}
+    for i, (j, header, sig) in rows.items():
+        assert j == canon.canon(json.loads(j)) and hashlib.sha256(header.encode()).hexdigest() == i and json.loads(j)["header"] == json.loads(header) and sig == json.loads(j)["sig"]
 
 
 def test_empty_log(spark):
