@@ -125,11 +125,19 @@ def path_index(nodes: DataFrame, id: str, parent: str, near: list[str], per_task
 
 
 def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, parent, place, wanted) of whole segments -> (id, path): the ids from the top of the segment down to each wanted node."""
-    up, place, wanted = {}, {}, []
+    """Whole segments -> (id, path): the ids down to each wanted node.
+
+    In: (id, parent, place, wanted, segment, head), a row a node, and for a segment
+    that hangs from another one a row without id whose ``head`` is the path down to
+    what it hangs from.
+    """
+    up, place, of, head, wanted = {}, {}, {}, {}, []
     for b in batches:
-        for i, p, w, k in zip(*(c.to_pylist() for c in b.columns)):
-            up[i], place[i] = p, w
+        for i, p, w, k, g, h in zip(*(c.to_pylist() for c in b.columns)):
+            if i is None:
+                head[g] = h
+                continue
+            up[i], place[i], of[i] = p, w, g
             if k:
                 wanted.append(i)
     kind = pa.list_(pa.string())
@@ -138,8 +146,9 @@ def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = [i]
         while len(path) < place[i]:
             path.append(up[path[-1]])
+        path = head.get(of[i], []) + path[::-1]
         ids.append(i)
-        out.append(path[::-1])
+        out.append(path)
         held += len(path)
         if held >= 200_000:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, kind)], names=["id", "path"])
@@ -148,29 +157,39 @@ def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spelled(idx: DataFrame, wanted: DataFrame | None, scratch: runtime.Scratch) -> DataFrame:
-    """(id, path) of the wanted nodes (None: of all) of an index without circles, which holds all segments above theirs."""
-    hang = idx.where("place = 1 and above is not null").select("segment", "above")
-    if wanted is None:
-        marked, own = idx.withColumn("wanted", F.lit(True)), idx.select("id", "segment")
-    else:
-        own = idx.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "segment")
-        needed = own.select("id").unionByName(hang.select(F.col("above").alias("id"))).distinct().withColumn("wanted", F.lit(True))
-        marked = idx.join(needed, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    """(id, path) of the wanted nodes (None: of all) of an index without circles, which holds all segments above theirs.
+
+    First the paths down to the nodes that segments hang from, joined by doubling up
+    the tree of segments; then each path is spelled once, where its segment is.
+    """
     width = runtime.shuffle_partitions(idx.sparkSession)
-    local = marked.select("id", "parent", "place", "wanted", "segment").repartition(width, "segment").select("id", "parent", "place", "wanted")
-    local, _ = scratch.write(local.mapInArrow(_local_paths, "id string, path array<string>"))
-    none = F.array().cast("array<string>")
-    over = idx.select(F.col("id").alias("above"), F.col("segment").alias("up")).join(local.select(F.col("id").alias("above"), "path"), "above")
+    kind = "id string, path array<string>"
+    none = F.lit(None).cast("array<string>")
+
+    def marked(ids: DataFrame) -> DataFrame:
+        mark = ids.select("id").distinct().withColumn("wanted", F.lit(True))
+        return idx.join(mark, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+
+    def local(rows: DataFrame, heads: DataFrame | None) -> DataFrame:
+        rows = rows.select("id", "parent", "place", "wanted", "segment", none.alias("head"))
+        if heads is not None:
+            rows = rows.unionByName(heads.select(*(F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("parent", "string"), ("place", "bigint"), ("wanted", "boolean"))), "segment", "head"))
+        return rows.repartition(width, "segment").mapInArrow(_local_paths, kind)
+
+    hang = idx.where("place = 1 and above is not null").select("segment", "above")
+    down, _ = scratch.write(local(marked(hang.select(F.col("above").alias("id"))), None))
+    over = idx.select(F.col("id").alias("above"), F.col("segment").alias("up")).join(down.select(F.col("id").alias("above"), "path"), "above")
     cur, _, n = scratch.write_counted(hang.join(over, "above").select("segment", "up", "path"))
+    empty = F.array().cast("array<string>")
     for _ in range(math.ceil(math.log2(max(2, n))) + 2):
         if cur.where("up is not null").isEmpty():
             break
         nxt = cur.select(F.col("segment").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        cur, _ = scratch.write(cur.join(nxt, "up", "left").select("segment", F.col("up2").alias("up"), F.concat(F.coalesce("head", none), "path").alias("path")))
+        cur, _ = scratch.write(cur.join(nxt, "up", "left").select("segment", F.col("up2").alias("up"), F.concat(F.coalesce("head", empty), "path").alias("path")))
     else:
         raise RuntimeError("paths: segments hang from one another without end")
-    head = cur.select("segment", F.col("path").alias("head"))
-    return local.join(own, "id").join(head, "segment", "left").select("id", F.concat(F.coalesce("head", none), "path").alias("path"))
+    heads = cur.select("segment", F.col("path").alias("head"))
+    return local(idx.withColumn("wanted", F.lit(True)) if wanted is None else marked(wanted), heads)
 
 
 def all_paths(index: DataFrame) -> DataFrame:
