@@ -215,7 +215,7 @@ def paths(index: DataFrame, wanted: DataFrame) -> DataFrame:
     hang, _, segments = scratch.write_counted(hang)
     frontier, _, n = scratch.write_counted(idx.join(wanted.select("id").distinct(), "id", "left_semi").select("segment").distinct())
     seen = frontier
-    for _ in range(segments + 1):
+    for _ in range(segments + 2):
         if not n:
             break
         frontier, _, n = scratch.write_counted(hang.join(frontier, "segment").select(F.col("up").alias("segment")).distinct().join(seen, "segment", "left_anti"))
@@ -236,13 +236,15 @@ def intervals(nodes: DataFrame, id: str, parent: str, near: list[str], per_task:
     """
     links, marks, rows, parts = parent_links(nodes, id, parent, near, per_task, spread)
     scratch = runtime.Scratch(nodes.sparkSession, "intervals")
-    links, _ = scratch.write(links)
+    links, links_at = scratch.write(links)
     order = [*marks, "id"]
-    size = _totals(links.withColumn("weight", F.lit(1).cast("bigint")), order, rows, parts, scratch, per_task).select("id", F.col("total").alias("size"))
+    sizing = runtime.Scratch(nodes.sparkSession, "sizes")
+    size, _ = scratch.write(_totals(links.withColumn("weight", F.lit(1).cast("bigint")), order, rows, parts, sizing, per_task).select("id", F.col("total").alias("size")))
+    sizing.drop(sizing.base)
     own = links.join(size, "id").withColumn("up", F.col("parent"))
     # sums over the siblings before, in ranges of siblings, so that one task does not take all children of a node
     width = max(parts, runtime.shuffle_partitions(nodes.sparkSession))
-    cut, _ = scratch.write(own.repartitionByRange(width, "up", "id").withColumn("range", F.spark_partition_id()))
+    cut, cut_at = scratch.write(own.select("id", "up", "parent", "size", *marks).repartitionByRange(width, "up", "id").withColumn("range", F.spark_partition_id()))
     before = Window.partitionBy("up", "range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     ranges = cut.groupBy("up", "range").agg(F.sum("size").alias("sum")).withColumn("earlier", F.sum("sum").over(Window.partitionBy("up").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
     ranges = ranges.where("up is not null").select("up", "range", "earlier")
@@ -250,8 +252,10 @@ def intervals(nodes: DataFrame, id: str, parent: str, near: list[str], per_task:
     placed = cut.join(F.broadcast(ranges) if rows <= per_task else ranges, ["up", "range"], "left")
     known = links.select(F.col("id").alias("up"), F.lit(True).alias("inner"))
     placed = placed.withColumn("offset", offset).join(known, "up", "left")
-    weighted = placed.select("id", "parent", F.when(F.col("inner") & F.col("size").isNotNull(), 1 + F.col("offset")).otherwise(1).cast("bigint").alias("w"), "least", "top", *marks, "size")
+    weighted = placed.select("id", "parent", F.when(F.col("inner") & F.col("size").isNotNull(), 1 + F.col("offset")).otherwise(1).cast("bigint").alias("w"), *marks, "size")
     weighted, _ = scratch.write(weighted)
+    scratch.drop(cut_at, links_at)
+    weighted = weighted.withColumns({"least": F.col("id"), "top": F.col("id")})
     first = _solve(weighted.drop("size"), order, rows, parts, scratch, per_task)
     done = first.join(weighted.select("id", "size"), "id")
     good = F.col("depth") > 0

@@ -53,10 +53,11 @@ def wide_table(datoms: DataFrame, types: dict[str, str], tier: str = "culture")
     if not types:
         return spark.createDataFrame([], schema)
     own = datoms.where((F.col("tier") == tier) & F.col("a").isin(*types) & F.col("e").isNotNull())
-    parts = max(runtime.shuffle_partitions(spark), own.rdd.getNumPartitions() // 4)  # combined rows are far fewer than those read
-    rows = own.select(
-        "e", "a", "vf", F.coalesce("id", F.lit("")).alias("id"), canonical(F.col("v"), F.col("a"), types).alias("val")
-    ).where("val is not null")
+    # written once, so that values are read once and their number sizes the shuffle
+    rows, _, n = runtime.Scratch(spark, "wide").write_counted(
+        own.select("e", "a", "vf", F.coalesce("id", F.lit("")).alias("id"), canonical(F.col("v"), F.col("a"), types).alias("val")).where("val is not null")
+    )
+    parts = runtime.shuffle_partitions(spark, n)
     width, kinds = len(types), list(types.values())
 
     def create(cell: tuple) -> list:
