@@ -70,3 +70,23 @@ def test_log(spark):
     ]
     df = spark.createDataFrame(tx, "id string, portal string, hlc array<bigint>, kind string, payload string")
     assert [tuple(r) for r in changefeed.settled_keys(df).collect()] == [("k1", "t3")]
+
+
+def test_changes_of_one_sequence_do_not_depend_on_their_order(spark):
+    rows = [("k", 5, "set", "x1"), ("k", 5, "set", "x2"), ("d", 7, "set", "y"), ("d", 7, "delete", None), ("d", 3, "set", "z")]
+    schema = "k string, w bigint, op string, x string"
+    for order in (rows, rows[::-1]):
+        got = changefeed.replay_changes(spark.createDataFrame(order, schema), "k", ["w"], "op", ["x"]).collect()
+        assert [tuple(r) for r in got] == [("k", "x2")]
+        parts = [changefeed.replay_states(spark.createDataFrame([r], schema), "k", ["w"], "op", ["x"]) for r in order]
+        merged = parts[0]
+        for p in parts[1:]:
+            merged = merged.unionByName(p)
+        merged = changefeed.merge_states(merged, "k", ["x"])
+        assert [tuple(r) for r in changefeed.current_rows(merged, "k", ["x"]).collect()] == [("k", "x2")]
+
+
+def test_promotes_change_the_columns_that_they_have(spark):
+    rows = [("t1", "promote", [1, 0], '{"decision":{"key":"k","support":2,"rule":"auto"}}'), ("t2", "promote", [3, 0], '{"decision":{"key":"k","support":5}}'), ("t2", "promote", [3, 0], '{"decision":{"key":"k","support":5}}'), ("t3", "promote", [1, 0], '{"decision":{"key":"g","support":1,"rule":"auto"}}'), ("t4", "retract", [2, 0], '{"keys":["g"]}'), ("t5", "promote", [4, 0], '{"decision":{"key":"g"}}')]
+    tx = spark.createDataFrame([(i, "p", k, h, p) for i, k, h, p in rows], "id string, portal string, kind string, hlc array<bigint>, payload string")
+    assert sorted(tuple(r) for r in changefeed.settled_decisions(tx).collect()) == [("g", "t5", None, None), ("k", "t2", 5, "auto")]
