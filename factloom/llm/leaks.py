@@ -6,8 +6,10 @@ one diagonal mark a stretch of the document, and a Smith-Waterman alignment of t
 item's words with that stretch decides, so changed and added words, mark-up, case,
 spacing and punctuation do not hide a copy.
 
-No pair is lost for its seeds: their length and the number that a stretch must show
-follow from the rule (``seeds``). A seed is never dropped for being common; common
+The length of the seeds and the number that a stretch must show follow from the rule
+(``seeds``): no stretch is lost whose changed and added words together are as few as
+the changed ones that the rule accepts, and which has no more than ``DRIFT`` words
+added or left out between two seeds. A seed is never dropped for being common; common
 ones cost little, as a stretch must show several of one item, and enough words in
 common with it, before it is aligned. Items are worked off in blocks of bounded
 size, each one pass over the documents, which are neither moved nor collected.
