@@ -29,7 +29,7 @@ from factloom import runtime
 from factloom.operators.skew import hot_keys, lookup
 
 #: Edges that a cell may hold on average, and below which a further cell is not worth its task.
-CELL_EDGES, LEAST_EDGES = 200_000, 1_000
+CELL_EDGES, LEAST_EDGES = 200_000, 4_000
 #: Vertices of one forest in a task's memory.
 FOREST = 400_000
 MOST_ROUNDS = 200

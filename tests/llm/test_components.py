@@ -63,4 +63,4 @@ def test_a_star_of_a_million_edges(spark):
 
 def test_blocks_follow_the_width_of_the_cluster():
     cells = lambda n, width: (b := components.blocks_for(n, width)) * (b + 1) // 2
-    assert cells(80_000, 18) >= 18 and cells(8_000, 8) >= 8 and cells(500, 18) == 1 and cells(10**9, 18) * components.CELL_EDGES >= 10**9
+    assert cells(84_000, 18) >= 18 and cells(32_000, 8) >= 8 and cells(500, 18) == 1 and cells(10**9, 18) * components.CELL_EDGES >= 10**9
