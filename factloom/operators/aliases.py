@@ -23,7 +23,7 @@ def identity_links(facts: DataFrame, schema: DataFrame) -> DataFrame:
     """(e, i): entities and the ids that their identity attributes name, where these differ."""
     own = [r["a"] for r in runtime.bounded(schema.where("uniq = 'identity' and a is not null").select("a").distinct(), 1000, "the identity attributes")]
     named = facts.where(F.col("a").isin(own) & F.col("e").isNotNull() & F.col("v").isNotNull())
-    return named.select("e", canon.entity_id(F.col("a"), F.col("v")).alias("i")).where("e <> i").distinct()
+    return named.select("e", canon.entity_id(F.col("a"), F.col("v")).alias("i")).where("e <> i")
 
 
 def _joined(edges: DataFrame, scratch: runtime.Scratch) -> DataFrame:
@@ -48,17 +48,16 @@ def representatives(links: DataFrame) -> DataFrame:
     Links with a null end add nothing; an empty table gives an empty one.
     """
     scratch = runtime.Scratch(links.sparkSession, "aliases")
-    own, _, n = scratch.write_counted(links.select("e", "i").where("e is not null and i is not null and e <> i").distinct())
-    if not n:
-        return own.select("e", F.col("i").alias("rep"))
+    own = links.select("e", "i").where("e is not null and i is not null and e <> i")
     stars = own.groupBy("i").agg(F.least("i", F.min("e")).alias("r"))
+    # what each id is joined to, as an entity and as an identity
+    met = own.join(stars, "i").select("e", "r").unionByName(stars.select(F.col("i").alias("e"), "r"))
     seen = Observation()
-    held = own.join(stars, "i").groupBy("e").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    held, _ = scratch.write(held.observe(seen, F.count_if((F.col("lo") != F.col("hi")) | (F.col("lo") > F.col("e"))).alias("several")))
-    mapped = held.select("e", F.col("lo").alias("rep")).unionByName(stars.select(F.col("i").alias("e"), F.col("r").alias("rep")))
-    if seen.get["several"]:  # identities that share an entity
-        both = own.join(stars, "i").select("e", "r")
-        edges = both.join(held.where("lo <> hi or lo > e"), "e").select(F.col("r").alias("u"), F.least("lo", "e").alias("v")).where("u <> v")
+    held = met.groupBy("e").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    held, _ = scratch.write(held.observe(seen, F.count_if(F.col("lo") != F.col("hi")).alias("several")))
+    mapped = held.select("e", F.col("lo").alias("rep"))
+    if seen.get["several"]:  # stars that share an id
+        edges = met.join(held.where("lo <> hi").select("e", "lo"), "e").select(F.col("r").alias("u"), F.col("lo").alias("v")).where("u <> v")
         top = _joined(edges, scratch).select(F.col("v").alias("rep"), F.col("l").alias("top"))
         mapped = mapped.join(top, "rep", "left").select("e", F.coalesce("top", "rep").alias("rep"))
-    return mapped.groupBy("e").agg(F.min("rep").alias("rep")).where("e <> rep")
+    return mapped.where("e <> rep")

@@ -230,7 +230,7 @@ def fork_cut(spark, d):
 @query(f"{_CUT} SELECT id, depth FROM g JOIN t USING (id) LEFT JOIN cut USING (portal) WHERE cut IS NULL OR depth <= cut")
 def valid_log(spark, d):
     t = _tx(spark, d)
-    depths = hierarchy.tx_hierarchy(t).where("depth > 0")
+    depths, _ = runtime.Scratch(spark, "depths").write(hierarchy.tx_hierarchy(t).where("depth > 0"))
     return log.valid(t, depths, log.fork_proofs(t)).select("id", "depth")
 
 

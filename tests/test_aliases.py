@@ -23,6 +23,7 @@ def test_representatives_against_union_find(spark):
     rng = random.Random(4)
     for n in (5, 40, 90):
         pairs = [(f"e:{rng.randrange(60):02d}", f"e:{rng.choice('xay')}{rng.randrange(40):02d}") for _ in range(n)] + [("e:01", "e:x00"), ("e:x00", "e:x00")]
+        pairs += [("e:x01", "e:a03"), ("e:a03", "e:y04"), ("e:07", "e:08"), ("e:08", "e:03")]  # ids that are both
         chain = [(f"e:c{i}", f"e:d{i}") for i in range(12)] + [(f"e:c{i + 1}", f"e:d{i}") for i in range(12)]
         df = spark.createDataFrame([*pairs, *chain, (None, "e:1"), ("e:1", None)], "e string, i string")
         assert {tuple(r) for r in aliases.representatives(df).collect()} == grouped(pairs + chain)
