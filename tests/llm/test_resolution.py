@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from factloom import runtime
 from factloom.llm import resolution, spelling
 
 
@@ -116,3 +117,47 @@ def test_word_lists_are_parameters(spark):
     people = [("p1", "Quillon Daselund", True, "o1"), ("p2", "Xip Daselund", True, "o1")]
     assert pairs_of(spark, people, BODIES) == set()
     assert pairs_of(spark, people, BODIES, lists=spelling.Lists(nicknames={"xip": "quillon"})) == {("p1", "p2")}
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of all tables that the resolution writes."""
+    plans, write = [], runtime.Scratch.write
+
+    def told(self, df):
+        if "/resolution-" in self.base:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(runtime.Scratch, "write", told)
+    return plans
+
+
+def test_the_keys_of_words_are_not_broadcast(spark, written):
+    forms = spark.createDataFrame([("daselund|robert",), ("dasclund|bob",), ("mordivik|robert",)], "form string")
+    near = resolution.vocabulary(forms, "person", runtime.Scratch(spark, "resolution"), spelling.LISTS)
+    assert {(r.w, r.w2) for r in near.collect()} == {("daselund", "dasclund"), ("dasclund", "daselund"), *((w, w) for w in ("daselund", "dasclund", "mordivik"))}
+    assert written and not any("Broadcast" in p for p in written)
+
+
+def test_rounds_of_merging_are_no_plans_of_the_driver(spark, written):
+    once = [("p1", "Robert Daselund", True, "o1"), ("p2", "Robert Dasclund", True, "o2")]
+    assert pairs_of(spark, once, BODIES) == set()
+    few = len(written)
+    # without an institute: spellings first, then the initials join them, then all of it the one with an institute
+    often = [*once[:1], ("p2", "Rob Daselundd", True, None), ("p3", "R. Daselund", True, None), ("p4", "Bob J. Dasellundd", True, None), ("p5", "J. Daselund", True, "o1")]
+    assert len(pairs_of(spark, often, BODIES)) > 2
+    assert len(written) == 2 * few
+
+
+def test_tasks_and_tables_merge_alike(spark):
+    rng = random.Random(1)
+    bodies = [(f"o{i}", n) for i, n in enumerate(["Mevarund Society for Sleep Research", "Sleep Research Soc. Mevarund", "Tolupik Academy for Wound Care", "Tolupik Acad. for Wond Care", "Tolupik Academy for Rural Health"])]
+    people = []
+    for i in range(120):
+        given = rng.choice(["Robert", "Bob", "Rob", "R.", "Robert J.", "R. J.", "Richard", "Rick", "Anna", "A.", "Ana B.", "Eleanor", "Nell", "E."])
+        name = f"{given} {rng.choice(['Daselund', 'Dasclund', 'Daselundd', 'Dsaelund', 'Mordivik', 'Mordvik'])}"
+        people += [(f"p{i:03}", name, rng.random() < 0.8, rng.choice([None, *(b for b, _ in bodies)])) for _ in range(rng.choice([1, 1, 2]))]
+    d = datoms(spark, people, bodies).cache()
+    task, tables = ({tuple(r) for r in resolution.resolve(d, most=most).collect()} for most in (500, 20))
+    assert task == tables and len({c for _, c in task}) < len(task)
